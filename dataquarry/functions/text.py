@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space that ends a URL or an address, and the patterns the
-# cleaning removes, in order.
-SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-URL = rf"http[^{SPACE}]+|www\.[^{SPACE}]+"
-EMAIL = rf"[^{SPACE}]+@[^{SPACE}]+"
-OUTSIDE_ALPHABET = r"[^a-záéíóúüñ0-9]"
-
-
-def _words(text: Column) -> Column:
-    """Split on blanks; no empty words."""
-    return F.filter(F.split(text, " "), lambda t: t != "")
+# White space beyond the ASCII blanks, what the cleaning removes, and
+# what is left as a word (letters and digits, not digits only).
+UNUSUAL_SPACE = "".join(
+    map(chr, [0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+URL = r"http\S+|www\.\S+"
+# A match always starts at the beginning of a word, so later starts need no attempt.
+EMAIL = r"(?<!\S)\S+@\S+"
+WORD = r"(?<![0-9])[0-9]*+[a-záéíóúüñ][a-záéíóúüñ0-9]*+"
 
 
 def clean_words(text: Column) -> Column:
-    """The words that ``clean_text`` keeps, as an array."""
+    """The words that ``clean_text`` keeps, as an array.
+
+    Everything outside the alphabet separates words, so one extraction does the work
+    of replacing, splitting and dropping numbers.
+    """
     x = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    for pattern in (URL, EMAIL, OUTSIDE_ALPHABET):
-        x = F.regexp_replace(x, pattern, " ")
-    # After the alphabet is restricted, a free-standing number is a whole word of digits.
-    return F.filter(_words(x), lambda t: ~t.rlike("^[0-9]+$"))
+    x = F.translate(x, UNUSUAL_SPACE, " " * len(UNUSUAL_SPACE))
+    x = F.regexp_replace(x, URL, " ")
+    x = F.regexp_replace(x, EMAIL, " ")
+    return F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
 
 
 def clean_text(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataquarry.functions.text import clean_words, tokenize
+from dataquarry.functions.text import clean_text, tokenize
 
 MAX_TERMS, MIN_DF, MAX_DF = 5000, 5, 0.90
 EMBEDDING_SIZE = 384
@@ -20,7 +20,7 @@ ENCODER_BATCH = 128
 
 def add_clean_text(df: DataFrame, text: str) -> DataFrame:
     """Add ``<text>_clean``."""
-    return df.withColumn(f"{text}_clean", F.array_join(clean_words(F.col(text)), " "))
+    return df.withColumn(f"{text}_clean", clean_text(F.col(text)))
 
 
 def stop_words(spark: SparkSession, language: str = "spanish") -> DataFrame:
@@ -53,27 +53,23 @@ def term_counts(df: DataFrame, by: str, tokens: Column) -> DataFrame:
     return df.select(by, F.explode(tokens).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def document_terms(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``(key, term, tf)`` without a shuffle: a sorted token array is counted in its own row."""
-    return _in_row_counts(df.select(key, F.array_sort(tokens).alias("_sorted")), key)
-
+def document_frequency(df: DataFrame, tokens: Column) -> DataFrame:
+    """``(term, df, total)``: documents that hold a term, and its occurrences.
 
-def _in_row_counts(rows: DataFrame, key: str) -> DataFrame:
-    s, size = F.col("_sorted"), F.size("_sorted")
-    first = lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1))))
-    starts = rows.filter(size > 0).withColumn("_starts", F.filter(F.sequence(F.lit(1), size), first))
-    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array(size + 1))
-    runs = F.zip_with(
-        F.col("_starts"), ends,
-        lambda a, b: F.struct(F.element_at(s, a).alias("term"), (b - a).cast("bigint").alias("tf")),
+    Each document contributes its distinct tokens and all its tokens, so both
+    counts are combined map-side by term; documents themselves are not shuffled.
+    """
+    both = df.select(tokens.alias("t")).select(
+        F.inline(F.array(
+            F.struct(F.array_distinct("t").alias("t"), F.lit(1).alias("d"), F.lit(0).alias("c")),
+            F.struct(F.col("t").alias("t"), F.lit(0).alias("d"), F.lit(1).alias("c")),
+        ))
+    )
+    return (
+        both.select(F.explode("t").alias("term"), "d", "c")
+        .groupBy("term")
+        .agg(F.sum("d").alias("df"), F.sum("c").alias("total"))
     )
-    return starts.select(key, F.inline(runs))
-
-
-def document_frequency(df: DataFrame, tokens: Column) -> DataFrame:
-    """``(term, df, total)``: documents that hold a term, and its occurrences."""
-    counted = document_terms(df.withColumn("_one", F.lit(1)), "_one", tokens)
-    return counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
 def fit_tfidf(df: DataFrame, tokens: Column, max_terms: int = MAX_TERMS, min_df: int = MIN_DF, max_df: float = MAX_DF) -> list[tuple[str, float]]:
@@ -169,6 +165,6 @@ def encode_text(df: DataFrame, key: str, text: str, load: Callable[[], Callable[
 
 
 __all__ = [
-    "add_clean_text", "document_frequency", "document_terms", "embed_text", "encode_text", "fit_tfidf",
+    "add_clean_text", "document_frequency", "embed_text", "encode_text", "fit_tfidf",
     "hashed_slots", "lemmatize", "stop_words", "term_counts", "tfidf", "tfidf_vectors", "tokenize",
 ]

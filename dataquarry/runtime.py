@@ -36,3 +36,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer partitions than there are cores.
+
+    For CPU-bound work on small files of one row group; a large table already has
+    more partitions than cores and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df

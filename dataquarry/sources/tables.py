@@ -151,8 +151,8 @@ def _first_sheet(content: bytes) -> Iterator[list[str | None]]:
             yield cells
 
 
-def scan_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, row_no, cells)`` of the first sheet of every .xlsx file under ``path``.
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """``(path, row_no, cells)`` of the first sheet of every workbook in ``(path, content)``.
 
     One workbook is one record: it is parsed where it is read.
     """
@@ -165,25 +165,27 @@ def scan_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 for cells in _first_sheet(bytes(content)):
                     if header is None:
                         header = [c if c is not None else f"Unnamed: {i}" for i, c in enumerate(cells)]
-                    else:
-                        pairs = [(h, cells[i] if i < len(cells) else None) for i, h in enumerate(header)]
-                        rows.append((name, len(rows) + 1, pairs))
+                        continue
+                    pairs = {h: cells[i] if i < len(cells) else None for i, h in enumerate(header)}
+                    rows.append((name, len(rows) + 1, pairs))
                 yield pd.DataFrame(rows, columns=["path", "row_no", "cells"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, row_no bigint, cells map<string,string>")
+    return files.select("path", "content").mapInPandas(parse, "path string, row_no bigint, cells map<string,string>")
 
 
-def scan_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The workbooks under ``path`` as one typed table; the header names are collected, the rows are not."""
-    rows = scan_workbooks(spark, path)
-    names = [r[0] for r in rows.filter("row_no = 1").select(F.explode(F.map_keys("cells"))).distinct().orderBy(1).collect()]
-    first = rows.filter("row_no = 1").select(F.map_keys("cells").alias("k")).first()
-    order = list(first["k"]) if first else []
-    names = [n for n in order if n in names] + [n for n in names if n not in order]
+def workbook_table(rows: DataFrame) -> DataFrame:
+    """Parsed workbooks as one typed table; only the header names reach the driver."""
+    heads = rows.filter("row_no = 1").select(F.posexplode(F.map_keys("cells")).alias("at", "name"))
+    names = [r["name"] for r in heads.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
     return infer_types(rows.select(*[F.col("cells")[n].alias(n) for n in names]))
 
 
+def scan_excel(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheets of the .xlsx files under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return workbook_table(parse_workbooks(files))
+
+
 def path_size(spark: SparkSession, path: str) -> tuple[bool, int]:
     """Whether a path exists, and its total length in bytes, from the file system's listing."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
