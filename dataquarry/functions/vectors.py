@@ -23,26 +23,34 @@ def as_vector(df: DataFrame, col: str) -> Column:
     return F.col(col)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda is evaluated again for every element; a lambda
+    variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a.cast(_DOUBLES), b.cast(_DOUBLES), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a.cast(_DOUBLES), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine of two vectors; 0 when either is the zero vector."""
-    size = norm(a) * norm(b)
-    return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
+    return let(norm(a) * norm(b), lambda size: F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size))
 
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector; the zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size == 0, a.cast(_DOUBLES)).otherwise(
-        F.transform(a.cast(_DOUBLES), lambda x: x / size)
+    return let(
+        a.cast(_DOUBLES),
+        lambda v: let(norm(v), lambda size: F.when(size == 0, v).otherwise(F.transform(v, lambda x: x / size))),
     )
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorSlicer
@@ -81,28 +82,28 @@ def variance_table(spark, ratios: Sequence[float]) -> DataFrame:
     return spark.createDataFrame([(i, float(r)) for i, r in enumerate(ratios, 1)], "component int, ratio double")
 
 
-def cluster_centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """``(label, n, centroid)``, noise (-1) left out; partial sums are combined before the shuffle."""
+def cluster_centroids(df: DataFrame, vec: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., label, n, centroid)``, noise (-1) left out; partial sums are combined before the shuffle."""
     return (
         df.filter(F.col(label) != -1)
-        .groupBy(F.col(label).cast("int").alias("label"))
+        .groupBy(*by, F.col(label).cast("int").alias("label"))
         .agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(as_vector(df, vec)).alias("c"))
-        .select("label", "n", vector_to_array("c").alias("centroid"))
+        .select(*by, "label", "n", vector_to_array("c").alias("centroid"))
     )
 
 
-def silhouette_rows(df: DataFrame, key: str, vec: str, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(key, label, a, b, s)`` per row: exact Euclidean silhouette; singletons score 0."""
-    sums = distances_to_labels(df, key, vec, label, block_rows)
+def silhouettes(df: DataFrame, key: str, vec: str, labels: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(key, which, label, a, b, s)``: exact Euclidean silhouette of each row in each labelling; singletons score 0."""
+    sums = distances_to_labels(df, key, vec, labels, block_rows)
     own = F.col("label") == F.col("own")
-    per = sums.groupBy("key", "own").agg(
+    per = sums.groupBy("key", "which", "own").agg(
         F.max(F.when(own, F.col("n"))).alias("size"),
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
     )
     widest = F.greatest("a", "b")
     s = F.when((F.col("size") > 1) & F.col("b").isNotNull() & (widest > 0), (F.col("b") - F.col("a")) / widest).otherwise(0.0)
-    return per.select("key", F.col("own").alias("label"), "a", "b", s.alias("s"))
+    return per.select("key", "which", F.col("own").alias("label"), "a", "b", s.alias("s"))
 
 
 def silhouette(df: DataFrame, key: str, vec: str, label: str, distance: str = "euclidean") -> DataFrame:
@@ -112,7 +113,8 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str, distance: str = "e
     another, linear-cost measure from cluster sums alone.  Both use every row.
     """
     if distance == "euclidean":
-        return silhouette_rows(df, key, vec, label).agg(F.avg("s").alias("silhouette"), F.lit(distance).alias("distance"))
+        rows = silhouettes(df.withColumn("_labels", F.array(F.col(label).cast("int"))), key, vec, "_labels")
+        return rows.agg(F.avg("s").alias("silhouette"), F.lit(distance).alias("distance"))
     if distance != "squared_euclidean":
         raise ValueError("distance must be 'euclidean' or 'squared_euclidean'")
     return _squared_silhouette(df, vec, label).select("silhouette", F.lit(distance).alias("distance"))
@@ -152,37 +154,46 @@ def _squared_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
     return scored.withColumn("a", F.when(F.col("mine.n") > 1, a)).agg(F.avg(s).alias("silhouette"))
 
 
-def _spreads(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """``(label, centroid, spread)``: mean distance of the rows to their centroid."""
-    centroids = cluster_centroids(df, vec, label)
-    rows = df.filter(F.col(label) != -1).select(F.col(label).cast("int").alias("label"), as_array(df, vec).alias("v"))
+def _spreads(df: DataFrame, vec: str, label: str, by: Sequence[str]) -> DataFrame:
+    """``(by..., label, centroid, spread)``: mean distance of the rows to their centroid."""
+    centroids = cluster_centroids(df, vec, label, by)
+    rows = df.filter(F.col(label) != -1).select(*by, F.col(label).cast("int").alias("label"), as_array(df, vec).alias("v"))
     return (
-        rows.join(centroids, "label")
+        rows.join(centroids, [*by, "label"])
         .withColumn("d", euclidean(F.col("v"), F.col("centroid")))
-        .groupBy("label")
+        .groupBy(*by, "label")
         .agg(F.avg("d").alias("spread"))
-        .join(centroids, "label")
-        .select("label", "centroid", "spread")
+        .join(centroids, [*by, "label"])
+        .select(*by, "label", "centroid", "spread")
     )
 
 
-def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """``(davies_bouldin)``: mean over clusters of the worst ``(S_i + S_j) / M_ij``."""
-    parts = materialise(_spreads(df, vec, label), "spreads")
+def davies_bouldin(df: DataFrame, vec: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., davies_bouldin)``: mean over clusters of the worst ``(S_i + S_j) / M_ij``."""
+    by = list(by)
+    spreads = _spreads(df, vec, label, by)
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    parts = materialise(
+        spreads.select(*by, group.alias("group"), F.concat_ws("/", group, "label").alias("code"), "centroid", "spread"), "spreads"
+    )
 
     def worst(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"label": [], "worst": []})
+            return pd.DataFrame({"code": [], "worst": []})
         a, b = _stack(x["centroid"]), _stack(y["centroid"])
         gap = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
         both = x["spread"].to_numpy()[:, None] + y["spread"].to_numpy()[None, :]
         ratio = np.divide(both, gap, out=np.zeros_like(gap), where=gap > 0)
-        ratio[x["label"].to_numpy()[:, None] == y["label"].to_numpy()[None, :]] = 0.0
-        return pd.DataFrame({"label": x["label"], "worst": ratio.max(axis=1)})
+        other = x["code"].to_numpy()[:, None] != y["code"].to_numpy()[None, :]
+        same_group = x["group"].to_numpy()[:, None] == y["group"].to_numpy()[None, :]
+        return pd.DataFrame({"code": x["code"], "worst": np.where(other & same_group, ratio, 0.0).max(axis=1)})
 
-    n = blocks_for(parts.count())
-    pairs = tile_pairs(parts, parts, "label", "label", (n, n), worst, "label int, worst double")
-    return pairs.groupBy("label").agg(F.max("worst").alias("worst")).agg(F.avg("worst").alias("davies_bouldin"))
+    n = blocks_for(parts.count(), 256)
+    pairs = tile_pairs(parts, parts, "code", "code", (n, n), worst, "code string, worst double")
+    per = pairs.groupBy("code").agg(F.max("worst").alias("worst"))
+    if by:
+        per = per.join(parts.select(*by, "code"), "code")
+    return per.groupBy(*by).agg(F.avg("worst").alias("davies_bouldin"))
 
 
 def combined_score(sil: float, db: float) -> float:
@@ -209,17 +220,30 @@ def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42):
     if n < 4:
         raise ValueError("at least 4 rows are needed to compare clusterings")
     distance = "euclidean" if n <= EXACT_SILHOUETTE_ROWS else "squared_euclidean"
+    ks = list(range(2, max(2, min(10, n // 10)) + 1))
+    fit = inheritable_thread_target(df.sparkSession)(
+        lambda k: KMeans(k=k, seed=seed, featuresCol=vec, predictionCol=f"_k{k}").fit(rows)
+    )
+    with ThreadPoolExecutor(4) as pool:
+        models = dict(zip(ks, pool.map(fit, ks)))
+    labelled = rows
+    for k in ks:
+        labelled = models[k].transform(labelled)
+    labelled = materialise(labelled.withColumn("_labels", F.array(*[f"_k{k}" for k in ks])), "sweep")
+    if distance == "euclidean":
+        found = silhouettes(labelled, key, vec, "_labels").groupBy("which").agg(F.avg("s").alias("s")).collect()
+        sil = {ks[r["which"]]: r["s"] for r in found}
+    else:
+        sil = {k: silhouette(labelled, key, vec, f"_k{k}", distance).first()["silhouette"] for k in ks}
+    long = labelled.select(vec, F.posexplode("_labels").alias("which", "label"))
+    db = {ks[r["which"]]: r["davies_bouldin"] for r in davies_bouldin(long, vec, "label", ["which"]).collect()}
+    rows.unpersist()
     best, table = None, []
-    for k in range(2, max(2, min(10, n // 10)) + 1):
-        model = KMeans(k=k, seed=seed, featuresCol=vec, predictionCol="Cluster_ID").fit(rows)
-        labelled = model.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
-        sil = silhouette(labelled, key, vec, "Cluster_ID", distance).first()["silhouette"]
-        db = davies_bouldin(labelled, vec, "Cluster_ID").first()["davies_bouldin"]
-        labelled.unpersist()
-        score = combined_score(sil, db)
-        table.append((k, float(sil), float(db), float(score)))
+    for k in ks:
+        score = combined_score(sil[k], db[k])
+        table.append((k, float(sil[k]), float(db[k]), float(score)))
         if best is None or score > best[0]:
-            best = (score, k, model)
+            best = (score, k, models[k].setPredictionCol("Cluster_ID"))
     schema = "k int, silhouette double, davies_bouldin double, score double, best boolean, distance string"
     swept = df.sparkSession.createDataFrame([(*r, r[0] == best[1], distance) for r in table], schema)
     labels = best[2].transform(df.withColumn(vec, as_vector(df, vec)))

@@ -61,37 +61,46 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def distances_to_labels(df: DataFrame, key: str, vec: str, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(key, own, label, n, total)``: sum of Euclidean distances from every row to every label's rows.
+def distances_to_labels(df: DataFrame, key: str, vec: str, labels: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(key, which, own, label, n, total)``: summed Euclidean distances from every row to every label's rows.
 
-    Quadratic work, linear output: one number per row and label.
+    ``labels`` is an array column holding one label per labelling; ``which`` numbers
+    the labellings.  The distances of a tile are computed once for all of them.
+    Quadratic work, linear output: one number per row, labelling and label.
     """
     rows = materialise(
-        df.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), as_array(df, vec).alias("v")), "pairs"
+        df.select(F.col(key).alias("key"), F.col(labels).cast("array<int>").alias("labels"), as_array(df, vec).alias("v")), "pairs"
     )
     n = blocks_for(rows.count(), block_rows)
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        names = ("key", "which", "own", "label", "n", "total")
         if x.empty or y.empty:
-            return pd.DataFrame({"key": [], "own": [], "label": [], "n": [], "total": []})
+            return pd.DataFrame({c: [] for c in names})
         a, b = _stack(x["v"]), _stack(y["v"])
-        labels, code = np.unique(y["label"].to_numpy(), return_inverse=True)
-        total = np.zeros((len(a), len(labels)))
         centre = b.mean(axis=0)  # smaller norms keep more digits of near distances
         a, b = a - centre, b - centre
-        member = np.eye(len(labels))[code]
+        mine, theirs = np.stack(x["labels"].to_numpy()), np.stack(y["labels"].to_numpy())
+        heads, members = [], []
+        for which in range(theirs.shape[1]):
+            found, code = np.unique(theirs[:, which], return_inverse=True)
+            heads += [(which, label, int(n)) for label, n in zip(found, np.bincount(code))]
+            members.append(np.eye(len(found))[code])
+        member = np.hstack(members)
+        total = np.empty((len(a), len(heads)))
         for start in range(0, len(a), 512):
             total[start:start + 512] = np.sqrt(squared_distances(a[start:start + 512], b)) @ member
-        count = np.bincount(code, minlength=len(labels))
-        k = len(labels)
+        which, label, count = (np.array(h) for h in zip(*heads))
+        k = len(heads)
         return pd.DataFrame({
-            "key": np.repeat(x["key"].to_numpy(), k), "own": np.repeat(x["label"].to_numpy(), k),
-            "label": np.tile(labels, len(a)), "n": np.tile(count, len(a)), "total": total.ravel(),
+            "key": np.repeat(x["key"].to_numpy(), k), "which": np.tile(which, len(a)), "own": mine[:, which].ravel(),
+            "label": np.tile(label, len(a)), "n": np.tile(count, len(a)), "total": total.ravel(),
         })
 
     kind = rows.schema["key"].dataType.simpleString()
-    parts = tile_pairs(rows, rows, "key", "key", (n, n), sums, f"key {kind}, own int, label int, n bigint, total double")
-    return parts.groupBy("key", "own", "label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    schema = f"key {kind}, which int, own int, label int, n bigint, total double"
+    parts = tile_pairs(rows, rows, "key", "key", (n, n), sums, schema)
+    return parts.groupBy("key", "which", "own", "label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def _pivots(points: DataFrame, n: int, wanted: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,11 +137,8 @@ def embed_text(df: DataFrame, tokens: Column, size: int = EMBEDDING_SIZE, out: s
     for c in ("_pos", "_neg"):
         picked = CountVectorizerModel.from_vocabulary(slots, inputCol=c, outputCol=f"{c}_n").transform(picked)
     dense = F.zip_with(vector_to_array("_pos_n"), vector_to_array("_neg_n"), lambda a, b: a - b)
-    picked = picked.withColumn("_dense", dense).withColumn(
-        "_norm", F.sqrt(F.aggregate("_dense", F.lit(0.0), lambda acc, x: acc + x * x))
-    )
-    unit = F.when(F.col("_norm") == 0, F.col("_dense")).otherwise(F.transform("_dense", lambda x: x / F.col("_norm")))
-    return picked.withColumn(out, unit).drop("_pos", "_neg", "_pos_n", "_neg_n", "_dense", "_norm")
+    picked = Normalizer(p=2.0, inputCol="_dense", outputCol="_unit").transform(picked.withColumn("_dense", array_to_vector(dense)))
+    return picked.withColumn(out, vector_to_array("_unit")).drop("_pos", "_neg", "_pos_n", "_neg_n", "_dense", "_unit")
 
 
 def encode_text(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], list]], batch: int = ENCODER_BATCH) -> DataFrame:

@@ -28,13 +28,13 @@ def selection_report(selection: DataFrame, vif: DataFrame) -> DataFrame:
         F.count("removed_at").alias("removed"),
     )
     gone = F.col("rejected") + F.col("removed")
-    counts = lost.select(F.inline(F.array(
-        F.struct(F.lit("features").alias("item"), F.col("n").cast("double").alias("value")),
-        F.struct(F.lit("approved"), F.col("approved").cast("double")),
-        F.struct(F.lit("rejected"), F.col("rejected").cast("double")),
-        F.struct(F.lit("removed_by_vif"), F.col("removed").cast("double")),
-        F.struct(F.lit("lost_share"), F.round(gone / F.col("n"), 4)),
-    )))
+    items = {
+        "features": F.col("n"), "approved": F.col("approved"), "rejected": F.col("rejected"),
+        "removed_by_vif": F.col("removed"), "lost_share": F.round(gone / F.col("n"), 4),
+    }
+    counts = lost.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("item"), value.cast("double").alias("value")) for name, value in items.items()
+    ])))
     verdict = F.when(F.col("approved"), "approved").otherwise("rejected")
     return _union([
         section(counts, "selection", F.col("item"), F.col("value")),

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,21 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     few = df.rdd.getNumPartitions() < cores
     return df.repartition(cores) if few else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession, *folders: str | Path) -> None:
+    """Make this package (and further ones) importable in the Python workers, once per application."""
+    packages = [Path(__file__).resolve().parent, *map(Path, folders)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="dataquarry-")) / "dataquarry_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in packages:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)

@@ -83,7 +83,7 @@ def plot_data(spark, sf):
 
 
 @REGISTRY.add("plot_scatter", """
-select vec_id, label, round(embedding[1], 5) as pca1, round(embedding[2], 5) as pca2 from embeddings
+select vec_id, label, round(cast(embedding[1] as double), 5) as pca1, round(cast(embedding[2] as double), 5) as pca2 from embeddings
 order by md5('42' || cast(vec_id as varchar)), vec_id limit 2000""")
 def plot_scatter(spark, sf):
     out = K.scatter_points(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")

@@ -114,9 +114,9 @@ _DOC_VIF = "with d as (select n_chars, length(text) as n_text, doc_id % 100 as b
 
 
 @REGISTRY.add("vif_prune", _DOC_VIF + """
-select 'n_chars' as feature, cast('inf' as double) as vif, 0.9 as p, 1 as removed_at
-union all select 'n_text', round(1 / (1 - corr(n_text, bucket) ** 2), 4), 0.2, null from d
-union all select 'bucket', round(1 / (1 - corr(n_text, bucket) ** 2), 4), 0.5, null from d""")
+select 'n_chars' as feature, cast('inf' as double) as vif, cast(0.9 as double) as p, 1 as removed_at
+union all select 'n_text', round(1 / (1 - corr(n_text, bucket) ** 2), 4), cast(0.2 as double), null from d
+union all select 'bucket', round(1 / (1 - corr(n_text, bucket) ** 2), 4), cast(0.5 as double), null from d""")
 def vif_prune(spark, sf):
     """The text length appears twice; of the two copies the one with the larger p goes."""
     df = table(spark, sf, "documents").select("n_chars", F.length("text").alias("n_text"), F.expr("doc_id % 100").alias("bucket"))
@@ -125,8 +125,8 @@ def vif_prune(spark, sf):
 
 
 @REGISTRY.add("vif_candidate", """
-with c as (select 'p_size' as feature, round(1 / (1 - corr(p_size, p_retailprice) ** 2), 4) as vif, 0.3 as p from part
-union all select 'p_retailprice', round(1 / (1 - corr(p_size, p_retailprice) ** 2), 4), 0.7 from part)
+with c as (select 'p_size' as feature, round(1 / (1 - corr(p_size, p_retailprice) ** 2), 4) as vif, cast(0.3 as double) as p from part
+union all select 'p_retailprice', round(1 / (1 - corr(p_size, p_retailprice) ** 2), 4), cast(0.7 as double) from part)
 select * from c order by p desc, vif desc, feature limit 1""")
 def vif_candidate(spark, sf):
     p = F.when(F.col("feature") == "p_size", 0.3).otherwise(0.7)

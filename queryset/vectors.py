@@ -108,7 +108,8 @@ def knn_euclidean(spark, sf):
 select p as key, own, label, round(sum(d), 3) as total from d group by 1, 2, 3""")
 def pairwise_distance(spark, sf):
     """All pairs, summed per row and label; a row's distance to itself is zero."""
-    out = N.distances_to_labels(labelled(spark, sf), "vec_id", "embedding", "label")
+    df = labelled(spark, sf).withColumn("labels", F.array("label"))
+    out = N.distances_to_labels(df, "vec_id", "embedding", "labels")
     return out.select("key", "own", "label", rnd("total", 3).alias("total"))
 
 
@@ -180,7 +181,7 @@ _EPSILON = 7.6
  reach(node, seen) as (select node, node from core union select reach.node, links.dst from reach join links on links.src = reach.seen),
  comp as (select node, min(seen) as comp from reach group by 1),
  big as (select comp, row_number() over (order by count(*) desc, comp) - 1 as label from comp group by 1 having count(*) >= 15)
-select e.vec_id, cast(coalesce(label, -1) as integer) as label from embeddings e
+select e.vec_id, cast(coalesce(big.label, -1) as integer) as label from embeddings e
 left join comp on comp.node = e.vec_id left join big using (comp)""")
 def density_cluster(spark, sf):
     """Components of the mutual-reachability graph cut at a fixed distance."""
@@ -197,8 +198,8 @@ def density_cluster_hierarchy(spark, sf):
 @REGISTRY.add("merge_topics", f"""with recursive {EMB_SQL}, {_CENTRE},
  nx as (select a.label as i, min(b.label) as j from cen a join cen b on a.label < b.label
    and list_cosine_similarity(a.c, b.c) > 0.15 group by 1),
- chain(label, at) as (select label, label from cen union all select label, nx.j from chain join nx on nx.i = chain.at),
- fin as (select label, max(at) as merged from chain group by 1)
+ chain(label, pos) as (select label, label from cen union all select label, nx.j from chain join nx on nx.i = chain.pos),
+ fin as (select label, max(pos) as merged from chain group by 1)
 select vec_id, cast(coalesce(merged, -1) as integer) as label from e left join fin using (label)""")
 def merge_topics(spark, sf):
     out = T.merge_topics(emb_mask(spark, sf).select("vec_id", "embedding", "label"), "embedding", "label", 0.15)
