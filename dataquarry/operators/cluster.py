@@ -5,11 +5,10 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorSlicer
@@ -26,7 +25,7 @@ from dataquarry.operators.neighbors import BLOCK_ROWS, _stack, blocks_for, dista
 from dataquarry.operators.ordered import exact_quantiles
 from dataquarry.operators.sampling import sample_rows
 from dataquarry.operators.stats import P_VALUE_LIMIT, anova_by_class, chi2_independence, with_p_values
-from dataquarry.runtime import materialise
+from dataquarry.runtime import concurrently, materialise
 
 log = logging.getLogger(__name__)
 
@@ -221,11 +220,8 @@ def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42):
         raise ValueError("at least 4 rows are needed to compare clusterings")
     distance = "euclidean" if n <= EXACT_SILHOUETTE_ROWS else "squared_euclidean"
     ks = list(range(2, max(2, min(10, n // 10)) + 1))
-    fit = inheritable_thread_target(df.sparkSession)(
-        lambda k: KMeans(k=k, seed=seed, featuresCol=vec, predictionCol=f"_k{k}").fit(rows)
-    )
-    with ThreadPoolExecutor(4) as pool:
-        models = dict(zip(ks, pool.map(fit, ks)))
+    fit = lambda k: KMeans(k=k, seed=seed, featuresCol=vec, predictionCol=f"_k{k}").fit(rows)
+    models = dict(zip(ks, concurrently(df.sparkSession, fit, ks)))
     labelled = rows
     for k in ks:
         labelled = models[k].transform(labelled)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataquarry.functions.scalars import safe_float
@@ -34,6 +34,15 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
     return df.filter(col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two columns without nulls; null when one is constant.
+
+    ``corr`` itself fails on a constant column in ANSI mode.
+    """
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return safe_float(F.when(spread > 0, F.covar_pop(x, y) / spread))
+
+
 def _numeric_by_class(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """``(feature, grp, n, m, v)``: count, mean, variance of every column in every class."""
     cells = df.filter(col(target).isNotNull()).select(
@@ -108,7 +117,7 @@ def pearson_target(df: DataFrame, target: str, columns: Sequence[str] | None = N
     return (
         cells.filter("x is not null")
         .groupBy("feature")
-        .agg(safe_float(F.corr("x", "y")).alias("r"), F.count(F.lit(1)).alias("n"))
+        .agg(pearson("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
         .select(
             "feature", F.lit("pearson").alias("test"), "r", F.when(usable, t).alias("stat"),
             F.lit(1).alias("dof1"), (n - 2).alias("dof2"),
@@ -247,7 +256,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
             for a, b in pairs
         ]))
     )
-    upper = cells.groupBy("a", "b").agg(safe_float(F.corr("x", "y")).alias("r"))
+    upper = cells.groupBy("a", "b").agg(pearson("x", "y").alias("r"))
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     )

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -28,6 +27,7 @@ from dataquarry.operators.metrics import (
 )
 from dataquarry.operators.sampling import sample_rows
 from dataquarry.operators.stats import P_VALUE_LIMIT, paired_ttest, with_p_values
+from dataquarry.runtime import concurrently
 
 SEED = 42
 MODELS = ("baseline", "linear", "forest", "gradient_boosting")
@@ -121,8 +121,7 @@ def cross_validate(
         held.unpersist()
         return out
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        done = list(pool.map(inheritable_thread_target(train.sparkSession)(run_fold), range(folds)))
+    done = concurrently(train.sparkSession, run_fold, range(folds), parallelism)
     rows = [r for part in done for r in part]
     return train.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 

@@ -11,8 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,3 +71,13 @@ def ship(spark: SparkSession, *folders: str | Path) -> None:
                 out.write(file, file.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def concurrently(spark: SparkSession, fn: Callable, items: Iterable, threads: int = 4) -> list:
+    """``[fn(i) for i in items]`` as concurrent Spark jobs.
+
+    Every call gets its own copy of the job properties; threads must not share one.
+    """
+    calls = [inheritable_thread_target(spark)(partial(fn, i)) for i in items]
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]

@@ -73,7 +73,8 @@ def scan_csv_sniffed(spark: SparkSession, path: str) -> DataFrame:
     # Only malformed rows carry their raw text; one more column shows whether they are too long.
     wider = T.StructType([*fields, T.StructField("extra", T.StringType())])
     extra = F.from_csv(F.col("_raw"), wider.simpleString()[len("struct<"):-1].replace(":", " "), {**options, "nullValue": "\u0000"})["extra"]
-    kept = rows.filter(F.col("_raw").isNull() | extra.isNull())
+    # Spark refuses to read the raw text alone (as a count would): always read a field too.
+    kept = rows.filter((F.col("_raw").isNull() | extra.isNull()) & (F.length(F.concat_ws("", "c0")) >= 0))
     return kept.drop("_raw").toDF(*names)
 
 
