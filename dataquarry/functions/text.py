@@ -14,6 +14,14 @@ URL = r"http\S+|www\.\S+"
 # A match always starts at the beginning of a word, so later starts need no attempt.
 EMAIL = r"(?<!\S)\S+@\S+"
 WORD = r"(?<![0-9])[0-9]*+[a-záéíóúüñ][a-záéíóúüñ0-9]*+"
+# The same words of two or more characters.
+TOKEN = r"(?<![0-9])(?:[0-9]++[a-záéíóúüñ][a-záéíóúüñ0-9]*+|[a-záéíóúüñ][a-záéíóúüñ0-9]++)"
+
+
+def _without_links(text: Column) -> Column:
+    x = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    x = F.translate(x, UNUSUAL_SPACE, " " * len(UNUSUAL_SPACE))
+    return F.regexp_replace(F.regexp_replace(x, URL, " "), EMAIL, " ")
 
 
 def clean_words(text: Column) -> Column:
@@ -22,11 +30,12 @@ def clean_words(text: Column) -> Column:
     Everything outside the alphabet separates words, so one extraction does the work
     of replacing, splitting and dropping numbers.
     """
-    x = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    x = F.translate(x, UNUSUAL_SPACE, " " * len(UNUSUAL_SPACE))
-    x = F.regexp_replace(x, URL, " ")
-    x = F.regexp_replace(x, EMAIL, " ")
-    return F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(_without_links(text), F.lit(WORD), F.lit(0))
+
+
+def raw_tokens(text: Column) -> Column:
+    """``tokenize(clean_text(text))`` in one extraction."""
+    return F.regexp_extract_all(_without_links(text), F.lit(TOKEN), F.lit(0))
 
 
 def clean_text(text: Column) -> Column:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -116,41 +117,9 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str, distance: str = "e
         return rows.agg(F.avg("s").alias("silhouette"), F.lit(distance).alias("distance"))
     if distance != "squared_euclidean":
         raise ValueError("distance must be 'euclidean' or 'squared_euclidean'")
-    return _squared_silhouette(df, vec, label).select("silhouette", F.lit(distance).alias("distance"))
-
-
-def _squared_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Mean squared distance to a cluster is ``|x|^2 - 2 x.mean + mean|y|^2``: one pass per row over k clusters."""
-    rows = df.select(as_array(df, vec).alias("v"), F.col(label).cast("int").alias("label"))
-    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    rows = rows.withColumn("q", square)
-    stats = (
-        rows.groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("v")).alias("c"), F.avg("q").alias("q"))
-        .select("label", "n", vector_to_array("c").alias("c"), "q")
-        .collect()
-    )
-    table = F.array(*[
-        F.struct(
-            F.lit(int(r["label"])).alias("label"), F.lit(float(r["n"])).alias("n"),
-            F.array(*[F.lit(float(x)) for x in r["c"]]).alias("c"), F.lit(float(r["q"])).alias("q"),
-        )
-        for r in stats
-    ])
-    dots = lambda c: F.aggregate(F.zip_with("v", c, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    dist = F.transform(
-        table,
-        lambda t: F.struct(t["label"].alias("label"), t["n"].alias("n"),
-                           F.greatest(F.col("q") - 2.0 * dots(t["c"]) + t["q"], F.lit(0.0)).alias("d")),
-    )
-    scored = rows.withColumn("t", dist)
-    mine = F.element_at(F.filter("t", lambda t: t["label"] == F.col("label")), 1)
-    scored = scored.withColumn("mine", mine).withColumn(
-        "b", F.array_min(F.transform(F.filter("t", lambda t: t["label"] != F.col("label")), lambda t: t["d"]))
-    )
-    a = F.col("mine.d") * F.col("mine.n") / (F.col("mine.n") - 1)
-    s = F.when((F.col("mine.n") > 1) & F.col("b").isNotNull() & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return scored.withColumn("a", F.when(F.col("mine.n") > 1, a)).agg(F.avg(s).alias("silhouette"))
+    evaluator = ClusteringEvaluator(featuresCol="_v", predictionCol="_label", distanceMeasure="squaredEuclidean")
+    value = evaluator.evaluate(df.select(as_vector(df, vec).alias("_v"), F.col(label).cast("double").alias("_label")))
+    return df.sparkSession.createDataFrame([(float(value), distance)], "silhouette double, distance string")
 
 
 def _spreads(df: DataFrame, vec: str, label: str, by: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dataquarry.operators.clean import fill_nulls, fill_values
 from dataquarry.operators.columns import col
 from dataquarry.operators.ordered import quantiles_of, running_totals
+from dataquarry.runtime import materialise
 
 # One-hot encoding keeps the list of categories in the model: refuse identifiers.
 MAX_CATEGORIES = 10_000
@@ -47,6 +48,8 @@ def label_encode(df: DataFrame, target: str, out: str = "label") -> DataFrame:
     """Sorted distinct classes become 0..k-1 in column ``out``; nulls stay null."""
     classes = df.select(F.col(target).alias("_class")).filter("_class is not null").distinct().withColumn("_one", F.lit(1))
     coded = running_totals(classes, ["_class"], {"_code": "_one"}, "classes").select("_class", F.col("_code").cast("int").alias(out))
+    # Written, so that its size decides how it is joined: classes are few, rows per class many.
+    coded = materialise(coded, "codes")
     return df.join(coded, F.col(target) == F.col("_class"), "left").drop("_class")
 
 

@@ -22,7 +22,7 @@ NEIGHBORS = 15
 # Rows per block: two blocks and their distance matrix fit easily in a task.
 BLOCK_ROWS = 2048
 # Pivots are broadcast and their statistics collected: at most this many.
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 2048
 
 
 def _stack(column: pd.Series) -> np.ndarray:

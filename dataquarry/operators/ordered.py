@@ -104,6 +104,9 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[s
             )
         ),
     ).filter("n > 0")
+    # Written, so that its size is known: one row per group, column and quantile is
+    # broadcast when it is small, and never shuffles the values by these few keys.
+    brackets = materialise(brackets, "brackets")
     values = df.select(
         *by,
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _c(c).cast("double").alias("v")) for c in columns])),
@@ -187,13 +190,14 @@ def rank_cuts(df: DataFrame, key: str, by: Sequence[str], ranks: Sequence[Column
         *by, "_bin", "m", "upto",
         F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("which", "rank"),
     ).filter("rank > 0 and rank <= upto and rank > upto - m")
-    hit = hashed.withColumn("_bin", F.shiftright("_h", _SHIFT)).join(
-        wanted.select(*by, "_bin", "which", (F.col("rank") - (F.col("upto") - F.col("m"))).alias("want")),
-        [*by, "_bin"],
+    # One row per group and rank; its known size lets Spark broadcast it.
+    wanted = materialise(
+        wanted.select(*by, "_bin", "which", (F.col("rank") - (F.col("upto") - F.col("m"))).alias("want")), "ranks"
     )
+    hit = hashed.withColumn("_bin", F.shiftright("_h", _SHIFT)).join(wanted, [*by, "_bin"])
     inside = Window.partitionBy(*by, "which").orderBy("_h", "_key")
     cut = hit.withColumn("rn", F.row_number().over(inside)).filter("rn = want")
     cuts = cut.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("which", F.struct(F.col("_h").alias("h"), F.col("_key").alias("k"))))).alias("cuts")
     )
-    return cuts
+    return materialise(cuts, "cuts")

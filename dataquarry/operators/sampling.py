@@ -42,7 +42,7 @@ def train_test_split(
 
 
 def _join_cuts(df: DataFrame, cuts: DataFrame, target: str) -> DataFrame:
-    # One row per class; AQE broadcasts it by its measured size.
+    # One row per class, read from a written table: broadcast by its known size.
     right = cuts.select(F.col(target).alias("_class"), F.col("cuts").alias("_cuts"))
     return df.join(right, df[target].eqNullSafe(right["_class"]), "left").drop("_class")
 

@@ -18,6 +18,15 @@ EMBEDDING_SIZE = 384
 ENCODER_BATCH = 128
 
 
+def explode_words(df: DataFrame, keep: list[str], words: Column, name: str) -> DataFrame:
+    """One row per word.
+
+    The outer form on purpose: for the inner one the optimizer adds a filter on the
+    array's size, pushes it to the scan, and so computes the words several times.
+    """
+    return df.select(*keep, F.explode_outer(words).alias(name)).filter(F.col(name).isNotNull())
+
+
 def add_clean_text(df: DataFrame, text: str) -> DataFrame:
     """Add ``<text>_clean``."""
     return df.withColumn(f"{text}_clean", clean_text(F.col(text)))
@@ -36,7 +45,9 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame | None = Non
     Distinct tokens are far fewer than tokens: the dictionaries are joined to
     exploded tokens, and the table sizes decide between broadcast and shuffle.
     """
-    tokens = df.select(key, F.posexplode(F.split(F.col(text), " ")).alias("_pos", "token")).filter("token != ''")
+    if stops is None and lemmas is None:
+        return df.withColumn(out, F.col(text))
+    tokens = df.select(key, F.posexplode_outer(F.split(F.col(text), " ")).alias("_pos", "token")).filter("token != ''")
     if stops is not None:
         tokens = tokens.join(stops.select("token").distinct(), "token", "left_anti")
     if lemmas is not None:
@@ -50,7 +61,7 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame | None = Non
 
 def term_counts(df: DataFrame, by: str, tokens: Column) -> DataFrame:
     """``(by, term, n)``: occurrences of every term per document or topic."""
-    return df.select(by, F.explode(tokens).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
+    return explode_words(df, [by], tokens, "term").groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_frequency(df: DataFrame, tokens: Column) -> DataFrame:
@@ -66,7 +77,7 @@ def document_frequency(df: DataFrame, tokens: Column) -> DataFrame:
         ))
     )
     return (
-        both.select(F.explode("t").alias("term"), "d", "c")
+        explode_words(both, ["d", "c"], F.col("t"), "term")
         .groupBy("term")
         .agg(F.sum("d").alias("df"), F.sum("c").alias("total"))
     )
@@ -106,7 +117,7 @@ def tfidf(df: DataFrame, key: str, tokens: Column, max_terms: int = MAX_TERMS, m
     vectors = tfidf_vectors(df.select(key, tokens.alias("_t")), F.col("_t"), vocabulary, "_vec")
     terms = df.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(vocabulary)], "i int, term string")
     return (
-        vectors.select(key, F.posexplode(vector_to_array("_vec")).alias("i", "weight"))
+        vectors.select(key, F.posexplode_outer(vector_to_array("_vec")).alias("i", "weight"))
         .filter("weight > 0")
         .join(F.broadcast(terms), "i")
         .select(key, "term", "weight")

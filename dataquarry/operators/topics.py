@@ -11,7 +11,7 @@ from dataquarry.functions.vectors import as_array, l2_normalize
 from dataquarry.operators.cluster import cluster_centroids, pca_reduce
 from dataquarry.operators.graph import connected_components, follow_links
 from dataquarry.operators.neighbors import _stack, blocks_for, knn, tile_pairs
-from dataquarry.operators.ordered import quantiles_of
+from dataquarry.operators.ordered import quantiles_of, running_totals
 from dataquarry.operators.sampling import sample_per_group
 from dataquarry.operators.text import term_counts
 from dataquarry.runtime import materialise
@@ -104,9 +104,9 @@ def reduce_vectors(df: DataFrame, vec: str, components: int = COMPONENTS, out: s
     return reduced.withColumn(out, as_array(reduced, "_r")).drop("_unit", "_r")
 
 
-def _density_graph(df: DataFrame, key: str, vec: str, min_size: int) -> tuple[DataFrame, DataFrame]:
+def _density_graph(df: DataFrame, key: str, vec: str, min_size: int, probes: int | None) -> tuple[DataFrame, DataFrame]:
     """Core distances ``(node, core)`` and mutual-reachability edges ``(src, dst, w)``."""
-    graph = knn(df, key, vec, k=min_size, metric="euclidean")
+    graph = knn(df, key, vec, k=min_size, metric="euclidean", probes=probes)
     graph = materialise(graph, "density-graph")
     # The distance to the last neighbour; rows with fewer neighbours have no core.
     core = materialise(
@@ -123,21 +123,29 @@ def _density_graph(df: DataFrame, key: str, vec: str, min_size: int) -> tuple[Da
 def relabel(members: DataFrame) -> DataFrame:
     """``(node, label)``: clusters numbered from 0 by size, largest first, then smallest member."""
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.orderBy(F.desc("size"), "comp")
-    numbered = sizes.select("comp", (F.row_number().over(order) - 1).alias("label"))
+    sizes = sizes.select("comp", (-F.col("size")).alias("order"), F.lit(1).alias("one"))
+    numbered = running_totals(sizes, ["order", "comp"], {"label": "one"}, "cluster-order")
+    numbered = materialise(numbered.select("comp", F.col("label").cast("int").alias("label")), "cluster-labels")
     return members.join(numbered, "comp").select("node", "label")
 
 
 def density_cluster(
-    df: DataFrame, key: str, vec: str, min_size: int = MIN_CLUSTER, epsilon: float | None = None, label: str = "label"
+    df: DataFrame,
+    key: str,
+    vec: str,
+    min_size: int = MIN_CLUSTER,
+    epsilon: float | None = None,
+    label: str = "label",
+    probes: int | None = None,
 ) -> DataFrame:
     """``(key, label)``: dense groups of at least ``min_size`` rows, -1 for noise.
 
     With ``epsilon``: connected components of the mutual-reachability graph cut at
     that distance.  Without: the components at a grid of distances form a
     hierarchy, and the clusters with the greatest excess of mass are chosen from it.
+    ``probes`` makes the neighbour search approximate (see ``knn``).
     """
-    core, edges = _density_graph(df, key, vec, min_size)
+    core, edges = _density_graph(df, key, vec, min_size, probes)
     if epsilon is not None:
         nodes = core.filter(F.col("core") <= epsilon).select("node")
         comps = connected_components(nodes, edges.filter(F.col("w") <= epsilon).select("src", "dst"))

@@ -19,7 +19,7 @@ from dataquarry.operators.topics import (
     topic_payload,
     topic_stats,
 )
-from dataquarry.runtime import materialise
+from dataquarry.runtime import materialise, spread
 
 
 @dataclass
@@ -54,19 +54,22 @@ def run_topics(
     load: Callable | None = None,
     merge: bool = True,
     vocab: str = "global",
+    probes: int | None = None,
 ) -> TopicResult:
     """The whole analysis.  With a target it ends at the vectors, for a supervised analysis to use.
 
-    ``merge=False`` also leaves out keywords and payload.
+    ``merge=False`` also leaves out keywords and payload.  ``probes`` bounds the
+    neighbour search of the density clustering on very large tables.
     """
     if text not in df.columns:
         raise ValueError(f"column '{text}' not found")
+    df = spread(df)
     cleaned = lemmatize(add_clean_text(df, text), key, f"{text}_clean", lemmas, stops)
     vectors = materialise(vectorise(materialise(cleaned, "lemmas"), key, "lemmatized", method, load), "vectors")
     if target is not None:
         return TopicResult(rows=vectors.drop("vector"), vectors=vectors.select(key, "vector"))
     reduced = materialise(reduce_vectors(vectors.select(key, "vector"), "vector"), "reduced")
-    labels = materialise(density_cluster(reduced, key, "reduced", label="Topic_ID"), "topics")
+    labels = materialise(density_cluster(reduced, key, "reduced", label="Topic_ID", probes=probes), "topics")
     rows = attach_labels(vectors, labels, key, "Topic_ID")
     if not merge:
         return TopicResult(rows=rows.drop("vector"), vectors=reduced, stats=topic_stats(rows, "Topic_ID"))

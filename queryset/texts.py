@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dataquarry.functions.text import clean_text as clean
-from dataquarry.functions.text import clean_words, tokenize
+from dataquarry.functions.text import raw_tokens
+from dataquarry.functions.text import tokenize as split_tokens
 from dataquarry.operators import text as X
 from dataquarry.operators import topics as T
 from dataquarry.runtime import spread
@@ -20,7 +21,7 @@ TERMS = "list_filter(words, lambda t: length(t) >= 2)"
 
 def terms(column="text"):
     """Tokens of a raw text column."""
-    return tokenize(clean(F.col(column)))
+    return raw_tokens(F.col(column))
 
 
 def docs(spark, sf):
@@ -36,7 +37,7 @@ def clean_text(spark, sf):
 with w as (select conv_id, turn, {sql_words('text')} as words from conversations)
 select conv_id, turn, array_to_string({TERMS}, ' ') as tokens, len({TERMS}) as n from w""")
 def tokenise(spark, sf):
-    df = spread(table(spark, sf, "conversations")).withColumn("t", terms())
+    df = spread(table(spark, sf, "conversations")).withColumn("t", split_tokens(clean(F.col("text"))))
     return df.select("conv_id", "turn", F.array_join("t", " ").alias("tokens"), F.size("t").cast("bigint").alias("n"))
 
 
@@ -89,7 +90,7 @@ def tfidf(spark, sf):
 select doc_id, cast(dim as integer) as dim, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as x from s where v <> 0""")
 def embed_text(spark, sf):
     out = X.embed_text(docs(spark, sf), terms())
-    return out.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0").withColumn("x", rnd("x", 6))
+    return out.select("doc_id", F.posexplode_outer("embedding").alias("dim", "x")).filter("x <> 0").withColumn("x", rnd("x", 6))
 
 
 @REGISTRY.add("encode_text", """

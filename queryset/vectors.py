@@ -41,7 +41,7 @@ def cosine_similarity(spark, sf):
 with n as (select vec_id, cast(embedding as double[]) as v, sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))) as size from embeddings)
 select vec_id, unnest(range(1, 65)) as i, round(unnest(list_transform(v, lambda x: x / size)), 6) as x from n""")
 def l2_normalize(spark, sf):
-    df = table(spark, sf, "embeddings").select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("i", "x"))
+    df = table(spark, sf, "embeddings").select("vec_id", F.posexplode_outer(V.l2_normalize(F.col("embedding"))).alias("i", "x"))
     return df.select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), rnd("x", 6).alias("x"))
 
 

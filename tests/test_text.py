@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from dataquarry.functions.text import clean_text, clean_words, tokenize
+from dataquarry.functions.text import clean_text, clean_words, raw_tokens, tokenize
 from dataquarry.operators import text as X
 from dataquarry.operators import topics as T
 
@@ -34,6 +34,8 @@ def test_clean_text_equals_the_step_by_step_definition(spark):
         return t.strip()
 
     assert clean(spark, texts) == [expected(t) for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(raw_tokens(F.col("t")) != tokenize(clean_text(F.col("t")))).count() == 0
 
 
 def test_tokens_have_two_characters(spark):
