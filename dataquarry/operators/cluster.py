@@ -124,7 +124,8 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str, distance: str = "e
 
 def _spreads(df: DataFrame, vec: str, label: str, by: Sequence[str]) -> DataFrame:
     """``(by..., label, centroid, spread)``: mean distance of the rows to their centroid."""
-    centroids = cluster_centroids(df, vec, label, by)
+    # Written: one row per cluster, so rows meet their centroid by broadcast when that is small.
+    centroids = materialise(cluster_centroids(df, vec, label, by), "centroids")
     rows = df.filter(F.col(label) != -1).select(*by, F.col(label).cast("int").alias("label"), as_array(df, vec).alias("v"))
     return (
         rows.join(centroids, [*by, "label"])

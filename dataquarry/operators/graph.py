@@ -16,7 +16,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] =
     ``nodes`` is ``(by..., node)``, ``edges`` is ``(by..., src, dst)`` in either
     direction.  Each round takes the smallest label among the neighbours and then
     jumps to the label of that label, so the rounds grow with the logarithm of the
-    path length.  Only one number per node crosses the shuffle to a hub.
+    path length.  A hub receives one number per neighbour after partial aggregation.
     """
     by = list(by)
     both = materialise(
@@ -25,29 +25,26 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] =
         ).distinct(),
         "cc-edges",
     )
-    state = materialise(nodes.select(*by, "node", F.col("node").alias("comp")), "cc-0")
+    state = materialise(nodes.select(*by, "node", F.col("node").alias("comp")), "cc")
     while True:
         near = (
             both.join(state.select(*by, F.col("node").alias("dst"), F.col("comp").alias("c")), [*by, "dst"])
             .groupBy(*by, F.col("src").alias("node"))
             .agg(F.min("c").alias("c"))
         )
-        lower = materialise(
-            state.join(near, [*by, "node"], "left").select(
-                *by, "node", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("comp")
-            ),
-            "cc-low",
+        lower = state.join(near, [*by, "node"], "left").select(
+            *by, "node", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("low")
         )
-        jump = lower.select(*by, F.col("node").alias("comp"), F.col("comp").alias("up"))
+        jump = state.select(*by, F.col("node").alias("low"), F.col("comp").alias("up"))
         after = materialise(
-            lower.join(jump, [*by, "comp"], "left").select(
-                *by, "node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")
+            lower.join(jump, [*by, "low"], "left").select(
+                *by, "node", "old", F.least("low", F.coalesce("up", "low")).alias("comp")
             ),
             "cc",
         )
-        changed = after.filter(F.col("old") != F.col("comp")).limit(1).count()
+        moved = after.filter("old <> comp").limit(1).count()
         state = after.select(*by, "node", "comp")
-        if not changed:
+        if not moved:
             return state
 
 

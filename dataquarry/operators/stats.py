@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from dataquarry.functions.scalars import safe_float
 from dataquarry.functions.tails import p_value
 from dataquarry.operators.columns import categorical_columns, col, numeric_columns
+from dataquarry.runtime import materialise
 
 P_VALUE_LIMIT = 0.05
 VIF_LIMIT = 10.0
@@ -68,7 +69,12 @@ def _target_by_category(df: DataFrame, target: str, columns: Sequence[str]) -> D
 
 
 def _anova(groups: DataFrame) -> DataFrame:
-    """One-way ANOVA per feature; no statistic with an empty group or one group only."""
+    """One-way ANOVA per feature; no statistic with an empty group or one group only.
+
+    The group statistics are used twice (the overall mean first), so they are
+    written: otherwise the two uses prune different columns and scan the input twice.
+    """
+    groups = materialise(groups, "groups")
     grand = groups.groupBy("feature").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("k"),
@@ -138,6 +144,7 @@ def chi2_independence(df: DataFrame, target: str, columns: Sequence[str] | None
         .groupBy("feature", "a", "b")
         .agg(F.count(F.lit(1)).cast("double").alias("o"))
     )
+    cells = materialise(cells, "cells")  # used by row, by column and by cell
     rows = cells.groupBy("feature", "a").agg(F.sum("o").alias("r"))
     cols = cells.groupBy("feature", "b").agg(F.sum("o").alias("c"))
     row_sums = rows.groupBy("feature").agg(
