@@ -63,8 +63,7 @@ def centroid_similarity(df: DataFrame, vec: str, label: str) -> DataFrame:
 def merge_map(df: DataFrame, vec: str, label: str, threshold: float = MERGE_SIMILARITY) -> DataFrame:
     """``(label, merged)``: each label moves to the next similar higher one, until there is none.
 
-    Centroids stay fixed, as the reference semantics require, so the moves form
-    chains; only the first similar higher label leaves a tile.
+    Centroids stay fixed while labels move, so the moves form chains; only the first similar higher label leaves a tile.
     """
     centroids = materialise(cluster_centroids(df, vec, label), "centroids")
 

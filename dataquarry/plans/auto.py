@@ -21,7 +21,7 @@ from dataquarry.plans.clustering import ClusterResult, run_clustering
 from dataquarry.plans.report import cluster_report, supervised_report, topic_report
 from dataquarry.plans.supervised import SupervisedResult, run_supervised
 from dataquarry.plans.topics import TopicResult, run_topics
-from dataquarry.runtime import materialise
+from dataquarry.runtime import materialise, spread
 
 
 @dataclass
@@ -71,6 +71,6 @@ def run_auto(
         result = run_clustering(cleaned, key, **options)
     else:
         text = first_free_text_column(infer_semantic_type(features)).first()["column"]
-        result = run_topics(cleaned, key, text, target=target, **options)
+        result = run_topics(spread(cleaned), key, text, target=target, **options)
     return AutoResult(route, decision["reason"], result)
 

@@ -48,7 +48,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input that arrives in fewer partitions than there are cores.
 
     For CPU-bound work on small files of one row group; a large table already has
-    more partitions than cores and passes unchanged.
+    more partitions than cores and passes unchanged.  Call it on a scan: asking a
+    plan with shuffles for its partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     few = df.rdd.getNumPartitions() < cores

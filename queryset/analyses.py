@@ -10,6 +10,7 @@ from dataquarry.plans.clustering import run_clustering
 from dataquarry.plans.report import selection_report, supervised_report
 from dataquarry.plans.supervised import run_supervised
 from dataquarry.plans.topics import run_topics
+from dataquarry.runtime import spread
 from queryset.common import LI_SQL, Registry, li_nulls, orders_cls, table, unpivot_sql
 from queryset.models import ROUNDS, TREES
 
@@ -55,7 +56,7 @@ def cluster_analysis(spark, sf):
 
 @REGISTRY.add("topic_analysis")
 def topic_analysis(spark, sf):
-    result = run_topics(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    result = run_topics(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return result.rows.select("doc_id", "Topic_ID")
 
 

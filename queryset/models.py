@@ -12,8 +12,8 @@ from queryset.common import ORDERS_SQL, Registry, orders_cls, rnd, table
 
 REGISTRY = Registry()
 
-# The reference fits 100 trees and 100 boosting rounds; the registered model queries fit
-# fewer so that a run over all queries stays short.  The library defaults are 100.
+# The library defaults are 100 trees and 100 boosting rounds; the registered model
+# queries fit fewer so that a run over all queries stays short.
 TREES, ROUNDS = 20, 10
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
