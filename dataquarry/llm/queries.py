@@ -5,12 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataquarry.llm.common import source
+from dataquarry.llm import bpe, htmltext, langid, minhash, simhash, toxicity, urlfilter, warc
+from dataquarry.llm.common import shared_path, source
 from dataquarry.llm.decontaminate import decontaminate, decontamination_sql
 from dataquarry.llm.sharding import shard_documents, sharding_sql
 from queryset.common import Registry
 
 REGISTRY = Registry()
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+@REGISTRY.add("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(source(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op2_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "archives")
+    warc.write_archives(source(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
+    )
+
+
+@REGISTRY.add("op3_url_filters", urlfilter.judge_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(source(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@REGISTRY.add("op4_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(RANKS)
+    return bpe.digest(bpe.encode(source(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
+@REGISTRY.add("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels")
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, labels.where(~out))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending")
+    )
+
+
+@REGISTRY.add("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(source(spark, sf_dir, "pages"))
 
 
 @REGISTRY.add("op7_sharding", sharding_sql())
@@ -18,6 +62,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(source(spark, sf_dir, "documents"))
 
 
+@REGISTRY.add("op8_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(source(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@REGISTRY.add("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~out))
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 @REGISTRY.add("op10_decontamination", decontamination_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
