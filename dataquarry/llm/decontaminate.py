@@ -205,6 +205,16 @@ def decontaminate(
     )
 
 
+def without_hits(
+    docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", window: int = WINDOW, gram: int = GRAM,
+) -> DataFrame:
+    """The rows, with all their columns, in which no window of the benchmark occurs."""
+    found, _ = hits(docs, items, doc, text, item, item_text, window, gram)
+    bad = written(found.select(F.col(doc).alias("_doc"), F.col("_key").alias("_hit_key")).distinct(), "benchmark-hits")
+    return docs.join(bad, [F.col(doc).eqNullSafe(F.col("_doc")), F.xxhash64(F.col(text)) == F.col("_hit_key")], "left_anti")
+
+
 def decontamination_sql(window: int = WINDOW) -> str:
     """The digest of ``decontaminate`` in SQL, by comparing every window."""
     take = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"

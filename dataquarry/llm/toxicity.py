@@ -27,7 +27,7 @@ SAMPLE_PER_LABEL = 3_000
 SAMPLE_CHARS = 20_000
 FEATURES = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
-STEPS, RATE, SPARSITY = 150, 0.1, 2e-5
+STEPS, RATE, SPARSITY = 150, 0.1, 1e-4
 WORD_CACHE = 300_000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -91,6 +91,8 @@ class _Scorer(dict):
 def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float]) -> ToxicityModel:
     """Maximum likelihood under the noisy-or, with Adam and an L1 step that keeps weights sparse.
 
+    Weights are not negative: a harmless word is no evidence against an offence beside it.
+
     ``shares`` are the two labels' shares of all labelled rows, which the sample need not keep.
     """
     vocabulary: dict[str, int] = {}
@@ -135,7 +137,7 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float]) -> To
         fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
         scale = RATE / (np.sqrt(v / fix2) + 1e-8)
         w -= scale * (m / fix1)
-        w = np.sign(w) * np.maximum(np.abs(w) - scale * SPARSITY, 0)
+        w = np.maximum(w - scale * SPARSITY, 0)
         bias -= RATE * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-8)
     return ToxicityModel(w.astype(np.float32), float(bias), empty)
 
