@@ -28,8 +28,8 @@ def _lentz(first: float, terms) -> float:
         c = c if c else _TINY
         value *= c * d
         if abs(c * d - 1.0) < _EPS:
-            break
-    return value
+            return value
+    raise ArithmeticError("a continued fraction did not converge")
 
 
 def beta_regularised(x: float, a: float, b: float) -> float:

@@ -24,15 +24,13 @@ from dataquarry.operators.columns import categorical_columns, col, numeric_colum
 from dataquarry.operators.features import build_preprocessor
 from dataquarry.operators.neighbors import BLOCK_ROWS, _stack, blocks_for, distances_to_labels, tile_pairs
 from dataquarry.operators.ordered import exact_quantiles
-from dataquarry.operators.sampling import sample_rows
 from dataquarry.operators.stats import P_VALUE_LIMIT, anova_by_class, chi2_independence, with_p_values
 from dataquarry.runtime import concurrently, materialise
 
 log = logging.getLogger(__name__)
 
 VARIANCE_SHARE = 0.80
-# Up to this many rows the k sweep uses the exact Euclidean silhouette (quadratic work).
-EXACT_SILHOUETTE_ROWS = 20_000
+KMEANS_ITERATIONS = 100
 
 
 def build_feature_space(df: DataFrame, key: str | None = None) -> tuple[PipelineModel, list[str]]:
@@ -177,20 +175,66 @@ def cluster_score(df: DataFrame, key: str, vec: str, label: str, distance: str =
     return sil.join(db, "_").select("silhouette", "davies_bouldin", score.alias("score"))
 
 
-def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42):
+def squared_silhouettes(df: DataFrame, vec: str, labels: str) -> dict[int, float]:
+    """``{which: mean}`` of the squared-Euclidean silhouette of every labelling in the array ``labels``.
+
+    A point's mean squared distance to a cluster follows from the cluster's size, sum and
+    sum of squared norms, so one pass sums those for all labellings and a second one
+    scores the rows.  The driver holds one vector per cluster and labelling.
+    """
+    rows = df.select(as_vector(df, vec).alias("v"), F.col(labels).alias("labels"))
+    long = rows.select("v", F.posexplode("labels").alias("which", "label"))
+    sums = long.groupBy("which", "label").agg(Summarizer.metrics("count", "sum", "normL2").summary(F.col("v")).alias("s"))
+    found = sums.select("which", "label", "s.count", "s.sum", "s.normL2").collect()
+    clusters: dict[int, dict] = {}
+    for r in found:
+        clusters.setdefault(r["which"], {})[r["label"]] = (r["count"], r["sum"].toArray(), float((r["normL2"].toArray() ** 2).sum()))
+
+    def score(batches):
+        for batch in batches:
+            x = _stack(batch["v"])
+            own = _stack(batch["labels"]).astype(int)
+            norms = (x**2).sum(axis=1)
+            out = []
+            for which, parts in clusters.items():
+                names = np.array(sorted(parts))
+                n = np.array([parts[c][0] for c in names], float)
+                total = np.stack([parts[c][1] for c in names])
+                square = np.array([parts[c][2] for c in names])
+                # Sums of squared distances of every row to every cluster.
+                gaps = np.maximum(norms[:, None] * n + square - 2 * x @ total.T, 0.0)
+                at = np.searchsorted(names, own[:, which])
+                row = np.arange(len(x))
+                size = n[at]
+                a = np.divide(gaps[row, at], size - 1, out=np.zeros(len(x)), where=size > 1)
+                means = gaps / n
+                means[row, at] = np.inf
+                b = means.min(axis=1)
+                widest = np.maximum(a, b)
+                fit = (size > 1) & np.isfinite(b) & (widest > 0)
+                s = np.divide(b - a, widest, out=np.zeros(len(x)), where=fit)
+                out.append((which, float(s.sum()), len(x)))
+            yield pd.DataFrame(out, columns=["which", "s", "n"])
+
+    scored = rows.select(vector_to_array("v").alias("v"), "labels").mapInPandas(score, "which int, s double, n bigint")
+    return {r["which"]: r["s"] / r["n"] for r in scored.groupBy("which").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+
+
+def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42, distance: str = "squared_euclidean"):
     """Try k = 2..max(2, min(10, n // 10)); returns ``(table, best model, labelled rows)``.
 
     ``table`` is ``(k, silhouette, davies_bouldin, score, best, distance)``; the
-    smallest k wins ties.  Beyond EXACT_SILHOUETTE_ROWS rows the silhouette is the
-    linear-cost squared-Euclidean one, as column ``distance`` says.
+    smallest k wins ties.  ``distance`` names the silhouette's measure at every table
+    size: ``squared_euclidean`` costs a pass over the rows, ``euclidean`` grows with their square.
     """
+    if distance not in ("euclidean", "squared_euclidean"):
+        raise ValueError("distance must be 'euclidean' or 'squared_euclidean'")
     rows = df.select(F.col(key), as_vector(df, vec).alias(vec)).persist(StorageLevel.MEMORY_AND_DISK)
     n = rows.count()
     if n < 4:
         raise ValueError("at least 4 rows are needed to compare clusterings")
-    distance = "euclidean" if n <= EXACT_SILHOUETTE_ROWS else "squared_euclidean"
     ks = list(range(2, max(2, min(10, n // 10)) + 1))
-    fit = lambda k: KMeans(k=k, seed=seed, featuresCol=vec, predictionCol=f"_k{k}").fit(rows)
+    fit = lambda k: KMeans(k=k, seed=seed, maxIter=KMEANS_ITERATIONS, featuresCol=vec, predictionCol=f"_k{k}").fit(rows)
     models = dict(zip(ks, concurrently(df.sparkSession, fit, ks)))
     labelled = rows
     for k in ks:
@@ -200,7 +244,7 @@ def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42):
         found = silhouettes(labelled, key, vec, "_labels").groupBy("which").agg(F.avg("s").alias("s")).collect()
         sil = {ks[r["which"]]: r["s"] for r in found}
     else:
-        sil = {k: silhouette(labelled, key, vec, f"_k{k}", distance).first()["silhouette"] for k in ks}
+        sil = {ks[which]: s for which, s in squared_silhouettes(labelled, vec, "_labels").items()}
     long = labelled.select(vec, F.posexplode("_labels").alias("which", "label"))
     db = {ks[r["which"]]: r["davies_bouldin"] for r in davies_bouldin(long, vec, "label", ["which"]).collect()}
     rows.unpersist()
@@ -260,24 +304,19 @@ def category_counts(df: DataFrame, cluster: str, columns: Sequence[str]) -> Data
     return cells.filter("value is not null").groupBy("cluster", "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cluster_profile_categorical(df: DataFrame, cluster: str, columns: Sequence[str], max_categories: int = 10_000) -> DataFrame:
-    """``(cluster, column, mode, mode_count, categories)``.
+def cluster_profile_categorical(df: DataFrame, cluster: str, columns: Sequence[str], maps: bool = False) -> DataFrame:
+    """``(cluster, column, mode, mode_count)``; ``category_counts`` has all counts in long form.
 
-    ``categories`` maps every value to its count, as long as a column has at most
-    ``max_categories`` values in the cluster; beyond that it is null, and
-    ``category_counts`` has all of them in long form.
+    With ``maps`` a column ``categories`` maps every value to its count, for columns
+    whose values the caller knows to be few.
     """
     counts = category_counts(df, cluster, columns)
     top = F.min(F.struct((-F.col("n")).alias("neg"), "value"))
-    modes = counts.groupBy("cluster", "column").agg(top.alias("top"), F.count(F.lit(1)).alias("k"))
-    small = modes.filter(F.col("k") <= max_categories).select("cluster", "column")
-    maps = (
-        counts.join(small, ["cluster", "column"], "left_semi")
-        .groupBy("cluster", "column")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("categories"))
-    )
-    return modes.join(maps, ["cluster", "column"], "left").select(
-        "cluster", "column", F.col("top.value").alias("mode"), (-F.col("top.neg")).alias("mode_count"), "categories"
+    out = [top.alias("top")]
+    if maps:
+        out.append(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("categories"))
+    return counts.groupBy("cluster", "column").agg(*out).select(
+        "cluster", "column", F.col("top.value").alias("mode"), (-F.col("top.neg")).alias("mode_count"), *(["categories"] if maps else [])
     )
 
 
@@ -289,7 +328,7 @@ def cluster_boxplot(df: DataFrame, by: str, column: str) -> DataFrame:
     )
 
 
-def scatter_points(df: DataFrame, key: str, vec: str, cluster: str, n: int = 2000) -> DataFrame:
-    """A hash sample of rows with their first two coordinates, for a plot."""
-    picked = sample_rows(df.select(key, cluster, as_array(df, vec).alias("_a")), key, n)
-    return picked.select(key, cluster, F.get("_a", F.lit(0)).alias("pca1"), F.get("_a", F.lit(1)).alias("pca2"))
+def scatter_points(df: DataFrame, key: str, vec: str, cluster: str) -> DataFrame:
+    """Every row with its first two coordinates, for a plot."""
+    rows = df.select(key, cluster, as_array(df, vec).alias("_a"))
+    return rows.select(key, cluster, F.get("_a", F.lit(0)).alias("pca1"), F.get("_a", F.lit(1)).alias("pca2"))

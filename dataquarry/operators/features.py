@@ -16,6 +16,7 @@ from dataquarry.operators.ordered import quantiles_of, running_totals
 from dataquarry.runtime import materialise
 
 # One-hot encoding keeps the list of categories in the model: refuse identifiers.
+# The limit is an argument and judged by the exact number of values.
 MAX_CATEGORIES = 10_000
 
 
@@ -63,11 +64,12 @@ def apply_impute(df: DataFrame, fills: dict[str, object]) -> DataFrame:
 
 
 def check_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
-    """Refuse columns with more distinct values than a model should memorise."""
+    """Refuse columns with more distinct values than a model should memorise, by their exact number."""
     if not columns:
         return
-    seen = df.agg(*[F.approx_count_distinct(col(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
-    wide = [c for i, c in enumerate(columns) if seen[i] > limit]
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])))
+    counts = cells.filter("value is not null").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    wide = sorted(r["column"] for r in counts.filter(F.col("n") > limit).collect())
     if wide:
         raise ValueError(f"more than {limit} categories in {', '.join(wide)}")
 

@@ -15,126 +15,102 @@ from pyspark.sql import functions as F
 from dataquarry.functions.hashing import key_hash
 from dataquarry.runtime import materialise
 
-# Spark's exact ``percentile`` keeps one counter per distinct value in memory.
-# It is used only for columns known to stay below this many distinct values.
-DIRECT_DISTINCT_LIMIT = 100_000
-# Rank error of the sketch that brackets a quantile: 1 / SKETCH_ACCURACY.
-SKETCH_ACCURACY = 20_000
+# Buckets that a range is cut into: over the whole table, and over the rows that are left.
+FIRST_BUCKETS, LATER_BUCKETS = 1024, 4096
 
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    direct_limit: int = DIRECT_DISTINCT_LIMIT,
-) -> DataFrame:
-    """``(by..., feature, n, q)``: exact quantiles, linearly interpolated, nulls ignored.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., feature, n, q)``: exact quantiles, linearly interpolated, nulls ignored, NaN largest.
 
-    One scan estimates the distinct counts.  Columns below ``direct_limit`` use
-    ``percentile``; the others are solved in two bounded-memory scans: a sketch
-    brackets every quantile, then only the rows inside the bracket are ranked.
+    Every wanted rank has a range of values, at first all of its column.  The range is cut
+    into buckets, a histogram that is combined on the map side finds the bucket of the
+    rank, and its least and greatest values are the next range, until they are equal.
+    The first round reads the table; the rows of the buckets it found are written and
+    the later rounds read only those.  No task gets more than one histogram per rank.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     if not columns:
         raise ValueError("exact_quantiles needs at least one column")
-    distinct = df.agg(*[F.approx_count_distinct(_c(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
-    small = [c for i, c in enumerate(columns) if distinct[i] <= direct_limit]
-    large = [c for i, c in enumerate(columns) if distinct[i] > direct_limit]
-    parts = []
-    if small:
-        parts.append(_direct(df, small, probs, by))
-    if large:
-        parts.append(_bracketed(df, large, probs, by))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _aggregate_wide(df: DataFrame, columns: list[str], by: list[str], make) -> DataFrame:
-    """One row per group; ``make(column)`` lists the struct fields of a feature."""
-    structs = [
-        F.struct(F.lit(c).alias("feature"), *make(_c(c).cast("double"))).alias(f"s{i}")
-        for i, c in enumerate(columns)
-    ]
-    wide = df.groupBy(*by).agg(*structs)
-    return wide.select(*by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
-
-
-def _direct(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    return _aggregate_wide(
-        df, columns, by,
-        lambda c: [F.count(c).alias("n"), F.percentile(c, probs).alias("q")],
+    values = df.select(
+        *by, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _c(c).cast("double").alias("v")) for c in columns]))
+    ).filter("v is not null")
+    own = [*by, "feature"]
+    ranges = values.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = F.array(*[
+        F.struct(F.lit(2 * i + up).alias("which"), (F.ceil if up else F.floor)(F.lit(p) * (F.col("n") - 1)).cast("bigint").alias("rank"))
+        for i, p in enumerate(probs) for up in (0, 1)
+    ])
+    # Written, so that the size is known: one row per group, column and rank is broadcast when that is small.
+    targets = materialise(ranges.select(*own, "n", "lo", "hi", F.inline(wanted)), "ranks")
+    rows, buckets = values, FIRST_BUCKETS
+    while not targets.filter(_open()).isEmpty():
+        found = _narrow(rows, targets.filter(_open()), [*own, *([] if rows is values else ["which"])], own, buckets)
+        targets = materialise(targets.filter(~_open()).unionByName(found), "ranks")
+        if rows is values:
+            left = targets.filter(_open()).select(*own, "which", "lo", "hi")
+            rows = materialise(_within(values, left, own).select(*own, "which", "v"), "bracket")
+            buckets = LATER_BUCKETS
+    position = F.element_at(F.lit(probs), (F.col("i") + 1).cast("int")) * (F.col("n") - 1)
+    picked = (
+        targets.withColumn("i", F.floor(F.col("which") / 2))
+        .groupBy(*own, "n", "i")
+        .agg(F.min(F.when(F.col("which") % 2 == 0, F.col("lo"))).alias("a"), F.min(F.when(F.col("which") % 2 == 1, F.col("lo"))).alias("b"))
+        .withColumn("pos", position)
+        .withColumn("value", F.when(F.expr("a = b"), F.col("a")).otherwise(F.expr("a + (pos - floor(pos)) * (b - a)")))
     )
+    return picked.groupBy(*own, "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]).alias("q")
+    )
+
 
+def _open() -> Column:
+    return ~F.col("lo").eqNullSafe(F.col("hi"))
 
-def _bracketed(df: DataFrame, columns: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    margin = 3.0 / SKETCH_ACCURACY
-    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    k = len(probs)
-    sketch = _aggregate_wide(
-        df, columns, by,
-        lambda c: [
-            F.count(c).alias("n"),
-            F.min(c).alias("least"),
-            F.max(c).alias("most"),
-            F.percentile_approx(c, edges, SKETCH_ACCURACY).alias("e"),
-        ],
+
+def _within(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the ranges of their keys (null keys included) that hold them."""
+    same = " and ".join(f"x.`{k}` <=> t.`{k}`" for k in keys)
+    joined = rows.alias("x").join(targets.alias("t"), F.expr(f"{same} and x.v >= t.lo and x.v <= t.hi"))
+    return joined.select(
+        *[F.col(f"x.`{c}`").alias(c) for c in rows.columns], *[F.col(f"t.`{c}`").alias(c) for c in targets.columns if c not in rows.columns]
     )
-    # With few rows the sketch margin is under one rank: bracket the whole range.
-    wide = F.col("n") < 4 * SKETCH_ACCURACY
-    brackets = sketch.select(
-        *by, "feature", "n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("which"),
-                        (F.lit(p) * (F.col("n") - 1)).alias("pos"),
-                        F.when(wide | F.lit(p <= margin), F.col("least")).otherwise(F.col("e")[i]).alias("lo"),
-                        F.when(wide | F.lit(p >= 1 - margin), F.col("most")).otherwise(F.col("e")[k + i]).alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
-    ).filter("n > 0")
-    # Written, so that its size is known: one row per group, column and quantile is
-    # broadcast when it is small, and never shuffles the values by these few keys.
-    brackets = materialise(brackets, "brackets")
-    values = df.select(
-        *by,
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _c(c).cast("double").alias("v")) for c in columns])),
-    ).filter("v is not null")
-    # Values below a bracket collapse into one counter (v = null), those above are dropped.
-    keyed = values.alias("x").join(
-        brackets.alias("b"),
-        F.expr(" and ".join(["x.feature = b.feature"] + [f"x.`{g}` <=> b.`{g}`" for g in by])) & F.expr("x.v <= b.hi"),
+
+
+def _scale(v: str) -> Column:
+    """A rising function that spreads magnitudes: the binary logarithm with the sign, infinities and NaN beyond."""
+    x = F.col(v)
+    size = F.log2(F.abs(x)) + 1080
+    return (
+        F.when(F.isnan(x), 1e5).when(x == float("inf"), 5e4).when(x == float("-inf"), -5e4)
+        .when(x == 0, 0.0).when(x > 0, size).otherwise(-size)
     )
-    cells = (
-        keyed.select(
-            *[F.col(f"b.`{g}`").alias(g) for g in by],
-            "b.feature", "b.n", "b.which", "b.pos",
-            F.when(F.col("x.v") >= F.col("b.lo"), F.col("x.v")).alias("v"),
-        )
-        .groupBy(*by, "feature", "n", "which", "pos", "v")
-        .agg(F.count(F.lit(1)).alias("m"))
+
+
+def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], own: list[str], buckets: int) -> DataFrame:
+    """The open targets with the range and the remaining rank of the bucket that holds them.
+
+    Ranges within a factor of four are cut evenly, wider ones by magnitude; both ends
+    always fall into different buckets.
+    """
+    even = F.expr("(lo > 0 and hi < 4 * lo and hi < double('infinity')) or (hi < 0 and lo > 4 * hi and lo > -double('infinity'))")
+    # Halves keep the width of a range finite.
+    place = F.when(even, (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise(
+        (_scale("v") - _scale("lo")) / (_scale("hi") - _scale("lo"))
     )
-    order = Window.partitionBy(*by, "feature", "which").orderBy(F.col("v").asc_nulls_first())
-    ranked = cells.withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda position: F.min(F.when(F.col("upto") > position, F.col("v")))
-    picked = (
-        ranked.groupBy(*by, "feature", "n", "which", "pos")
-        .agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
-        .withColumn("value", F.expr("a + (pos - floor(pos)) * (b - a)"))
+    bucket = F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("int")
+    cells = (
+        _within(rows, targets, keys).withColumn("bucket", bucket)
+        .groupBy(*own, "which", "n", "rank", "bucket")
+        .agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    return picked.groupBy(*by, "feature", "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("which", "value"))), lambda s: s["value"]).alias("q")
+    order = Window.partitionBy(*own, "which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("upto", F.sum("m").over(order))
+    return cells.filter("rank < upto and rank >= upto - m").select(
+        *own, "n", "lo", "hi", "which", (F.col("rank") - (F.col("upto") - F.col("m"))).alias("rank")
     )
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +22,6 @@ from dataquarry.runtime import materialise
 P_VALUE_LIMIT = 0.05
 VIF_LIMIT = 10.0
 TEST_COLUMNS = ["feature", "test", "stat", "dof1", "dof2"]
-# Pairwise correlations of more columns than this go through the Gram matrix.
-PAIRWISE_COLUMNS = 16
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -246,44 +244,31 @@ def paired_ttest(scores: DataFrame, a: str, b: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(a, b, r)`` for every ordered pair of numeric columns, after listwise deletion."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    if len(columns) > PAIRWISE_COLUMNS:
-        matrix = correlation_array(df, columns)
-        rows = [
-            (a, b, None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
-            for i, a in enumerate(columns) for j, b in enumerate(columns)
-        ]
-        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    cells = df.dropna(subset=columns).select(
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"),
-                col(a).cast("double").alias("x"), col(b).cast("double").alias("y"),
-            )
-            for a, b in pairs
-        ]))
-    )
-    upper = cells.groupBy("a", "b").agg(pearson("x", "y").alias("r"))
-    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
-        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    )
-    return upper.select(F.explode(both).alias("p"), "r").select("p.a", "p.b", "r")
+    matrix = correlation_array(df, columns)
+    rows = [
+        (a, b, None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, a in enumerate(columns) for j, b in enumerate(columns)
+    ]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def correlation_array(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """The same matrix on the driver (columns x columns); NaN for constant columns."""
+    """The same matrix on the driver (columns x columns); NaN for constant columns and for less than two rows.
+
+    One pass sums the products of the centred columns: a row stays one row, whatever the number of columns.
+    """
     columns = list(columns)
-    if len(columns) <= PAIRWISE_COLUMNS:
-        place = {c: i for i, c in enumerate(columns)}
-        out = np.full((len(columns), len(columns)), np.nan)
-        for row in correlation_matrix(df, columns).collect():
-            if row["r"] is not None:
-                out[place[row["a"]], place[row["b"]]] = row["r"]
-        return out
     vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(
         df.dropna(subset=columns).select(*[col(c).cast("double").alias(c) for c in columns])
-    )
-    return Correlation.corr(vectors, "_v").first()[0].toArray()
+    ).select("_v")
+    if len(vectors.take(2)) < 2:
+        return np.full((len(columns), len(columns)), np.nan)
+    moments = vectors.select(Summarizer.metrics("min", "max").summary(F.col("_v")).alias("s")).select("s.*").first()
+    matrix = Correlation.corr(vectors, "_v").first()[0].toArray().copy()
+    constant = moments["min"].toArray() == moments["max"].toArray()
+    matrix[constant, :] = np.nan
+    matrix[:, constant] = np.nan
+    return matrix
 
 
 def _vifs(matrix: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from dataquarry.operators.metrics import (
 )
 from dataquarry.operators.sampling import sample_rows
 from dataquarry.operators.stats import P_VALUE_LIMIT, paired_ttest, with_p_values
-from dataquarry.runtime import concurrently
+from dataquarry.runtime import concurrently, materialise
 
 SEED = 42
 MODELS = ("baseline", "linear", "forest", "gradient_boosting")
@@ -46,11 +46,10 @@ def linear_regressor() -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="auto")
 
 
-def forest(task: str, trees: int = 100, max_depth: int = 10):
+def forest(task: str, trees: int = 100, max_depth: int = 30):
     """Random forest: square root of the features per split to classify, all of them to regress.
 
-    MLlib grows trees level by level and bounds their depth; 10 keeps the node
-    statistics of wide tables in memory (30 is the most it allows).
+    Trees grow to 30 levels, the most that MLlib allows; ``max_depth`` bounds them.
     """
     kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
     return kind(
@@ -138,8 +137,10 @@ def select_model(scores: DataFrame, threshold: float = P_VALUE_LIMIT, one_sided:
 def evaluate(pred: DataFrame, task: str) -> DataFrame:
     """``(metric, value)`` on scored rows with ``label`` and ``prediction``."""
     if task == "classification":
-        row = classification_metrics(pred, "label", "prediction").first().asDict()
         scores = next((c for c in ("probability", "rawPrediction") if c in pred.columns), None)
+        # Written once: every metric would score the rows again.
+        pred = materialise(pred.select("label", "prediction", *([scores] if scores else [])), "scored")
+        row = classification_metrics(pred, "label", "prediction").first().asDict()
         classes = [r[0] for r in pred.select("label").distinct().orderBy("label").collect()]
         if scores is not None and len(classes) > 1:
             scored = pred.select("label", vector_to_array(F.col(scores)).alias("s"))
@@ -165,15 +166,16 @@ def linear_attribution(df: DataFrame, coefficients: Sequence[float], names: Sequ
 
 
 def shapley_attribution(
-    df: DataFrame, key: str, model, names: Sequence[str], task: str, rows: int = 100, permutations: int = 4
+    df: DataFrame, key: str, model, names: Sequence[str], task: str, background_rows: int = 100, permutations: int = 4
 ) -> DataFrame:
-    """``(feature, mean_abs)`` by sampled permutations, for any fitted model.
+    """``(feature, mean_abs)`` over all rows by sampled permutations, for any fitted model.
 
-    Each sampled row walks from a background row to itself, one feature at a time;
-    the walk's steps are rows of a DataFrame and the model scores them all at once.
+    Each row walks from a background row (of a hash sample of ``background_rows``) to
+    itself, one feature at a time; the walk's steps are rows of a DataFrame and the
+    model scores them all at once.
     """
-    sample = sample_rows(df, key, rows).select(key, vector_to_array("features").alias("x"))
-    background = np.array([r["x"] for r in sample_rows(df, key, rows, salt="background").select(vector_to_array("features").alias("x")).collect()])
+    everything = df.select(key, vector_to_array("features").alias("x")).repartition(F.col(key))
+    background = np.array([r["x"] for r in sample_rows(df, key, background_rows, salt="background").select(vector_to_array("features").alias("x")).collect()])
     d = len(names)
 
     def walks(batches):
@@ -207,7 +209,7 @@ def shapley_attribution(
             seen[at] = start + len(frame)
             yield frame
 
-    source = sample.select(F.col(key).cast("string").alias("key"), key_hash(F.col(key), "walk").alias("seed"), "x")
+    source = everything.select(F.col(key).cast("string").alias("key"), key_hash(F.col(key), "walk").alias("seed"), "x")
     steps = source.mapInPandas(_ordered, "key string, walk int, feature int, x array<double>, step int")
     scored = model.transform(steps.withColumn("features", array_to_vector("x")))
     if task == "classification":

@@ -22,10 +22,10 @@ def _folder(root: str, run: str, phase: str) -> str:
 
 
 def checkpoint_write(df: DataFrame, root: str, run: str, phase: str, metadata: dict | None = None) -> tuple[str, str]:
-    """Write a phase's table as Parquet and its metadata as JSON; returns both paths."""
+    """Write a phase's table as Parquet and its metadata (null without any) as JSON; returns both paths."""
     folder = _folder(root, run, phase)
     df.write.mode("overwrite").parquet(f"{folder}/data")
-    text = json.dumps(metadata or {}, ensure_ascii=False, default=str)
+    text = json.dumps(metadata, ensure_ascii=False)
     spark = df.sparkSession
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
     return f"{folder}/data", f"{folder}/metadata"
@@ -39,7 +39,7 @@ def checkpoint_read(spark: SparkSession, root: str, run: str, phase: str) -> tup
     metadata = None
     if path_size(spark, f"{folder}/metadata")[0]:
         lines = [r["value"] for r in spark.read.option("wholetext", True).text(f"{folder}/metadata").collect()]
-        metadata = json.loads("".join(lines) or "{}")
+        metadata = json.loads("".join(lines) or "null")
     return spark.read.parquet(f"{folder}/data"), metadata
 
 

@@ -8,6 +8,7 @@ import logging
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from dataquarry.functions.scalars import nan_to_null
 from dataquarry.operators.columns import col
+from dataquarry.runtime import materialise
 
 log = logging.getLogger(__name__)
 
@@ -49,21 +51,35 @@ def sniff_delimiter(header: str) -> str:
         return max(found, key=header.count) if found else ","
 
 
-def scan_csv_sniffed(spark: SparkSession, path: str) -> DataFrame:
+def header_names(cells: list[str | None]) -> list[str]:
+    """Column names of a header: empty cells are ``Unnamed: i``, repeated names get ``.1``, ``.2``, ..."""
+    plain = [c if c else f"Unnamed: {i}" for i, c in enumerate(cells)]
+    out: list[str] = []
+    for name in plain:
+        new, n = name, 0
+        while new in out or (n and new in plain):
+            n += 1
+            new = f"{name}.{n}"
+        out.append(new)
+    return out
+
+
+def scan_csv_sniffed(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """CSV as strings, delimiter sniffed from the header line.
 
-    Rows with too few fields are padded with nulls, rows with too many are left
-    out.  Neither parser mode does both: permissive keeps the long rows, dropping
-    malformed rows loses the short ones.
+    Quoted fields may hold line breaks, so a file is one task; ``multiline=False`` reads
+    files without such breaks in splits.  Rows with too few fields are padded with
+    nulls, rows with too many are left out.  Neither parser mode does both: permissive
+    keeps the long rows, dropping malformed rows loses the short ones.
     """
     head = spark.read.text(path).limit(1).collect()
     if not head:
         raise ValueError(f"no columns in {path}")
     sep = sniff_delimiter(head[0][0])
     names = next(csv.reader([head[0][0].lstrip("﻿")], delimiter=sep))
-    names = [n if n else f"Unnamed: {i}" for i, n in enumerate(names)]
+    names = header_names(names)
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-    options = {"sep": sep, "escape": '"', "nullValue": "", "emptyValue": ""}
+    options = {"sep": sep, "escape": '"', "nullValue": "", "emptyValue": "", "multiLine": multiline}
     rows = (
         spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw")
         .option("columnPruning", False)  # a pruned parser does not count the fields
@@ -115,11 +131,15 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return infer_types(scan_csv_sniffed(spark, path))
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return infer_types(scan_csv_sniffed(spark, path, multiline))
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+# The built-in number formats that show dates or times.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+_DATE_CELL = "timestamp "
 
 
 def _column_number(ref: str) -> int:
@@ -129,6 +149,40 @@ def _column_number(ref: str) -> int:
     return n - 1
 
 
+def _first_sheet_name(book: zipfile.ZipFile) -> str:
+    """The part that holds the first sheet in the workbook's own order."""
+    names = book.namelist()
+    sheet = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"), None) if "xl/workbook.xml" in names else None
+    if sheet is not None and "xl/_rels/workbook.xml.rels" in names:
+        for relation in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            if relation.get("Id") == sheet.get(f"{_RELATION}id"):
+                target = relation.get("Target", "")
+                return target[1:] if target.startswith("/") else f"xl/{target}"
+    return min((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """The cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    custom = set()
+    for f in root.iter(f"{_SHEET}numFmt"):
+        letters = re.sub(r'"[^"]*"|\\.|\[(?![hms]+\])[^\]]*\]', "", f.get("formatCode", "").lower())
+        if re.search(r"[dmyhs]", letters.split(";")[0]) and "general" not in letters:
+            custom.add(int(f.get("numFmtId")))
+    cells = root.find(f"{_SHEET}cellXfs")
+    formats = [int(x.get("numFmtId", 0)) for x in cells] if cells is not None else []
+    return {i for i, f in enumerate(formats) if f in _DATE_FORMATS or f in custom}
+
+
+def _as_timestamp(serial: str, from_1904: bool) -> str:
+    """A serial day number as a timestamp, to the millisecond."""
+    days = float(serial)
+    start = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30 if days >= 60 else 31)
+    return _DATE_CELL + (start + timedelta(milliseconds=round(days * 86_400_000))).isoformat(sep=" ")
+
+
 def _first_sheet(content: bytes) -> Iterator[list[str | None]]:
     """Rows of the first worksheet of an .xlsx file."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -137,8 +191,10 @@ def _first_sheet(content: bytes) -> Iterator[list[str | None]]:
         if "xl/sharedStrings.xml" in names:
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si"):
                 shared.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
-        sheets = sorted((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{_SHEET}row"):
+        dates = _date_styles(book)
+        properties = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}workbookPr"), None) if "xl/workbook.xml" in names else None
+        from_1904 = properties is not None and properties.get("date1904") in ("1", "true")
+        for row in ElementTree.fromstring(book.read(_first_sheet_name(book))).iter(f"{_SHEET}row"):
             cells: list[str | None] = []
             for at, c in enumerate(row.iter(f"{_SHEET}c")):
                 place = _column_number(c.get("r")) if c.get("r") else at
@@ -148,6 +204,8 @@ def _first_sheet(content: bytes) -> Iterator[list[str | None]]:
                     cells[place] = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
                 elif v is not None and v.text is not None:
                     text = shared[int(v.text)] if kind == "s" else v.text
+                    if kind in (None, "n") and int(c.get("s", 0)) in dates:
+                        text = _as_timestamp(text, from_1904)
                     cells[place] = {"0": "False", "1": "True"}[text] if kind == "b" else text
             yield cells
 
@@ -165,7 +223,7 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 for cells in _first_sheet(bytes(content)):
                     if header is None:
-                        header = [c if c is not None else f"Unnamed: {i}" for i, c in enumerate(cells)]
+                        header = header_names([(c or "").removeprefix(_DATE_CELL) for c in cells])
                         continue
                     pairs = {h: cells[i] if i < len(cells) else None for i, h in enumerate(header)}
                     rows.append((name, len(rows) + 1, pairs))
@@ -178,13 +236,21 @@ def workbook_table(rows: DataFrame) -> DataFrame:
     """Parsed workbooks as one typed table; only the header names reach the driver."""
     heads = rows.filter("row_no = 1").select(F.posexplode(F.map_keys("cells")).alias("at", "name"))
     names = [r["name"] for r in heads.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
-    return infer_types(rows.select(*[F.col("cells")[n].alias(n) for n in names]))
+    table = rows.select(*[F.col("cells")[n].alias(n) for n in names])
+    if not names:
+        return table
+    # A column of dates only becomes a timestamp; among other values a date stays text.
+    other = table.agg(*[F.count_if(~col(n).startswith(_DATE_CELL)).alias(str(i)) for i, n in enumerate(names)],
+                      *[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    dated = {n for i, n in enumerate(names) if other[f"n{i}"] and not other[str(i)]}
+    text = {n: F.when(col(n).startswith(_DATE_CELL), F.substring(col(n), len(_DATE_CELL) + 1, 40)).otherwise(col(n)) for n in names}
+    return infer_types(table.select(*[(text[n].cast("timestamp") if n in dated else text[n]).alias(n) for n in names]))
 
 
 def scan_excel(spark: SparkSession, path: str) -> DataFrame:
     """The first sheets of the .xlsx files under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return workbook_table(parse_workbooks(files))
+    return workbook_table(materialise(parse_workbooks(files), "workbooks"))
 
 
 def path_size(spark: SparkSession, path: str) -> tuple[bool, int]:

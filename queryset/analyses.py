@@ -12,7 +12,6 @@ from dataquarry.plans.supervised import run_supervised
 from dataquarry.plans.topics import run_topics
 from dataquarry.runtime import spread
 from queryset.common import LI_SQL, Registry, li_nulls, orders_cls, table, unpivot_sql
-from queryset.models import ROUNDS, TREES
 
 REGISTRY = Registry()
 
@@ -39,13 +38,13 @@ def report_tables(spark, sf):
 @REGISTRY.add("supervised_analysis")
 def supervised_analysis(spark, sf):
     df = orders_cls(spark, sf).drop("pred")
-    return supervised_report(run_supervised(df, "o_orderkey", "y", "classification", rounds=ROUNDS, trees=TREES))
+    return supervised_report(run_supervised(df, "o_orderkey", "y", "classification"))
 
 
 @REGISTRY.add("supervised_regression")
 def supervised_regression(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", F.expr("p_retailprice + 10 * p_size").alias("target"))
-    return supervised_report(run_supervised(df, "p_partkey", "target", "regression", rounds=ROUNDS, trees=TREES))
+    return supervised_report(run_supervised(df, "p_partkey", "target", "regression"))
 
 
 @REGISTRY.add("cluster_analysis")

@@ -63,7 +63,7 @@ def cluster_profile_numeric(spark, sf):
 @REGISTRY.add("cluster_profile_categorical", f"""with {EV_SQL}, n as (select cluster, event_type as v, count(*) as n from ev group by 1, 2)
 select cluster, 'event_type' as "column", arg_min(v, (-n, v)) as mode, max(n) as mode_count, count(*) as n_categories, cast(sum(n) as bigint) as total from n group by 1""")
 def cluster_profile_categorical(spark, sf):
-    out = K.cluster_profile_categorical(ev_clusters(spark, sf), "cluster", ["event_type"])
+    out = K.cluster_profile_categorical(ev_clusters(spark, sf), "cluster", ["event_type"], maps=True)
     total = F.aggregate(F.map_values("categories"), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.select("cluster", "column", "mode", "mode_count", F.size("categories").cast("bigint").alias("n_categories"), total.alias("total"))
 
@@ -83,8 +83,7 @@ def plot_data(spark, sf):
 
 
 @REGISTRY.add("plot_scatter", """
-select vec_id, label, round(cast(embedding[1] as double), 5) as pca1, round(cast(embedding[2] as double), 5) as pca2 from embeddings
-order by md5('42' || cast(vec_id as varchar)), vec_id limit 2000""")
+select vec_id, label, round(cast(embedding[1] as double), 5) as pca1, round(cast(embedding[2] as double), 5) as pca2 from embeddings""")
 def plot_scatter(spark, sf):
     out = K.scatter_points(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
     return out.withColumns({c: rnd(c, 5) for c in ("pca1", "pca2")})

@@ -12,9 +12,6 @@ from queryset.common import ORDERS_SQL, Registry, orders_cls, rnd, table
 
 REGISTRY = Registry()
 
-# The library defaults are 100 trees and 100 boosting rounds; the registered model
-# queries fit fewer so that a run over all queries stays short.
-TREES, ROUNDS = 20, 10
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -59,20 +56,20 @@ def fit_linear_regressor(spark, sf):
 @REGISTRY.add("fit_forest")
 def fit_forest(spark, sf):
     train, test, _ = _training(spark, sf)
-    return _counts(M.forest("classification", TREES).fit(train).transform(test))
+    return _counts(M.forest("classification").fit(train).transform(test))
 
 
 @REGISTRY.add("fit_gradient_boosting")
 def fit_gradient_boosting(spark, sf):
     train, test, _ = _training(spark, sf)
-    return _counts(M.gradient_boosting("classification", rounds=ROUNDS).fit(train).transform(test))
+    return _counts(M.gradient_boosting("classification").fit(train).transform(test))
 
 
 @REGISTRY.add("cross_validate")
 def cross_validate(spark, sf):
     df = orders_cls(spark, sf).withColumn("label", F.col("y").cast("double"))
     df = kfold_assign(df, "o_orderkey", "y").persist()
-    return M.cross_validate(df, ["o_custkey", "f"], ["o_orderstatus"], "classification", rounds=ROUNDS, trees=TREES)
+    return M.cross_validate(df, ["o_custkey", "f"], ["o_orderstatus"], "classification")
 
 
 @REGISTRY.add("evaluate")
@@ -93,5 +90,5 @@ def feature_attribution(spark, sf):
 def feature_attribution_trees(spark, sf):
     """Sampled-walk attribution of a boosted model."""
     train, test, names = _training(spark, sf)
-    model = M.gradient_boosting("classification", rounds=ROUNDS).fit(train)
+    model = M.gradient_boosting("classification").fit(train)
     return M.feature_attribution(test, "o_orderkey", model, names, "classification")

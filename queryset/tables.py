@@ -44,6 +44,22 @@ def scan_csv_sniffed(spark, sf):
     return S.scan_csv_sniffed(spark, _csv(spark, table(spark, sf, "supplier"), "supplier", ";"))
 
 
+@REGISTRY.add("scan_csv_messy", """
+select cast(s_suppkey as varchar) as id, s_name || chr(10) || 'said "' || cast(s_nationkey as varchar) || '"' as note,
+  case when s_suppkey % 5 = 0 then null else cast(s_acctbal as varchar) end as "id.1" from supplier where s_suppkey % 7 <> 0""")
+def scan_csv_messy(spark, sf):
+    """Quoted line breaks and quotes, rows that are too short or too long, a repeated name."""
+    note = F.concat(F.lit('"'), "s_name", F.lit('\nsaid ""'), F.col("s_nationkey").cast("string"), F.lit('"""'))
+    short = F.concat_ws(";", F.col("s_suppkey").cast("string"), note)
+    full = F.concat_ws(";", short, F.col("s_acctbal").cast("string"))
+    line = F.when(F.expr("s_suppkey % 7 = 0"), F.concat_ws(";", full, F.lit("more"))).when(F.expr("s_suppkey % 5 = 0"), short).otherwise(full)
+    lines = table(spark, sf, "supplier").select("s_suppkey", line.alias("value"))
+    head = spark.createDataFrame([(-1, "id;note;id")], "s_suppkey bigint, value string")
+    path = new_path(spark, "messy") + ".csv"
+    head.union(lines).coalesce(1).sortWithinPartitions("s_suppkey").select("value").write.text(path)
+    return S.scan_csv_sniffed(spark, path)
+
+
 @REGISTRY.add("infer_types", """
 select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey,
   case when c_custkey % 7 = 0 then null else c_acctbal end as c_acctbal,

@@ -55,27 +55,48 @@ def test_null_text_counts_as_three_characters(spark):
     assert P.semantic_types(df, null_length=None) == {"s": "Texto Libre"}
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
 @pytest.mark.parametrize("n", [1, 2, 1000])
-def test_exact_quantiles(spark, limit, n):
+def test_exact_quantiles(spark, n):
     rng = np.random.default_rng(n)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, n), "x": rng.normal(size=n).round(2), "y": rng.integers(0, 4, n).astype(float)})
     probs = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
-    got = O.exact_quantiles(spark.createDataFrame(pdf), ["x", "y"], probs, ["g"], direct_limit=limit).collect()
+    got = O.exact_quantiles(spark.createDataFrame(pdf), ["x", "y"], probs, ["g"]).collect()
     assert len(got) == 2 * pdf["g"].nunique()
     for r in got:
         s = pdf.loc[pdf["g"] == r["g"], r["feature"]]
         assert r["n"] == len(s) and np.allclose(r["q"], np.quantile(s, probs))
 
 
-def test_bracketed_quantiles_with_a_hot_value(spark, monkeypatch):
-    # A coarse sketch, so that brackets are narrower than the column; a third of the rows are equal.
-    monkeypatch.setattr(O, "SKETCH_ACCURACY", 200)
+def test_quantiles_with_a_hot_value(spark):
+    # A third of the rows are equal.
     values = np.concatenate([np.full(4000, 7.0), np.random.default_rng(3).normal(5, 3, 8000)])
-    got = O.exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": values})), ["x"], [0.25, 0.5, 0.6], direct_limit=0).first()
+    got = O.exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": values})), ["x"], [0.25, 0.5, 0.6]).first()
     assert np.allclose(got["q"], np.quantile(values, [0.25, 0.5, 0.6]))
 
 
+def test_quantiles_of_extremes(spark):
+    inf, nan = float("inf"), float("nan")
+    columns = {
+        "inf": [-inf, -inf, -1e300, -5e-324, 0.0, 5e-324, 1.0, 1e300, inf], "nan": [1.0, 2.0, nan, nan, None, None, None, None, None],
+        "one": [3.5] + [None] * 8, "none": [None] * 9, "close": [1.0, 1.0 + 2**-52, 1.0 + 2**-51, -1.0, -1.0 - 2**-52, 1.0, 1.0, -0.0, 0.0],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {r["feature"]: (r["n"], r["q"]) for r in O.exact_quantiles(df, list(columns), probs).collect()}
+    assert set(got) == {"inf", "nan", "one", "close"}
+    assert got["inf"] == (9, [-inf, -1e300, 0.0, 1.0, inf]) and got["one"] == (1, [3.5] * 5)
+    assert got["nan"][0] == 4 and got["nan"][1][:2] == [1.0, 1.75] and np.isnan(got["nan"][1][3:]).all()
+    assert got["close"][1] == list(np.quantile(columns["close"], probs))
+
+
+def test_quantiles_of_many_skewed_rows(spark):
+    values = np.exp(np.random.default_rng(8).normal(0, 12, 300_000))
+    values[:50_000] = 0.0
+    probs = [0.01, 0.2, 0.5, 0.9, 0.999]
+    got = O.exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": values})), ["x"], probs).first()
+    assert got["n"] == 300_000 and np.allclose(got["q"], np.quantile(values, probs), rtol=1e-12)
+
+
 def test_running_totals(spark):
     df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("s"), (F.col("id") % 5).alias("w"))
     pdf = df.toPandas().sort_values("s")

@@ -34,6 +34,17 @@ def test_csv_quotes_and_delimiters(spark, tmp_path):
     assert S.sniff_delimiter("single") == ","
 
 
+def test_csv_line_breaks_and_repeated_names(spark, tmp_path):
+    f = tmp_path / "breaks.csv"
+    f.write_text('a,b,a,,a\n1,"x\ny ""z""",2,3,4\n5,"\n",6\n7,8,9,10,11,12\n')
+    df = S.read_csv(spark, str(f))
+    assert df.columns == ["a", "b", "a.1", "Unnamed: 3", "a.2"]
+    assert sorted(rows(df), key=str) == [(1, 'x\ny "z"', 2, 3, 4), (5, "\n", 6, None, None)]
+    assert S.header_names(["a", "a", "a.1", "a"]) == ["a", "a.2", "a.1", "a.3"]
+    (tmp_path / "plain.csv").write_text("a,b\n1,2\n3,4\n")
+    assert sorted(rows(S.read_csv(spark, str(tmp_path / "plain.csv"), multiline=False))) == [(1, 2), (3, 4)]
+
+
 def test_infer_types_reads_missing_tokens(spark):
     df = spark.createDataFrame([("1", "True", "", "x"), ("NaN", "false", "null", "NA"), ("-3", None, "N/A", "2")], "i string, b string, e string, s string")
     out = S.infer_types(df)
@@ -64,6 +75,30 @@ def test_workbooks(spark, tmp_path):
     assert set(rows(df)) == {("x", 1.5), (None, 2.0)}
 
 
+def test_workbook_order_dates_and_names(spark, tmp_path):
+    main = "xmlns='http://schemas.openxmlformats.org/spreadsheetml/2006/main'"
+    office = "xmlns:r='http://schemas.openxmlformats.org/officeDocument/2006/relationships'"
+    text = lambda t: f"<c t='inlineStr'><is><t>{t}</t></is></c>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {main} {office}><sheets><sheet name='b' r:id='rId2'/><sheet name='a' r:id='rId1'/></sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'>"
+                   "<Relationship Id='rId1' Target='worksheets/sheet1.xml'/><Relationship Id='rId2' Target='/xl/worksheets/sheet2.xml'/></Relationships>")
+        z.writestr("xl/styles.xml", f"<styleSheet {main}><numFmts><numFmt numFmtId='170' formatCode='dd/mm/yyyy hh:mm'/><numFmt numFmtId='171' formatCode='0.00 &quot;days&quot;'/>"
+                   "</numFmts><cellXfs><xf numFmtId='0'/><xf numFmtId='14'/><xf numFmtId='170'/><xf numFmtId='171'/></cellXfs></styleSheet>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData><row>{text('wrong')}</row></sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {main}><sheetData><row>{text('d')}{text('d')}{text('n')}{text('m')}</row>"
+                   f"<row><c s='1'><v>45292</v></c><c s='2'><v>45292.75</v></c><c s='3'><v>1.5</v></c><c s='1'><v>1</v></c></row>"
+                   f"<row><c s='1'><v>60.5</v></c><c s='2'/><c><v>2</v></c>{text('x')}</row></sheetData></worksheet>")
+    (tmp_path / "b.xlsx").write_bytes(out.getvalue())
+    df = S.scan_excel(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("d", "timestamp"), ("d.1", "timestamp"), ("n", "double"), ("m", "string")]
+    got = df.select(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    assert sorted(rows(got), key=str) == sorted(
+        [("2024-01-01 00:00:00", "2024-01-01 18:00:00", "1.5", "1900-01-01 00:00:00"), ("1900-02-28 12:00:00", None, "2.0", "x")], key=str
+    )
+
+
 def test_scan_auto_errors_and_warns(spark, tmp_path, caplog):
     with pytest.raises(FileNotFoundError):
         S.scan_auto(spark, str(tmp_path / "none.csv"))
@@ -91,6 +126,8 @@ def test_checkpoints(spark, tmp_path):
     assert K.checkpoint_read(spark, root, "a_b", "fase_0_clean") == (None, None)
     with pytest.raises(ValueError):
         K.checkpoint_write(spark.range(1).toDF("x"), root, " ", "p")
+    K.checkpoint_write(spark.range(1).toDF("x"), root, "a", "bare")
+    assert K.checkpoint_read(spark, root, "a", "bare")[1] is None
 
 
 def test_saved_model_scores_the_same(spark, tmp_path):
