@@ -24,6 +24,19 @@ def isolation_forest(spark, sf):
     return A.isolation_forest(table(spark, sf, "events"), "event_id", ["value", "user_id"]).select("event_id", "__anomaly_label__")
 
 
+@REGISTRY.add("isolation_forest_share", """
+select count(*) as n, count(distinct event_id) as keys, count(*) - 1 - cast(floor(0.95 * (count(*) - 1)) as bigint) as most, true as found from events""")
+def isolation_forest_share(spark, sf):
+    """All rows are labelled, and at most those above the cut as anomalies."""
+    out = A.isolation_forest(table(spark, sf, "events"), "event_id", ["value", "user_id"])
+    flagged = F.count_if(F.col("__anomaly_label__") == -1)
+    most = F.count(F.lit(1)) - 1 - F.floor(0.95 * (F.count(F.lit(1)) - 1))
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("keys"), most.alias("most"),
+        ((flagged > 0) & (flagged <= most)).alias("found"),
+    )
+
+
 @REGISTRY.add("build_feature_space", """
 with q as (select quantile_cont(c_acctbal, 0.25) as a1, quantile_cont(c_acctbal, 0.5) as a2, quantile_cont(c_acctbal, 0.75) as a3,
   quantile_cont(c_nationkey, 0.25) as b1, quantile_cont(c_nationkey, 0.5) as b2, quantile_cont(c_nationkey, 0.75) as b3 from customer)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dataquarry.operators import features as X
 from dataquarry.operators import supervised as M
 from dataquarry.operators.sampling import kfold_assign, train_test_split
-from queryset.common import ORDERS_SQL, Registry, orders_cls, rnd, table
+from queryset.common import ORDERS_SQL, Registry, orders_cls, rnd, sql_hash, table
 
 REGISTRY = Registry()
 
@@ -72,6 +72,40 @@ def cross_validate(spark, sf):
     return M.cross_validate(df, ["o_custkey", "f"], ["o_orderstatus"], "classification")
 
 
+_FOLDS = f"""d as (select p_retailprice as y, cast(p_size as double) as x, {sql_hash('p_partkey', 'fold')} % 5 as fold from part),
+ k as (select unnest(range(5)) as fold),
+ fit as (select k.fold, quantile_cont(y, 0.5) as middle, regr_slope(y, x) as b, regr_intercept(y, x) as a from k join d on d.fold <> k.fold group by 1)"""
+
+
+@REGISTRY.add("cross_validate_linear", f"""with {_FOLDS}
+select 'baseline' as model, cast(fold as integer) as fold, round(-sqrt(avg((y - middle) ** 2)), 4) as score from d join fit using (fold) group by 2
+union all select 'linear', cast(fold as integer), round(-sqrt(avg((y - a - b * x) ** 2)), 4) from d join fit using (fold) group by 2""")
+def cross_validate_linear(spark, sf):
+    """The median and a line through one feature, fold by fold."""
+    df = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("label"), F.col("p_size").cast("double").alias("p_size"))
+    folded = kfold_assign(df, "p_partkey")
+    return M.cross_validate(folded, ["p_size"], [], "regression", models=("baseline", "linear")).withColumn("score", rnd("score"))
+
+
+@REGISTRY.add("evaluate_scored", f"""with {ORDERS_SQL}, k as (select distinct y as c from ord),
+ s as (select c, (select count(*) from ord where y = c) as n, (select count(*) from ord where pred = c) as m,
+   (select count(*) from ord where y = c and pred = c) as tp from k),
+ r as (select score, sum(y) as p, sum(1 - y) as q from ord group by 1),
+ b as (select p, q, sum(q) over (order by score) - q as below from r)
+select 'accuracy' as metric, round(sum(tp) / sum(n), 4) as value from s
+union all select 'precision', round(sum(n * case when m > 0 then tp / m else 0 end) / sum(n), 4) from s
+union all select 'recall', round(sum(n * (tp / n)) / sum(n), 4) from s
+union all select 'f1', round(sum(n * (2 * tp / (n + m))) / sum(n), 4) from s
+union all select 'roc_auc', round(sum(p * (below + q / 2)) / sum(p) / sum(q), 4) from b""")
+def evaluate_scored(spark, sf):
+    """The metrics of predictions and probabilities made by a rule."""
+    df = orders_cls(spark, sf).select(
+        F.col("y").cast("double").alias("label"), F.col("pred").cast("double").alias("prediction"),
+        array_to_vector(F.array(1 - F.col("score"), F.col("score"))).alias("probability"),
+    )
+    return M.evaluate(df, "classification").withColumn("value", rnd("value"))
+
+
 @REGISTRY.add("evaluate")
 def evaluate(spark, sf):
     train, test, _ = _training(spark, sf)

@@ -89,6 +89,22 @@ def select_by_pvalue(spark, sf):
     return S.select_by_pvalue(orders_cls(spark, sf).drop("o_orderkey"), "y", "classification")
 
 
+# Critical values at 5 %: z^2 with its first correction for F(1, d), and chi-squared by its degrees of freedom.
+_APPROVED = """case when test = 'anova' then stat > 3.8415 + 9.3 / dof2 else stat > case dof1 when 1 then 3.8415 when 2 then 5.9915
+  when 3 then 7.8147 when 4 then 9.4877 when 5 then 11.0705 else 12.5916 end end"""
+
+
+@REGISTRY.add("select_by_pvalue_approved", f"""with a as ({_anova_sql(
+    unpivot_sql("ord", ["o_custkey", "o_totalprice", "f", "score", "pred"], keep="y as grp, "), f"with {ORDERS_SQL},")}), c as ({_CHI2}),
+ t as (select * from a union all select * from c where feature <> 'pred'),
+ names as (select unnest(['o_custkey', 'o_orderstatus', 'o_orderpriority', 'o_totalprice', 'f', 'score', 'pred']) as feature, unnest(range(1, 8)) as ordinal)
+select feature, cast(ordinal as integer) as ordinal, test, stat, coalesce({_APPROVED}, false) as approved from names left join t using (feature)""")
+def select_by_pvalue_approved(spark, sf):
+    """The statistics and the verdicts of the selection."""
+    out = S.select_by_pvalue(orders_cls(spark, sf).drop("o_orderkey"), "y", "classification")
+    return _rounded(out).select("feature", "ordinal", "test", "stat", "approved")
+
+
 @REGISTRY.add("hypothesis_tests", _anova_sql(
     unpivot_sql("ord", ["o_custkey", "o_totalprice", "f", "score", "pred"], keep="y as grp, "), f"with {ORDERS_SQL},"))
 def hypothesis_tests(spark, sf):

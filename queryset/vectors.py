@@ -165,6 +165,22 @@ def kmeans_sweep(spark, sf):
     return K.kmeans_sweep(T.reduce_vectors(table(spark, sf, "embeddings"), "embedding"), "vec_id")[0]
 
 
+def _which_sql(which: int, label: str) -> str:
+    own = f"own as (select vec_id, v, {label} as label from e where label <> -1)"
+    pairs = _PAIRS.replace("list_distance(a.v, b.v)", "list_distance(a.v, b.v) ** 2")
+    rest = _SIL.replace(_PAIRS, pairs)
+    first = EMB_SQL[: EMB_SQL.index("own as")]
+    return f"select {which} as which, round(silhouette, 6) as silhouette from (with {first} {own}, {rest} select silhouette from sil)"
+
+
+@REGISTRY.add("sweep_silhouettes", _which_sql(0, "label") + " union all " + _which_sql(1, "cast(vec_id % 3 as integer)"))
+def sweep_silhouettes(spark, sf):
+    """The measure of the k sweep for two given labellings in one pass, checked against all pairs."""
+    df = labelled(spark, sf).withColumn("labels", F.array(F.col("label").cast("int"), F.expr("cast(vec_id % 3 as int)")))
+    found = K.squared_silhouettes(df, "embedding", "labels")
+    return spark.createDataFrame(sorted(found.items()), "which int, silhouette double").withColumn("silhouette", rnd("silhouette", 6))
+
+
 @REGISTRY.add("reduce_vectors")
 def reduce_vectors(spark, sf):
     out = T.reduce_vectors(table(spark, sf, "embeddings"), "embedding")
