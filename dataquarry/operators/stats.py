@@ -271,20 +271,47 @@ def correlation_array(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return matrix
 
 
-def _vifs(matrix: np.ndarray) -> np.ndarray:
-    """Variance inflation of every column from their correlation matrix; inf when collinear."""
-    k = len(matrix)
-    out = np.full(k, np.nan)
-    live = [j for j in range(k) if not np.isnan(matrix[j, j])]
-    for j in live:
-        rest = [i for i in live if i != j]
-        if not rest:
-            out[j] = 1.0
-            continue
-        r = matrix[rest, j]
-        explained = float(r @ np.linalg.pinv(matrix[np.ix_(rest, rest)], rcond=1e-10, hermitian=True) @ r)
-        out[j] = np.inf if 1.0 - explained < 1e-9 else 1.0 / (1.0 - explained)
-    return out
+class _Inflation:
+    """Variance inflation of columns from their correlation matrix, while columns are removed one by one.
+
+    One decomposition serves all columns: the inflation of a column is its diagonal
+    element of the inverse, and infinite if a null direction of the matrix involves it.
+    Without null directions the inverse is kept, and a removal is a rank-one update.
+    """
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = matrix
+        self.left = list(range(len(matrix)))
+        self.live = [j for j in self.left if not np.isnan(matrix[j, j])]
+        self.inverse: np.ndarray | None = None
+
+    def values(self) -> np.ndarray:
+        """By place in ``left``; NaN for constant columns, inf for collinear ones."""
+        found = {}
+        if self.live:
+            if self.inverse is None:
+                sizes, vectors = np.linalg.eigh(self.matrix[np.ix_(self.live, self.live)])
+                null = sizes <= 1e-10 * max(sizes[-1], 1.0)
+                diagonal = (vectors[:, ~null] ** 2 / sizes[~null]).sum(axis=1)
+                involved = (vectors[:, null] ** 2).sum(axis=1) > 1e-9
+                diagonal[involved] = np.inf
+                if not null.any():
+                    self.inverse = (vectors / sizes) @ vectors.T
+            else:
+                diagonal = np.diag(self.inverse).copy()
+            diagonal[diagonal > 1e9] = np.inf
+            found = dict(zip(self.live, np.maximum(diagonal, 1.0)))
+        return np.array([found.get(j, np.nan) for j in self.left])
+
+    def remove(self, column: int) -> None:
+        self.left.remove(column)
+        if column in self.live:
+            at = self.live.index(column)
+            self.live.remove(column)
+            if self.inverse is not None:
+                rest = np.arange(len(self.inverse)) != at
+                row = self.inverse[at, rest]
+                self.inverse = self.inverse[np.ix_(rest, rest)] - np.outer(row, row) / self.inverse[at, at]
 
 
 _VIF_SCHEMA = "feature string, vif double"
@@ -293,7 +320,7 @@ _VIF_SCHEMA = "feature string, vif double"
 def vif_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature, vif)`` after listwise deletion; null for a constant column."""
     columns = list(columns)
-    values = _vifs(correlation_array(df, columns))
+    values = _Inflation(correlation_array(df, columns)).values()
     rows = [(c, None if np.isnan(v) else float(v)) for c, v in zip(columns, values)]
     return df.sparkSession.createDataFrame(rows, _VIF_SCHEMA)
 
@@ -323,11 +350,11 @@ def vif_prune(
     p = {c: (p_values or {}).get(c, 1.0) for c in columns}
     rows: dict[str, tuple] = {c: (c, None, float(p[c]), None) for c in columns}
     if len(columns) >= 2:
-        matrix = correlation_array(df, columns)
-        left = list(range(len(columns)))
+        inflation = _Inflation(correlation_array(df, columns))
+        left = inflation.left
         step = 0
         while len(left) >= 2:
-            vifs = _vifs(matrix[np.ix_(left, left)])
+            vifs = inflation.values()
             for i, v in zip(left, vifs):
                 rows[columns[i]] = (columns[i], None if np.isnan(v) else float(v), float(p[columns[i]]), None)
             if np.all(np.isnan(vifs)) or np.nanmax(vifs) <= threshold:
@@ -339,5 +366,5 @@ def vif_prune(
                 out = max(left, key=lambda i: (rank[i], p[columns[i]], -i))
             step += 1
             rows[columns[out]] = (*rows[columns[out]][:3], step)
-            left.remove(out)
+            inflation.remove(out)
     return df.sparkSession.createDataFrame(list(rows.values()), "feature string, vif double, p double, removed_at int")

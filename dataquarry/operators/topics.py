@@ -269,9 +269,14 @@ def class_tfidf_keywords(df: DataFrame, topic: str, tokens: Column, k: int = KEY
     return topic_keywords(class_tfidf(df, topic, tokens, k, vocab), topic, k)
 
 
-def topic_payload(df: DataFrame, topic: str, key: str, text: str, tokens: Column, vocab: str = "global") -> DataFrame:
-    """``(topic, keywords, context)``: ranked keywords and up to three whole sample texts per topic."""
-    words = class_tfidf_keywords(df, topic, tokens, vocab=vocab)
+def topic_payload(
+    df: DataFrame, topic: str, key: str, text: str, tokens: Column, vocab: str = "global", keywords: DataFrame | None = None
+) -> DataFrame:
+    """``(topic, keywords, context)``: ranked keywords and up to three whole sample texts per topic.
+
+    ``keywords`` hands over what ``class_tfidf_keywords`` has found already.
+    """
+    words = class_tfidf_keywords(df, topic, tokens, vocab=vocab) if keywords is None else keywords
     lists = words.groupBy(topic).agg(_in_order("rank", "term").alias("keywords"))
     samples = sample_per_group(df.filter(F.col(topic) != -1), [topic], key, CONTEXTS, text)
     context = samples.groupBy(topic).agg(_in_order("rank", text).alias("context"))

@@ -74,10 +74,11 @@ def run_topics(
         return TopicResult(rows=rows.drop("vector"), vectors=reduced, stats=topic_stats(rows, "Topic_ID"))
     rows = materialise(merge_topics(rows, "vector", "Topic_ID").drop("vector"), "merged")
     tokens = tokenize(F.col("lemmatized"))
+    keywords = materialise(class_tfidf_keywords(rows, "Topic_ID", tokens, vocab=vocab), "keywords")
     return TopicResult(
         rows=rows,
         vectors=reduced,
-        keywords=class_tfidf_keywords(rows, "Topic_ID", tokens, vocab=vocab),
-        payload=topic_payload(rows, "Topic_ID", key, text, tokens, vocab),
+        keywords=keywords,
+        payload=topic_payload(rows, "Topic_ID", key, text, tokens, vocab, keywords),
         stats=topic_stats(rows, "Topic_ID"),
     )

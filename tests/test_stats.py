@@ -134,3 +134,23 @@ def test_group_sample_is_cut_before_the_shuffle(spark):
     assert out.groupBy("g").count().filter("count = 3").count() == 2
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_inflation_of_a_thousand_columns():
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(4000, 1000))
+    x[:, 900:] += x[:, :100]  # a hundred inflated pairs
+    matrix = np.corrcoef(x, rowvar=False)
+    inflation = S._Inflation(matrix)
+    for out in (3, 950, 17):
+        inflation.values()
+        inflation.remove(out)
+    left = inflation.left
+    assert np.allclose(inflation.values(), np.diag(np.linalg.inv(matrix[np.ix_(left, left)])))
+    twin = np.corrcoef(np.c_[x[:, :3], x[:, 0] * 2 + 1, x[:, 1] + x[:, 2]], rowvar=False)
+    inflation = S._Inflation(twin)
+    assert np.isinf(inflation.values()).all()
+    inflation.remove(3)
+    assert inflation.values()[0] < 1.1 and np.isinf(inflation.values()[1:]).all()
+    inflation.remove(4)
+    assert (inflation.values() < 1.1).all()
