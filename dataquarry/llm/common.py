@@ -15,9 +15,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
     A column expression that a lambda refers to would otherwise be computed again
-    for every element; bound as a lambda variable it is a plain reference.
+    for every element; bound as a lambda variable it is a plain reference.  A fold over
+    an empty array binds it without making an array.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -52,7 +53,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataquarry.llm import bpe, htmltext, langid, minhash, simhash, toxicity, urlfilter, warc
-from dataquarry.llm.common import shared_path, source
+from dataquarry.llm.common import shared_path, source, written
 from dataquarry.llm.decontaminate import decontaminate, decontamination_sql
 from dataquarry.llm.sharding import shard_documents, sharding_sql
 from queryset.common import Registry
@@ -17,14 +17,16 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 @REGISTRY.add("op1_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(source(spark, sf_dir, "documents"))
+    """Every twentieth document is searched among all: ``n_near`` counts the others within three bits."""
+    found = written(simhash.edited_fingerprints(source(spark, sf_dir, "documents")), "fingerprints")
+    return simhash.count_near(found, F.col("doc_id") % 20 == 0)
 
 
 @REGISTRY.add("op2_warc")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "archives")
     warc.write_archives(source(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(spark, folder).select(
+    return warc.read_archives(spark, folder, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
     )
 

@@ -135,6 +135,22 @@ def near(fingerprints_: DataFrame, queries: DataFrame, column: str = "fingerprin
     )
 
 
+def count_near(
+    rows: DataFrame, queries: Column, column: str = "fingerprint", radius: int = 3, blocks: int = 4, out: str = "n_near"
+) -> DataFrame:
+    """``out``: for rows that are queries the number of other rows within the radius, else null.
+
+    Copies are counted by fingerprint, and only different fingerprints are compared.
+    """
+    counts = rows.groupBy(column).agg(F.count("*").alias("_copies"))
+    found = near(rows, rows.where(queries), column, radius, blocks).join(counts, F.col("found") == F.col(column))
+    others = found.groupBy("query").agg(F.sum("_copies").alias("_others"))
+    summary = counts.join(others, F.col(column) == F.col("query"), "left").select(
+        F.col(column).alias("_print"), (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_near")
+    )
+    return rows.join(summary, F.col(column) == F.col("_print"), "left").withColumn(out, F.when(queries, F.col("_near"))).drop("_print", "_near")
+
+
 def neighbours(docs: DataFrame, key: str, text: str, groups: int | None = None) -> DataFrame:
     """Every row with the text that follows in the order of falling keys; the last is followed by the first.
 

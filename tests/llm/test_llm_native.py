@@ -89,6 +89,17 @@ def test_block_tables_find_every_near_pair(spark):
         assert len(found) == len(expected) and {tuple(r) for r in found} == expected
 
 
+def test_near_rows_are_counted(spark):
+    draw = random.Random(16)
+    base = draw.getrandbits(128)
+    rows = [(i, "%032x" % (base ^ (1 << draw.randrange(128) if i % 3 else 0) ^ (draw.getrandbits(128) if i % 7 == 0 else 0))) for i in range(60)]
+    found = simhash.count_near(spark.createDataFrame(rows, "doc_id bigint, fingerprint string"), F.col("doc_id") % 20 == 0).collect()
+    apart = lambda p, q: (int(p, 16) ^ int(q, 16)).bit_count()
+    assert {r.doc_id: r.n_near for r in found} == {
+        i: sum(apart(p, q) <= 3 for j, q in rows if j != i) if i % 20 == 0 else None for i, p in rows
+    }
+
+
 def test_shards(spark, make_docs):
     df = make_docs([(i, "x" * (i % 7)) for i in range(3000)]).withColumn("shard", F.lit("clash")).withColumn("slot", F.lit(0))
     rows = sharding.shard_documents(df, rows_per_group=20).collect()
