@@ -1,14 +1,16 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over bytes of distinct words.
 
 Texts are cut into words by the tokenizer's pattern in Arrow batches.  Several documents
-make a chunk: its distinct words, and per document the numbers of its words.  In a chunk
-every distinct word is merged once, by a fold over its bytes that looks pairs up in a
-literal rank map, and documents gather the ids by number.  Nothing is shuffled, and no
-table of words outgrows a chunk.  Decoding concatenates the pieces of the ids.
-
-Bytes travel as hexadecimal text (two digits a byte), which Spark can cut, join and turn
-into binary without a Python function.  The rank map is a two-choice hash table of two
-literal arrays: a piece is in one of two places, so a look-up costs two comparisons.
+make a chunk: its distinct words as byte arrays, and per document the numbers of its
+words.  In a chunk every distinct word is merged once, by a fold over its bytes that
+looks neighbours up in a literal rank map, and documents gather the ids by number.
+Nothing is shuffled, and no table of words outgrows a chunk.  Decoding concatenates the
+pieces of the ids, which are literals in hexadecimal.
+
+A rank is the id of the merged piece, so a word is an array of ids that starts with those
+of its bytes; each is held in one long with the rank of the pair it begins.  The rank map has an entry for every two pieces that make a third, packed
+into one long (left, right, merged: 21 bits each).  It is a two-choice hash table in a
+literal array: an entry is in one of two places, and an empty first place means there is none.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataquarry.llm.common import let, literal_texts
+from dataquarry.llm.common import let, literal_longs, literal_texts
 
 #: Characters of text whose distinct words are merged together; a longer text is a chunk of its own.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 64_000_000
 #: Words of more bytes are merged pair by pair in rounds instead of one place at a time.
 LONG_WORD = 128
 NEVER = 2**31 - 1
+#: Bits of an id in the rank map.
+ID_BITS = 21
+ID_MASK = (1 << ID_BITS) - 1
 
-CHUNK = "words array<binary>, docs array<struct<id:{id}, at:array<int>>>"
+CHUNK = "words array<array<tinyint>>, docs array<struct<id:{id}, at:array<int>>>"
 
 
 @lru_cache(maxsize=4)
@@ -42,56 +47,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Literals of a rank table: the two-choice map, and the pieces by id."""
+    """Literals of a rank table: the map of pairs, and the pieces by id."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.size = max(ranks.values()) + 1
-        bits = max(4, (2 * len(ranks)).bit_length())
+        if self.size > ID_MASK:
+            raise ValueError(f"ids beyond {ID_MASK}")
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("every byte needs an id")
+        pairs = {
+            (ranks[piece[:i]], ranks[piece[i:]]): rank
+            for piece, rank in ranks.items() for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks
+        }
+        #: Whether a piece always ranks behind the pieces it can be made of, so that equal pairs may be merged together.
+        self.ordered = all(rank > max(pair) for pair, rank in pairs.items())
+        bits = max(6, (2 * len(pairs)).bit_length())
         self.mask = (1 << bits) - 1
-        slots: list[bytes | None] = [None] * (1 << bits)
-        for piece in ranks:
-            self._place(slots, piece)
-        self.keys = literal_texts([p.hex().upper() if p is not None else "" for p in slots])
-        self.values = literal_texts([str(ranks[p]) if p is not None else "0" for p in slots]).cast("array<int>")
-        pieces, words = [""] * self.size, [""] * self.size
+        slots = [0] * (1 << bits)
+        for (left, right), rank in pairs.items():
+            self._place(slots, (left << ID_BITS | right) << ID_BITS | rank)
+        self.table = literal_longs(slots)
+        single = [ranks[bytes([b])] for b in range(256)]
+        # By two neighbouring bytes: their first entry of the state.
+        self.bytes = literal_longs([ranks.get(bytes([a, b]), NEVER) << ID_BITS | single[a] for a in range(256) for b in range(256)])
+        self.last = literal_longs([NEVER << ID_BITS | i for i in single])
+        pieces = [""] * self.size
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex().upper()
-        for rank in range(self.size):
-            words[rank] = rank.to_bytes(4, "little").hex()
-        self.pieces, self.words = literal_texts(pieces), literal_texts(words)
-        #: Whether a piece always ranks behind the pieces it can be made of, so that equal pairs may be merged together.
-        self.ordered = all(
-            rank > max(ranks[p[:i]], ranks[p[i:]])
-            for p, rank in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks
-        )
+        self.pieces, self.words = literal_texts(pieces), literal_texts([i.to_bytes(4, "little").hex() for i in range(self.size)])
+        #: Pieces that merges do not lead to; as whole words they have their id all the same.
+        self.unreached = {piece: rank for piece, rank in ranks.items() if len(piece) > 1 and _merged(piece, ranks) != [rank]}
 
-    def _places(self, piece: bytes) -> tuple[int, int]:
-        h = xxhash.xxh64_intdigest(piece.hex().upper().encode(), seed=42)
+    def _places(self, key: int) -> tuple[int, int]:
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42)
         return h & self.mask, (h >> 32) & self.mask
 
-    def _place(self, slots: list[bytes | None], piece: bytes) -> None:
-        at = self._places(piece)[0]
+    def _place(self, slots: list[int], entry: int) -> None:
+        at = self._places(entry >> ID_BITS)[0]
         for _ in range(1000):
-            piece, slots[at] = slots[at], piece
-            if piece is None:
+            entry, slots[at] = slots[at], entry
+            if not entry:
                 return
-            one, two = self._places(piece)
+            one, two = self._places(entry >> ID_BITS)
             at = two if at == one else one
         raise ValueError("no room in the rank table")
 
-    def rank(self, piece: Column) -> Column:
-        """The rank of a piece in hexadecimal, ``NEVER`` if it has none."""
+    def merged(self, left: Column, right: Column) -> Column:
+        """The id of two joined pieces (longs), ``NEVER`` if they make none."""
+        key = F.shiftleft(left, ID_BITS).bitwiseOR(right)
 
-        def look(h: Column) -> Column:
-            one = h.bitwiseAND(self.mask).cast("int")
-            two = F.shiftright(h, 32).bitwiseAND(self.mask).cast("int")
-            return (
-                F.when(F.get(self.keys, one) == piece, F.get(self.values, one))
-                .when(F.get(self.keys, two) == piece, F.get(self.values, two))
-                .otherwise(NEVER)
+        def second(k: Column) -> Column:
+            at = F.shiftright(F.xxhash64(k), 32).bitwiseAND(self.mask).cast("int")
+            return let(F.get(self.table, at), lambda e: F.when(F.shiftright(e, ID_BITS) == k, e.bitwiseAND(ID_MASK)).otherwise(NEVER))
+
+        def first(k: Column) -> Column:
+            return let(
+                F.get(self.table, F.xxhash64(k).bitwiseAND(self.mask).cast("int")),
+                lambda e: F.when(e == 0, F.lit(NEVER).cast("bigint")).when(F.shiftright(e, ID_BITS) == k, e.bitwiseAND(ID_MASK)).otherwise(second(k)),
             )
 
-        return let(F.xxhash64(piece), look)
+        return let(key, first)
+
+
+def _merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece by the rule itself: the leftmost pair of the smallest rank, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+        if rank == NEVER:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
 
 
 @lru_cache(maxsize=4)
@@ -104,38 +130,51 @@ def vocabulary(df: DataFrame, path: str) -> Vocabulary:
     return _vocabulary(path, df.sparkSession.sparkContext.applicationId)
 
 
+def _none() -> Column:
+    return F.array().cast("array<int>")
+
+
 def _pairs(parts: Column, vocab: Vocabulary) -> Column:
+    """The merged id of every two neighbours."""
     return F.when(
         F.size(parts) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: vocab.rank(F.concat(F.get(parts, i - 1), F.get(parts, i)))),
-    ).otherwise(F.array().cast("array<int>"))
+        F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: vocab.merged(F.get(parts, i - 1), F.get(parts, i))),
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
+def _entry(rank: Column, piece: Column) -> Column:
+    """A piece with the rank of the pair it begins: the smallest entry has the smallest rank."""
+    return F.shiftleft(rank, ID_BITS).bitwiseOR(piece)
 
 
 def _merge_place(state: Column, vocab: Vocabulary) -> Column:
-    """Merge the leftmost pair of the smallest rank (numbers of places count from 1)."""
-    parts, ranks = state["parts"], state["ranks"]
-
-    def at(i: Column) -> Column:
-        def join(piece: Column) -> Column:
-            none = F.array().cast("array<int>")
-            left = F.when(i > 1, F.array(vocab.rank(F.concat(F.get(parts, F.greatest(i - 2, F.lit(0))), piece)))).otherwise(none)
-            right = F.when(i < F.size(ranks), F.array(vocab.rank(F.concat(piece, F.get(parts, i + 1))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(parts, 1, i - 1), F.array(piece), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(ranks, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(parts))).alias("ranks"),
-            )
+    """Merge the leftmost pair of the smallest rank (places count from 1).
+
+    In an ordered vocabulary whose pieces are all reached, equal pieces are made of equal
+    pairs, so the first smallest entry is the leftmost; else ranks are compared.
+    """
 
-        return let(F.concat(F.get(parts, i - 1), F.get(parts, i)), join)
+    def merge(piece: Column, i: Column) -> Column:
+        after = F.when(i + 1 < F.size(state), vocab.merged(piece, F.get(state, i + 1).bitwiseAND(ID_MASK))).otherwise(NEVER)
+        before = let(F.get(state, i - 2).bitwiseAND(ID_MASK), lambda left: _entry(vocab.merged(left, piece), left))
+        changed = F.when(i > 1, F.array(before, _entry(after, piece))).otherwise(F.array(_entry(after, piece)))
+        return F.concat(F.slice(state, 1, F.greatest(i - 2, F.lit(0))), changed, F.slice(state, i + 2, F.size(state)))
+
+    def leftmost(low: Column) -> Column:
+        if vocab.ordered and not vocab.unreached:
+            return F.array_position(state, low).cast("int")
+        return F.array_position(F.transform(state, lambda e: F.shiftright(e, ID_BITS)), F.shiftright(low, ID_BITS)).cast("int")
 
     return let(
-        F.array_min(ranks),
-        lambda low: F.when(F.coalesce(low, F.lit(NEVER)) == NEVER, state)
-        .otherwise(let(F.array_position(ranks, low).cast("int"), at)),
+        F.array_min(state),
+        lambda low: F.when(F.shiftright(low, ID_BITS) == NEVER, state).otherwise(
+            let(leftmost(low), lambda i: merge(F.shiftright(low, ID_BITS), i))
+        ),
     )
 
 
 def _merge_round(text: Column, vocab: Vocabulary) -> Column:
-    """Merge all places of the leftmost pair of the smallest rank, in a word written ``<61><62>``.
+    """Merge all places of the leftmost pair of the smallest rank, in a word written ``<12><57>``.
 
     If the same piece can be made of two different pairs, only the first place is merged.
     """
@@ -150,7 +189,8 @@ def _merge_round(text: Column, vocab: Vocabulary) -> Column:
         )
 
         def merge(p: Column) -> Column:
-            old, new = F.concat(F.lit("<"), p["a"], F.lit("><"), p["b"], F.lit(">")), F.concat(F.lit("<"), p["a"], p["b"], F.lit(">"))
+            old = F.concat(F.lit("<"), p["a"].cast("string"), F.lit("><"), p["b"].cast("string"), F.lit(">"))
+            new = F.concat(F.lit("<"), low.cast("string"), F.lit(">"))
             place = F.instr(text, old)
             first = F.concat(F.substr(text, F.lit(1), place - 1), new, F.substr(text, place + F.length(old)))
             return F.when(alike(p), F.replace(text, old, new)).otherwise(first)
@@ -158,36 +198,34 @@ def _merge_round(text: Column, vocab: Vocabulary) -> Column:
         return let(pair, merge)
 
     return let(_parts(text), lambda parts: let(_pairs(parts, vocab), lambda ranks: let(
-        F.array_min(ranks),
-        lambda low: F.when(F.coalesce(low, F.lit(NEVER)) == NEVER, text).otherwise(chosen(parts, ranks, low)),
+        F.coalesce(F.array_min(ranks), F.lit(NEVER)),
+        lambda low: F.when(low == NEVER, text).otherwise(chosen(parts, ranks, low)),
     )))
 
 
 def _parts(text: Column) -> Column:
-    return F.split(F.substr(text, F.lit(2), F.length(text) - 2), "><")
+    return F.split(F.substr(text, F.lit(2), F.length(text) - 2), "><").cast("array<bigint>")
 
 
 def word_ids(word: Column, vocab: Vocabulary) -> Column:
-    """The ids of one word (binary): itself if it has a rank, else its bytes after all merges."""
-    size = F.length(word)
-    steps = F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>"))
-
-    def merged(parts: Column) -> Column:
-        start = F.struct(parts.alias("parts"), _pairs(parts, vocab).alias("ranks"))
-        by_place = F.aggregate(steps, start, lambda state, _: _merge_place(state, vocab), lambda state: state["parts"])
-        if not vocab.ordered:
-            return by_place
-        text = F.concat(F.lit("<"), F.array_join(parts, "><"), F.lit(">"))
-        by_round = F.aggregate(steps, text, lambda state, _: _merge_round(state, vocab), _parts)
-        return F.when(size > LONG_WORD, by_round).otherwise(by_place)
-
-    bytes_ = F.transform(F.sequence(F.lit(1), size), lambda i: F.hex(F.substr(word, i, F.lit(1))))
-    return let(
-        vocab.rank(F.hex(word)),
-        lambda whole: F.when(whole != NEVER, F.array(whole)).otherwise(
-            F.transform(let(bytes_, merged), lambda piece: vocab.rank(piece))
-        ),
+    """The ids of one word, an array of bytes: its own if it has one, else those that all merges leave."""
+    size = F.size(word)
+    steps = F.sequence(F.lit(1), size)
+    byte = lambda i: F.get(word, i).cast("int").bitwiseAND(255)
+    start = F.transform(
+        steps,
+        lambda i: F.when(i < size, F.get(vocab.bytes, F.shiftleft(byte(i - 1), 8).bitwiseOR(byte(i)))).otherwise(F.get(vocab.last, byte(i - 1))),
     )
+    ids = lambda state: F.transform(state, lambda e: e.bitwiseAND(ID_MASK).cast("int"))
+    by_place = F.aggregate(steps, start, lambda state, _: _merge_place(state, vocab), ids)
+    text = F.concat(F.lit("<"), F.array_join(ids(start).cast("array<string>"), "><"), F.lit(">"))
+    by_round = F.aggregate(steps, text, lambda state, _: _merge_round(state, vocab), lambda state: _parts(state).cast("array<int>"))
+    short = F.lit(True) if not vocab.ordered else size <= LONG_WORD
+    found = F.when(size == 0, _none()).when(short, by_place).otherwise(by_round)
+    for piece, rank in vocab.unreached.items():
+        same = F.array(*[F.lit(b - 256 if b > 127 else b).cast("tinyint") for b in piece])
+        found = F.when(word == same, F.array(F.lit(rank))).otherwise(found)
+    return found
 
 
 class _Numbers(dict):
@@ -209,7 +247,9 @@ def _chunks(pattern: str, id_type: pa.DataType):
             ends = np.cumsum([0, *map(len, at)]).astype(np.int32)
             per_doc = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(at)))
             docs = pa.StructArray.from_arrays([pa.array(ids, id_type), per_doc], ["id", "at"])
-            words = pa.array([w.encode() for w in numbers], pa.binary())
+            spelled = [w.encode() for w in numbers]
+            ends = np.cumsum([0, *map(len, spelled)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(spelled), np.int8)))
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays([one(words), one(docs)], ["words", "docs"])
 
