@@ -8,12 +8,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
+import queryset  # noqa: E402
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SQL = entry.oracle_sql()
+# The training-data queries have their own tests.
+SQL = queryset.all_sql()
 # Fits many models or runs a whole analysis: covered by tests/test_plans.py.
 LONG = {
     "cross_validate", "supervised_analysis", "supervised_regression", "cluster_analysis", "topic_analysis", "auto_analysis",
@@ -55,7 +57,7 @@ def test_query_matches_sql(spark, duck, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL) - LONG))
+@pytest.mark.parametrize("name", sorted(set(queryset.all_queries()) - set(SQL) - LONG))
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
