@@ -3,15 +3,25 @@
 1. A document is the set of hashes of its distinct word shingles.  ``BANDS * ROWS`` universal
    hashes give its minima; equal sets form a class, which its smallest id represents.
 2. Representatives that agree in all rows of a band share a bucket.  A bucket is not
-   expanded to pairs: every member is paired with the bucket's smallest id.
-3. Pairs whose signatures agree well enough are confirmed on the full sets.
-4. Links are joined to components by alternating large-star and small-star.
-5. Members of one bucket that are still in different components are paired with each
-   other, and only those; they are confirmed in the same way.  So a link inside a bucket
-   is found whether or not the bucket's smallest id is similar to either side.
-
-With 40 bands of 6 rows, two sets of similarity 0.8 miss each other with probability
-(1 - 0.8^6)^40 = 5e-6, and a component needs only one path.
+   expanded to pairs: its members are compared with its center, the member that meets most
+   others over all buckets (an original has more in common with its copies than they with
+   each other).
+3. Signatures drop hopeless pairs; the others are decided on the full sets.
+4. Two members that are linked to the center are connected already.  A member ``y`` that is
+   linked, and ``x`` that is not, can only be linked if ``x`` is not too far from the center
+   (triangle inequality) and if both differ from the center in common elements:
+   with ``t = (100 - percent) / (100 + percent)``, a link means
+   ``|x ^ y| <= t (|x| + |y|)``, while ``|x ^ c| > t (|x| + |c|)``; hence they share more than
+   ``(1 - t) / 2`` of ``y``'s differences, and the more, the farther ``x`` is from the center.
+   They are found by a join on differences, of which both show only those that a shared
+   part of that size cannot avoid, and decided exactly.
+5. Members that are not linked to the center are paired with each other.
+6. Links are joined to components by alternating large-star and small-star.
+
+So every pair that shares a bucket is decided, and the pairs that are formed are those
+with a center and those among documents that are similar to a common one, but not enough.
+With 64 bands of 8 rows, two sets of similarity 0.8 share no bucket with probability
+(1 - 0.8^8)^64 = 8e-6, and a component needs only one path.
 """
 
 from __future__ import annotations
@@ -25,11 +35,13 @@ from pyspark.sql import functions as F
 
 from dataquarry.llm.common import literal_longs, remove, written
 
-ROWS, BANDS = 6, 40
+ROWS, BANDS = 8, 64
+#: Minima that are kept for the signature check, one byte of each.
+SIGNATURE = 256
 SEED = 20_011
-#: Standard deviations below the threshold at which signatures still count as candidates.
+#: Standard deviations below the wanted similarity at which signatures still count as candidates.
 SLACK = 6.0
-#: Bits of the table that tells a scan which documents it must read again.
+#: Bits of the tables that tell a scan which rows may be needed.
 TABLE_BITS = 23
 WORD_CACHE = 500_000
 MIXED = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values of a 64-bit mixer
@@ -67,37 +79,56 @@ def shingle_set(text: str | None, size: int, hashes: dict) -> np.ndarray:
     return np.unique(x)
 
 
-def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 2048) -> np.ndarray:
-    """The smallest value of every hash ``(a x + b) mod 2^64``, upper 32 bits."""
-    best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), block):
-        x = shingles[at : at + block]
+def universal(count: int = ROWS * BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """Fixed random coefficients of the hashes ``(a x + b) mod 2^32``, ``a`` odd."""
+    draw = np.random.default_rng(SEED)
+    return draw.integers(0, 2**31, count, np.uint32) * np.uint32(2) + np.uint32(1), draw.integers(0, 2**32, count, np.uint32)
+
+
+def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The smallest value of every hash over the upper halves of the shingles."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    best = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), block):
         for i in range(0, len(a), 64):
-            part = a[i : i + 64, None] * x[None, :] + b[i : i + 64, None]
+            part = a[i : i + 64, None] * x[None, at : at + block]
+            part += b[i : i + 64, None]
             np.minimum(best[i : i + 64], part.min(axis=1), out=best[i : i + 64])
-    return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return best
+
+
+def band_keys(best: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band, of its number and its rows."""
+    table = best.reshape(BANDS, ROWS).astype(np.uint64)
+    keys = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    for row in range(ROWS):
+        keys = _mix(keys + table[:, row])
+    return keys
+
+
+def _lists(parts: list, kind: np.dtype) -> pa.ListArray:
+    ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, kind), *(p for p in parts if p is not None)])))
 
 
-def _signer(size: int, hashes_count: int):
+def _signer(size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        draw = np.random.default_rng(SEED)
-        a = draw.integers(0, 2**63, hashes_count, np.uint64) * np.uint64(2) + np.uint64(1)
-        b = draw.integers(0, 2**63, hashes_count, np.uint64)
+        a, b = universal()
         words = _WordHashes()
         for batch in batches:
-            counts, keys, signatures = [], [], []
+            counts, keys, bands, signatures = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), size, words)
+                best = minima(s, a, b) if len(s) else None
                 counts.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                signatures.append(minima(s, a, b) if len(s) else None)
-            ends = np.cumsum([0, *(0 if s is None else len(s) for s in signatures)]).astype(np.int32)
-            flat = np.concatenate([s for s in signatures if s is not None] or [np.empty(0, np.int32)])
+                bands.append(None if best is None else band_keys(best).view(np.int64))
+                signatures.append(None if best is None else best[:SIGNATURE].astype(np.uint8).view(np.int8))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))],
-                ["id", "n", "set_key", "sig"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), _lists(bands, np.int64), _lists(signatures, np.int8)],
+                ["id", "n", "set_key", "bands", "sig"],
             )
 
     return sign
@@ -108,27 +139,24 @@ def _setter(size: int):
         words = _WordHashes()
         for batch in batches:
             found = [shingle_set(t.as_py(), size, words).view(np.int64) for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["id", "members"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found, np.int64)], ["id", "members"])
 
     return sets
 
 
 def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """``(id, n, set_key, sig)`` per row: shingles, digest of the set, minima (empty without words)."""
+    """``(id, n, set_key, bands, sig)`` per row: shingles, digest of the set, band keys, signature (empty without words)."""
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(_signer(size, ROWS * BANDS), "id bigint, n bigint, set_key binary, sig array<int>")
+    return rows.mapInArrow(_signer(size), "id bigint, n bigint, set_key binary, bands array<bigint>, sig array<tinyint>")
 
 
-def _only(ids: DataFrame, of: Column) -> Column:
-    """Whether an id may be among ``ids``: a bit table of bounded size; a join decides afterwards."""
-    bits = min(TABLE_BITS, max(10, (8 * ids.count()).bit_length()))
+def among(values: DataFrame, of: Column) -> Column:
+    """Whether a long may be among a table's values: a bit table of bounded size, before a join that decides."""
+    name = values.columns[0]
+    bits = min(TABLE_BITS, max(10, (8 * values.count()).bit_length()))
     place = lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1)
     filled = dict(
-        ids.select(place(F.col("id")).alias("p"))
+        values.select(place(F.col(name)).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("at"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(63).cast("int"))).alias("v"))
         .collect()
@@ -138,31 +166,36 @@ def _only(ids: DataFrame, of: Column) -> Column:
     return F.call_function("getbit", word, place(of).bitwiseAND(63).cast("int")) == 1
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets have ``100 * intersection >= percent * union``."""
-    hashes, level = ROWS * BANDS, percent / 100
-    least = int(hashes * level - SLACK * (hashes * level * (1 - level)) ** 0.5)
-    side = lambda name: signed.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
+def likely(pairs: DataFrame, signed: DataFrame, level: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose signatures do not rule out a similarity of ``level``."""
+    least = int(SIGNATURE * level - SLACK * (SIGNATURE * level * (1 - level)) ** 0.5)
+    pairs = written(pairs, "minhash-pairs")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "minhash-ids")
+    near = signed.where(among(ids, F.col("id"))).select("id", "sig")
+    side = lambda name: near.select(F.col("id").alias(name), F.col("sig").alias(f"sig_{name}"))
     equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    likely = written(
-        pairs.join(side("a"), "a").join(side("b"), "b").where(equal >= least).select("a", "b").distinct(), "minhash-likely"
-    )
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = docs.where(_only(ids, F.col(key).cast("bigint"))).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    sets = written(chosen.mapInArrow(_setter(size), "id bigint, members array<bigint>").join(ids, "id", "left_semi"), "minhash-sets")
-    full = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"members_{name}"))
-    common = F.size(F.array_intersect("members_a", "members_b"))
-    out = written(
-        likely.join(full("a"), "a").join(full("b"), "b")
-        .where(100 * common >= percent * (F.size("members_a") + F.size("members_b") - common))
-        .select("a", "b").distinct(),
-        "minhash-links",
-    )
-    remove(sets)
-    remove(likely)
+    out = written(pairs.join(side("a"), "a").join(side("b"), "b").where(equal >= least).select("a", "b").distinct(), "minhash-likely")
+    remove(ids)
+    remove(pairs)
     return out
 
 
+def with_sets(pairs: DataFrame, docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """The pairs ``(a, b)`` with their full sets; the texts of documents in pairs are read again.
+
+    The set of ``b`` travels to ``a`` together with the pair.
+    """
+    own = F.col(key).cast("bigint")
+
+    def side(name: str) -> DataFrame:
+        ids = written(pairs.select(name).distinct(), "minhash-ids")
+        chosen = docs.where(among(ids, own)).select(own.alias("id"), F.col(text).alias("t"))
+        sets = chosen.mapInArrow(_setter(size), "id bigint, members array<bigint>")
+        return sets.select(F.col("id").alias(name), F.col("members").alias(f"members_{name}"))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)``: the smallest id reachable over ``(a, b)``, by alternating large-star and small-star.
 
@@ -191,6 +224,89 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()
 
 
+def buckets(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(bucket, c, b)``: buckets with several representatives ``b``, each with the bucket's center ``c``."""
+    own = written(
+        signed.join(classes, (signed.set_key == classes.set_key) & (signed.id == classes.rep)).select("rep", "bands"), "minhash-bands"
+    )
+    rows = own.select("rep", F.explode("bands").alias("bucket"))
+    shared = written(
+        rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("one"), F.max("rep").alias("two"))
+        .where("one < two").select("bucket", "size"),
+        "minhash-shared",
+    )
+    member = written(rows.where(among(shared, F.col("bucket"))).join(shared, "bucket").distinct(), "minhash-members")
+    degree = member.groupBy("rep").agg(F.sum("size").alias("degree"))
+    center = member.join(degree, "rep").groupBy("bucket").agg((-F.max(F.struct("degree", (-F.col("rep")).alias("r")))["r"]).alias("c"))
+    out = written(member.join(center, "bucket").select("bucket", "c", F.col("rep").alias("b")), "minhash-buckets")
+    for table in (own, shared, member):
+        remove(table)
+    return out
+
+
+def _linked(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return 100 * common >= percent * (n_a + n_b - common)
+
+
+def links(signed: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """Pairs ``(a, b)`` of linked representatives that connect all linked representatives."""
+    member = buckets(signed, classes)
+    level = percent / 100
+    n_a, n_b = F.size("members_a"), F.size("members_b")
+    common = F.size(F.array_intersect("members_a", "members_b"))
+    # Differences from the center: added elements as they are, missing ones inverted.
+    difference = F.concat(
+        F.array_sort(F.array_except("members_b", "members_a")),
+        F.transform(F.array_sort(F.array_except("members_a", "members_b")), lambda e: F.bitwise_not(e)),
+    )
+    stars = member.where("b <> c").select(F.col("c").alias("a"), "b").distinct()
+    star = written(
+        with_sets(likely(stars, signed, max(0.0, 2 * level - 1)), docs, size, key, text)
+        .where(_linked(common, n_a, n_b, max(0, 2 * percent - 100)))
+        .select("a", "b", n_a.alias("n_a"), n_b.alias("n"), _linked(common, n_a, n_b, percent).alias("linked"), difference.alias("difference")),
+        "minhash-star",
+    )
+    first = star.where("linked").select("a", "b")
+
+    # 4. One linked to the center, the other not, with common differences.  With ``over`` =
+    # (100 + percent) |x ^ c| - (100 - percent) (|x| + |c|) > 0 a link needs at least over / 200 of them,
+    # so ``x`` too need not show the last ones of the common order.  Counted from the first shared one,
+    # both must have enough left.
+    count = F.size("difference")
+    over = (100 + percent) * count - (100 - percent) * (F.col("n") + F.col("n_a"))
+    shown_y = F.slice("difference", 1, count - F.floor(count * percent / (100 + percent)).cast("int"))
+    shown_x = F.slice("difference", 1, F.greatest(count - F.ceil(over / 200).cast("int") + 1, F.lit(0)))
+    shown = lambda rows, name, part: rows.select(
+        "a", F.col("b").alias(name), F.col("n").alias(f"n_{name}"), count.alias(f"size_{name}"), F.posexplode(part).alias(f"at_{name}", "e")
+    )
+    wanted = (100 + percent) * (F.col("size_x") + F.col("size_y")) - (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    rest_of_both = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+    meet = (
+        shown(star.where("not linked"), "x", shown_x).join(shown(star.where("linked"), "y", shown_y), ["a", "e"])
+        .where(2 * (100 + percent) * rest_of_both >= wanted).select("a", "x", "y").distinct()
+    )
+    apart = F.size("difference_x") + F.size("difference_y") - 2 * F.size(F.array_intersect("difference_x", "difference_y"))
+    side = lambda name: star.select(
+        "a", F.col("b").alias(name), F.col("n").alias(f"n_{name}"), F.col("difference").alias(f"difference_{name}")
+    )
+    second = written(
+        meet.join(side("x"), ["a", "x"]).join(side("y"), ["a", "y"])
+        .where((100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y"))).select(F.col("x").alias("a"), F.col("y").alias("b")),
+        "minhash-second",
+    )
+
+    # 5. Neither linked to the center.
+    rest = member.where("b <> c").join(first.select(F.col("a").alias("c"), "b"), ["c", "b"], "left_anti").select("bucket", "b")
+    several = rest.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    rest = written(rest.join(several, "bucket"), "minhash-rest")
+    pairs = rest.alias("x").join(rest.alias("y"), "bucket").where("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    close = likely(pairs, signed, level)
+    third = written(with_sets(close, docs, size, key, text).where(_linked(common, n_a, n_b, percent)).select("a", "b"), "minhash-third")
+    for table in (member, rest, close):
+        remove(table)
+    return first.union(second).union(third)
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -206,38 +322,7 @@ def near_duplicates(
     classes = written(
         signed.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("rep")), "minhash-classes"
     )
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS))
-    )
-    own = written(
-        signed.join(classes, (signed.set_key == classes.set_key) & (signed.id == classes.rep))
-        .select(F.col("rep"), F.explode(bands).alias("bucket")).distinct(),
-        "minhash-buckets",
-    )
-    shared = own.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1")
-    member = written(own.join(shared, "bucket").select("bucket", "a", F.col("rep").alias("b")), "minhash-members")
-    stars = member.where("a <> b").select("a", "b").distinct()
-    links = confirm(stars, signed, docs, shingle, percent, key, text)
-    first = components(links)
-
-    placed = (
-        member.join(first.withColumnRenamed("id", "b"), "b", "left")
-        .select("bucket", "b", F.coalesce("component", "b").alias("component"))
-    )
-    placed = written(placed, "minhash-placed")
-    per_bucket = placed.select("bucket", "component").distinct()
-    sides = per_bucket.alias("x").join(per_bucket.alias("y"), "bucket").where("x.component < y.component").select(
-        "bucket", F.col("x.component").alias("ca"), F.col("y.component").alias("cb")
-    )
-    across = (
-        sides.join(placed.select("bucket", F.col("component").alias("ca"), F.col("b").alias("a")), ["bucket", "ca"])
-        .join(placed.select("bucket", F.col("component").alias("cb"), "b"), ["bucket", "cb"])
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = confirm(across, signed, docs, shingle, percent, key, text)
-    final = components(links.union(more))
-
+    final = components(links(signed, classes, docs, shingle, percent, key, text))
     labelled = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("_component")
     )
@@ -247,6 +332,3 @@ def near_duplicates(
         F.coalesce("_component", "id").alias("component_id"),
         F.col("id").eqNullSafe(F.coalesce("_component", "id")).alias("kept"),
     )
-
-
-__all__ = ["components", "confirm", "near_duplicates", "shingle_set", "signatures"]
