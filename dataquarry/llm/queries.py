@@ -17,9 +17,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 @REGISTRY.add("op1_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth document is searched among all: ``n_near`` counts the others within three bits."""
+    """Every twentieth document is searched among all: ``n_near`` counts its copies and near copies."""
     found = written(simhash.edited_fingerprints(source(spark, sf_dir, "documents")), "fingerprints")
-    return simhash.count_near(found, F.col("doc_id") % 20 == 0)
+    return simhash.count_near(found, F.col("doc_id") % 20 == 0, radius=simhash.NEAR, blocks=simhash.NEAR_BLOCKS)
 
 
 @REGISTRY.add("op2_warc")

@@ -11,7 +11,14 @@ several sums, which are added bit by bit.
 
 Search: fingerprints within Hamming distance ``radius`` agree in at least
 ``blocks - radius`` of ``blocks`` blocks, so one table for every choice of so many blocks,
-keyed by them, holds each near pair in a common row.
+keyed by them, holds each near pair in a common row.  From ``radius >= blocks`` on no block
+need agree, but one differs in few bits (``allowances``): there every block has a table,
+and a query asks it for all values within that block's allowance.
+
+One replaced word changes two terms, about 81 / sqrt(words) bits of 128, so near copies
+(four fifths of their five-word shingles) lie some ten bits apart and unrelated texts
+about 64.  ``NEAR`` bits are the radius for near copies; with ``NEAR_BLOCKS`` tables each
+block is asked for values within two bits.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ LANE_TERMS = 2_000
 SPREAD, LANES = 0x0000200040008001, 0x0001000100010001
 #: Groups of neighbouring documents per shuffle partition.
 GROUPS = 16
+#: Near copies differ in at most so many bits, searched in so many blocks.
+NEAR, NEAR_BLOCKS = 23, 8
 
 
 def terms(text: Column) -> Column:
@@ -101,6 +110,54 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - distance(a, b) / BITS
 
 
+def allowances(radius: int, blocks: int) -> list[int]:
+    """Bits by which each block may differ: a pair within the radius keeps to one of them at least."""
+    even, more = divmod(radius + 1 - blocks, blocks)
+    return [even + (i < more) for i in range(blocks)]
+
+
+def _block(hi: Column, lo: Column, start: int, end: int) -> Column:
+    """Bits ``start .. end - 1`` of a fingerprint, the highest first, as a number; at most 63 of them."""
+    if start < 64 < end:
+        high = hi.bitwiseAND((1 << (64 - start)) - 1)
+        return F.shiftleft(high, end - 64).bitwiseOR(F.shiftrightunsigned(lo, 128 - end))
+    half, end, start = (hi, end, start) if end <= 64 else (lo, end - 64, start - 64)
+    return F.shiftrightunsigned(half, 64 - end).bitwiseAND((1 << (end - start)) - 1)
+
+
+def _near_by_values(fingerprints_: DataFrame, queries: DataFrame, column: str, radius: int, blocks: int) -> DataFrame:
+    """``near`` for ``radius >= blocks >= 3``: queries ask for every value a block may have within its allowance."""
+    cut = [BITS * i // blocks for i in range(blocks + 1)]
+    widest = max(cut[t + 1] - cut[t] for t in range(blocks))
+    allowed = allowances(radius, blocks)
+    long = lambda c, start: F.conv(F.substring(c, start, 16), 16, -10).cast("bigint")
+
+    def tables(df: DataFrame, name: str, flips: list[int]) -> DataFrame:
+        hi, lo = f"{name}_hi", f"{name}_lo"
+        prints = df.where(F.col(column).isNotNull()).select(F.col(column).alias(name)).distinct()
+        halves = prints.select(long(F.col(name), 1).alias(hi), long(F.col(name), 17).alias(lo))
+
+        def values(t: int) -> Column:
+            masks = [sum(1 << b for b in bits) | t << widest for k in range(flips[t] + 1) for bits in combinations(range(cut[t + 1] - cut[t]), k)]
+            own = _block(F.col(hi), F.col(lo), cut[t], cut[t + 1])
+            return let(own, lambda v: F.transform(literal_longs(masks), lambda m: v.bitwiseXOR(m)))
+
+        return halves.select(hi, lo, F.explode(F.concat(*[values(t) for t in range(blocks)])).alias("key"))
+
+    q, f = (F.col("query_hi"), F.col("query_lo")), (F.col("found_hi"), F.col("found_lo"))
+    differ = q[0].bitwiseXOR(f[0]), q[1].bitwiseXOR(f[1])
+    apart = F.bit_count(differ[0]) + F.bit_count(differ[1])
+    first = F.lit(None).cast("int")
+    for t in reversed(range(blocks)):
+        first = F.when(F.bit_count(_block(*differ, cut[t], cut[t + 1])) <= allowed[t], F.lit(t)).otherwise(first)
+    digits = lambda half: F.lower(F.concat(F.lpad(F.hex(half[0]), 16, "0"), F.lpad(F.hex(half[1]), 16, "0")))
+    return (
+        tables(queries, "query", allowed).join(tables(fingerprints_, "found", [0] * blocks), "key")
+        .where((apart > 0) & (apart <= radius) & (F.shiftright("key", widest) == first))
+        .select(digits(q).alias("query"), digits(f).alias("found"), apart.alias("distance"))
+    )
+
+
 def near(fingerprints_: DataFrame, queries: DataFrame, column: str = "fingerprint", radius: int = 3, blocks: int = 4) -> DataFrame:
     """All pairs ``(query, found, distance)`` of different fingerprints within the radius.
 
@@ -108,6 +165,8 @@ def near(fingerprints_: DataFrame, queries: DataFrame, column: str = "fingerprin
     membership of rows is by fingerprint.  A pair is taken from the first table that holds
     it.  Null fingerprints are near nothing.
     """
+    if radius >= blocks:
+        return _near_by_values(fingerprints_, queries, column, radius, blocks)
     digits = BITS // 4
     cut = [digits * i // blocks for i in range(blocks + 1)]
     choices = list(combinations(range(blocks), blocks - radius))
