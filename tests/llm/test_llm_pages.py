@@ -177,6 +177,21 @@ def test_wrapper_without_declared_article(spark):
     assert found == expected
 
 
+def test_declared_articles_are_kept_whole(spark):
+    """Near copies with one title do not take the title from an article."""
+    draw = random.Random(17)
+    words = lambda n: " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+    shared, rows, expected = [words(40) for _ in range(5)], [], {}
+    for i in range(100):
+        parts = ["One title", "Same item", *shared, words(9)] if i < 97 else [f"Title {i}", f"Item {i}", words(60), words(40)]
+        title, item, *rest = parts
+        body = f"<h1>{title}</h1><ul><li>{item}</li></ul>" + "".join(f"<p>{p}</p>" for p in rest)
+        rows.append((i, f"http://one.org/{i}", f"<html><body><div class='top'>Home</div><article>{body}</article></body></html>"))
+        expected[i] = "\n".join(parts)
+    found = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == expected
+
+
 def test_odd_pages(spark):
     rows = [
         (1, None, None), (2, "http://a/", ""), (3, "http://a/", "plain & simple &lt;text&gt;"), (None, "http://a/", "<p>no id"),
