@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataquarry.llm import bpe, htmltext, langid, minhash, simhash, toxicity, urlfilter, warc
+from dataquarry.llm import bpe, htmltext, langid, minhash, periods, simhash, toxicity, urlfilter, warc
 from dataquarry.llm.common import shared_path, source, written
 from dataquarry.llm.decontaminate import decontaminate, decontamination_sql
+from dataquarry.llm.exactdedup import exact_duplicates, exact_duplicates_sql
 from dataquarry.llm.sharding import shard_documents, sharding_sql
+from dataquarry.llm.whitening import whitened_embeddings
 from queryset.common import Registry
 
 REGISTRY = Registry()
@@ -85,6 +87,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.add("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.with_planted_run(source(spark, sf_dir, "documents"))
+    return periods.summary(periods.periodic_runs(docs))
+
+
+@REGISTRY.add("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(source(spark, sf_dir, "embeddings"), components=16)
+
+
+@REGISTRY.add("op13_exact_dedup", exact_duplicates_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(source(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict:
     return {name: run for name, (run, _) in REGISTRY.items()}
 
