@@ -16,7 +16,8 @@ literal array: an entry is in one of two places, and an empty first place means
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import copy
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -55,12 +56,24 @@ class Vocabulary:
             raise ValueError(f"ids beyond {ID_MASK}")
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte needs an id")
-        pairs = {
-            (ranks[piece[:i]], ranks[piece[i:]]): rank
-            for piece, rank in ranks.items() for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks
-        }
-        #: Whether a piece always ranks behind the pieces it can be made of, so that equal pairs may be merged together.
-        self.ordered = all(rank > max(pair) for pair, rank in pairs.items())
+        #: Pieces that merges do not lead to; as whole words they have their id all the same.
+        self.unreached, pairs = {}, {}
+        for piece, rank in ranks.items():
+            if len(piece) > 1:
+                states = _states(piece, ranks)
+                if len(states[-1]) > 1:
+                    self.unreached[piece] = rank
+                else:
+                    pairs[ranks[states[-2][0]], ranks[states[-2][1]]] = rank
+        if self.unreached:
+            # Such a piece may come of any two others.
+            pairs = {
+                (ranks[piece[:i]], ranks[piece[i:]]): rank
+                for piece, rank in ranks.items() for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks
+            }
+        single = {ranks[bytes([b])] for b in range(256)}
+        #: Whether a merge always ranks behind the merges that made its two parts, so that equal pairs may be merged together.
+        self.ordered = all(rank > part for pair, rank in pairs.items() for part in pair if part not in single)
         bits = max(6, (2 * len(pairs)).bit_length())
         self.mask = (1 << bits) - 1
         slots = [0] * (1 << bits)
@@ -75,8 +88,6 @@ class Vocabulary:
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex().upper()
         self.pieces, self.words = literal_texts(pieces), literal_texts([i.to_bytes(4, "little").hex() for i in range(self.size)])
-        #: Pieces that merges do not lead to; as whole words they have their id all the same.
-        self.unreached = {piece: rank for piece, rank in ranks.items() if len(piece) > 1 and _merged(piece, ranks) != [rank]}
 
     def _places(self, key: int) -> tuple[int, int]:
         h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42)
@@ -92,6 +103,19 @@ class Vocabulary:
             at = two if at == one else one
         raise ValueError("no room in the rank table")
 
+    def bound(self, body: Callable[[Vocabulary], Column]) -> Column:
+        """``body`` with the tables as variables: each literal stands in the plan once, however often it is read."""
+
+        def within(table: Column) -> Column:
+            return let(self.bytes, lambda by_bytes: let(self.last, lambda last: body(self._with(table, by_bytes, last))))
+
+        return let(self.table, within)
+
+    def _with(self, table: Column, by_bytes: Column, last: Column) -> Vocabulary:
+        same = copy.copy(self)
+        same.table, same.bytes, same.last = table, by_bytes, last
+        return same
+
     def merged(self, left: Column, right: Column) -> Column:
         """The id of two joined pieces (longs), ``NEVER`` if they make none."""
         key = F.shiftleft(left, ID_BITS).bitwiseOR(right)
@@ -109,15 +133,16 @@ class Vocabulary:
         return let(key, first)
 
 
-def _merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece by the rule itself: the leftmost pair of the smallest rank, again and again."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+def _states(piece: bytes, ranks: dict[bytes, int]) -> list[list[bytes]]:
+    """A piece after every merge, by the rule itself: the leftmost pair of the smallest rank, again and again."""
+    states = [[piece[i : i + 1] for i in range(len(piece))]]
+    while len(states[-1]) > 1:
+        parts = states[-1]
         rank, at = min((ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
         if rank == NEVER:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+        states.append([*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]])
+    return states
 
 
 @lru_cache(maxsize=4)
@@ -155,10 +180,13 @@ def _merge_place(state: Column, vocab: Vocabulary) -> Column:
     """
 
     def merge(piece: Column, i: Column) -> Column:
-        after = F.when(i + 1 < F.size(state), vocab.merged(piece, F.get(state, i + 1).bitwiseAND(ID_MASK))).otherwise(NEVER)
+        after = F.when(i < F.size(state) - 1, vocab.merged(piece, F.get(state, i + 1).bitwiseAND(ID_MASK))).otherwise(NEVER)
+        here = F.array_repeat(_entry(after, piece), 1)
         before = let(F.get(state, i - 2).bitwiseAND(ID_MASK), lambda left: _entry(vocab.merged(left, piece), left))
-        changed = F.when(i > 1, F.array(before, _entry(after, piece))).otherwise(F.array(_entry(after, piece)))
-        return F.concat(F.slice(state, 1, F.greatest(i - 2, F.lit(0))), changed, F.slice(state, i + 2, F.size(state)))
+        rest = F.slice(state, i + 2, F.size(state))
+        return F.when(i == 1, F.concat(here, rest)).otherwise(
+            F.concat(F.slice(state, 1, i - 2), F.array_repeat(before, 1), here, rest)
+        )
 
     def leftmost(low: Column) -> Column:
         if vocab.ordered and not vocab.unreached:
@@ -174,7 +202,7 @@ def _merge_place(state: Column, vocab: Vocabulary) -> Column:
 
 
 def _merge_round(text: Column, vocab: Vocabulary) -> Column:
-    """Merge all places of the leftmost pair of the smallest rank, in a word written ``<12><57>``.
+    """Merge all places of the leftmost pair of the smallest rank, in a word written ``<12><57>``; done if there is none.
 
     If the same piece can be made of two different pairs, only the first place is merged.
     """
@@ -199,7 +227,7 @@ def _merge_round(text: Column, vocab: Vocabulary) -> Column:
 
     return let(_parts(text), lambda parts: let(_pairs(parts, vocab), lambda ranks: let(
         F.coalesce(F.array_min(ranks), F.lit(NEVER)),
-        lambda low: F.when(low == NEVER, text).otherwise(chosen(parts, ranks, low)),
+        lambda low: F.struct((low == NEVER).alias("done"), F.when(low == NEVER, text).otherwise(chosen(parts, ranks, low)).alias("text")),
     )))
 
 
@@ -219,7 +247,11 @@ def word_ids(word: Column, vocab: Vocabulary) -> Column:
     ids = lambda state: F.transform(state, lambda e: e.bitwiseAND(ID_MASK).cast("int"))
     by_place = F.aggregate(steps, start, lambda state, _: _merge_place(state, vocab), ids)
     text = F.concat(F.lit("<"), F.array_join(ids(start).cast("array<string>"), "><"), F.lit(">"))
-    by_round = F.aggregate(steps, text, lambda state, _: _merge_round(state, vocab), lambda state: _parts(state).cast("array<int>"))
+    by_round = F.aggregate(
+        steps, F.struct(F.lit(False).alias("done"), text.alias("text")),
+        lambda state, _: F.when(state["done"], state).otherwise(_merge_round(state["text"], vocab)),
+        lambda state: _parts(state["text"]).cast("array<int>"),
+    )
     short = F.lit(True) if not vocab.ordered else size <= LONG_WORD
     found = F.when(size == 0, _none()).when(short, by_place).otherwise(by_round)
     for piece, rank in vocab.unreached.items():
@@ -282,7 +314,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
     chunks = rows.mapInArrow(_chunks(pattern, to_arrow_type(kind)), CHUNK.format(id=kind.simpleString()))
     encoded = let(
-        F.transform("words", lambda w: word_ids(w, vocab)),
+        vocab.bound(lambda v: F.transform("words", lambda w: word_ids(w, v))),
         lambda by_word: F.transform("docs", lambda d: F.struct(
             d["id"].alias("id"), F.flatten(F.transform(d["at"], lambda i: F.get(by_word, i))).alias("ids")
         )),

@@ -220,3 +220,11 @@ def test_toxicity_finds_the_sentence(spark, make_docs):
     assert toxicity.score_documents(make_docs([]), model).count() == 0
     blank = toxicity.train(make_docs(rows), known.where("toxic = 9"))
     assert toxicity.score_documents(make_docs(rows), blank).where("predicted = 1").count() == 0
+
+
+def test_very_long_words(spark, make_docs, library):
+    """Words of tens of thousands of letters: rounds end when no pair is left."""
+    rng = random.Random(8)
+    texts = ["a" * 40_000, "".join(rng.choice("ab") for _ in range(20_000)), "".join(rng.choice("abcdefghijklmnop") for _ in range(4_000)), "é" * 9_000]
+    found = {r.doc_id: r.ids for r in bpe.encode(make_docs(list(enumerate(texts))), RANKS, tokenizers.PATTERN).collect()}
+    assert found == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
