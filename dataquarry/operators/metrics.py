@@ -64,13 +64,23 @@ def roc_auc(df: DataFrame, y: str, score: str, positive: object = 1) -> DataFram
 
 
 def roc_auc_weighted(df: DataFrame, y: str, probabilities: str, classes: list) -> DataFrame:
-    """One-vs-rest AUC of each class, weighted by class share; ``probabilities`` is an array in class order."""
-    parts = None
-    for i, c in enumerate(classes):
-        scored = df.select(F.col(y), F.col(probabilities)[i].alias("_p"))
-        one = roc_auc(scored, y, "_p", c)
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("auc"))
+    """One-vs-rest AUC of each class, weighted by class share, in one pass; ``probabilities`` is an array in class order."""
+    per_score = (
+        df.filter(F.col(y).isNotNull())
+        .select(F.col(y).alias("y"), F.posexplode(F.slice(F.col(probabilities), 1, len(classes))).alias("i", "s"))
+        .filter("s is not null")
+        .select("i", F.col("s").cast("double").alias("s"), (F.col("y") == F.get(F.array(*[F.lit(c) for c in classes]), F.col("i"))).cast("int").alias("p"))
+        .groupBy("i", "s")
+        .agg(F.sum("p").alias("pos"), F.sum(1 - F.col("p")).alias("neg"))
+    )
+    # One running count over (class, score); what earlier classes add is its least value in the class.
+    counted = running_totals(per_score, ["i", "s"], {"below": "neg"}, "auc")
+    per_class = counted.groupBy("i").agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.min("below").alias("before"),
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("wins"),
+    )
+    auc = F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("wins") - F.col("before") * F.col("p")) / F.col("p") / F.col("n"))
+    return per_class.select("p", auc.alias("auc")).agg((F.sum(F.col("auc") * F.col("p")) / F.sum("p")).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:

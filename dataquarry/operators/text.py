@@ -116,11 +116,12 @@ def tfidf(df: DataFrame, key: str, tokens: Column, max_terms: int = MAX_TERMS, m
         return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
     vectors = tfidf_vectors(df.select(key, tokens.alias("_t")), F.col("_t"), vocabulary, "_vec")
     terms = df.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(vocabulary)], "i int, term string")
-    # The vectors are sparse: only the entries they hold become rows.
+    # The vectors are sparse: only the entries they hold become rows.  An inner inline would let
+    # the optimizer test the array in a pushed-down filter, with the vector computed once more.
     held = F.unwrap_udt("_vec")
     return (
         vectors.select(key, F.arrays_zip(held["indices"].alias("i"), held["values"].alias("weight")).alias("_e"))
-        .select(key, F.inline("_e"))
+        .select(key, F.inline_outer("_e"))
         .filter("weight > 0")
         .join(F.broadcast(terms), "i")
         .select(key, "term", "weight")

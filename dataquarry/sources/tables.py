@@ -9,10 +9,12 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,9 @@ log = logging.getLogger(__name__)
 
 SIZE_WARNING_MB = 1500
 DELIMITERS = ",;\t|"
+# CSV records that a task hands over at a time.
+RECORDS = 4096
+_END = "\u0001end\u0001"
 
 # The tokens read as missing.
 NA_TOKENS = [
@@ -64,34 +69,180 @@ def header_names(cells: list[str | None]) -> list[str]:
     return out
 
 
-def scan_csv_sniffed(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """CSV as strings, delimiter sniffed from the header line.
+class CsvLines:
+    """Where records end, seen line by line: a line break within a quoted field is none.
 
-    Quoted fields may hold line breaks, so a file is one task; ``multiline=False`` reads
-    files without such breaks in splits.  Rows with too few fields are padded with
-    nulls, rows with too many are left out.  Neither parser mode does both: permissive
-    keeps the long rows, dropping malformed rows loses the short ones.
+    A field is quoted if it begins with a quote; a doubled quote within it is a quote, and
+    what follows the closing quote up to the delimiter belongs to the field.
     """
-    head = spark.read.text(path).limit(1).collect()
+
+    def __init__(self, sep: str):
+        other = f"[^{re.escape(sep)}]*+"
+        quoted = '"[^"]*+(?:""[^"]*+)*+"(?!")' + other
+        field = f'(?:{quoted}|(?!"){other})'
+        #: A line that is a whole record; Java and Python read this pattern alike.
+        self.pattern = f"{field}(?:{re.escape(sep)}{field})*+"
+        self.sep = sep
+        self._whole = re.compile(self.pattern, re.DOTALL)
+        self._rest = re.compile('[^"]*+(?:""[^"]*+)*+"(?!")', re.DOTALL)
+
+    def ends_inside(self, line: str, inside: bool) -> bool:
+        """Whether a quoted field is still open at the line's end, if one was or was not at its begin."""
+        if inside:
+            closed = self._rest.match(line)
+            if not closed:
+                return True
+            at = line.find(self.sep, closed.end())
+            if at < 0:
+                return False
+            line = line[at + len(self.sep) :]
+        return '"' in line and not self._whole.fullmatch(line)
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[str]]]:
+    """The lines of every input split of a task: ``((file, where it begins), lines)``."""
+    rows = ((f, b, t) for batch in batches for f, b, t in zip(*(c.to_pylist() for c in batch.columns)))
+    for at, lines in groupby(rows, key=lambda r: (r[0], r[1])):
+        yield at, (line for _, _, line in lines)
+
+
+def _split_states(lines: DataFrame, csv_lines: CsvLines) -> dict[tuple[str, int], tuple[bool, int, bool]]:
+    """By split: whether it begins inside a record, where that record began, and whether its own first record is the file's first.
+
+    Every split is read for both states it may begin in, as how it truly begins is only known
+    from the splits before it; one row for a split comes back, of which the driver holds a record anyway.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, block), texts in _by_split(batches):
+            out, inside, returned = False, True, False
+            for text in texts:
+                returned = returned or not inside
+                out, inside = csv_lines.ends_inside(text, out), csv_lines.ends_inside(text, inside)
+                if out == inside and returned:
+                    for text in texts:  # noqa: B020  both are the same from here on
+                        out = csv_lines.ends_inside(text, out)
+                    inside = out
+            yield pa.RecordBatch.from_pydict({"file": [file], "block": [block], "out": [out], "inside": [inside], "returned": [returned]})
+
+    found = lines.mapInArrow(both, "file string, block bigint, out boolean, inside boolean, returned boolean").collect()
+    states: dict[tuple[str, int], tuple[bool, int, bool]] = {}
+    for file, splits in groupby(sorted(found, key=lambda r: (r["file"], r["block"])), key=lambda r: r["file"]):
+        open_, origin, first = False, 0, True
+        for r in splits:
+            states[file, r["block"]] = (open_, origin, first)
+            begins = not open_ or r["returned"]
+            open_ = r["inside"] if open_ else r["out"]
+            if begins:
+                origin, first = r["block"], False
+    return states
+
+
+def _records_with_breaks(lines: DataFrame, csv_lines: CsvLines) -> DataFrame:
+    """``record`` texts of files in which records may go over several lines; headers are left out.
+
+    Splits are read in parallel.  Records that cross a border come as pieces, which meet
+    again under the split in which the record began.
+    """
+    states = lines.sparkSession.sparkContext.broadcast(_split_states(lines, csv_lines))
+    kinds = pa.schema([
+        ("file", pa.string()), ("origin", pa.int64()), ("block", pa.int64()), ("piece", pa.bool_()), ("header", pa.bool_()), ("record", pa.string()),
+    ])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
+            held.clear()
+            return out
+
+        for (file, block), texts in _by_split(batches):
+            inside, origin, header = states.value[file, block]
+            piece, parts = inside, []
+            for text in texts:
+                parts.append(text)
+                inside = csv_lines.ends_inside(text, inside)
+                if not inside:
+                    held.append((file, origin if piece else block, block, piece, header and not piece, "\n".join(parts)))
+                    header, piece, parts = header and piece, False, []
+                    if len(held) >= RECORDS:
+                        yield batch()
+            if parts:
+                held.append((file, origin if piece else block, block, True, header and not piece, "\n".join(parts)))
+        if held:
+            yield batch()
+
+    found = materialise(
+        lines.mapInArrow(assemble, "file string, origin bigint, block bigint, piece boolean, header boolean, record string"), "csv-records"
+    )
+    joined = (
+        found.filter("piece").groupBy("file", "origin")
+        .agg(F.max("header").alias("header"), F.array_sort(F.collect_list(F.struct("block", "record"))).alias("parts"))
+        .filter("not header").select(F.array_join(F.transform("parts", lambda p: p["record"]), "\n").alias("record"))
+    )
+    return found.filter("not piece and not header").select("record").unionByName(joined)
+
+
+def _first_record(lines: DataFrame) -> str:
+    """The first record of a file, with the line breaks in its quoted fields."""
+    few, at = 1, lines.select("file").first()
+    if at is None:
+        return ""
+    own = lines.filter(F.col("file") == at["file"])
+    while True:
+        texts = [r["value"] for r in own.limit(few).collect()]
+        inside = False
+        for n, text in enumerate(texts, 1):
+            # Before the delimiter is known, a record ends where the quotes are in pairs.
+            inside ^= text.count('"') % 2 == 1
+            if not inside:
+                return "\n".join(texts[:n])
+        if len(texts) < few:
+            return texts[0] if texts else ""
+        few *= 16
+
+
+def scan_csv_sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """CSV as strings, delimiter sniffed from the header.
+
+    Large files are read in splits, also where quoted fields (header names too) hold line
+    breaks: see ``_records_with_breaks``; without such breaks every line is a record, and
+    nothing leaves the JVM.  Lines end with LF or CR LF; blank ones are left out.  Every file
+    has a header.  Rows with too few fields are padded with nulls, rows with too many are left
+    out, and empty fields are null.
+    """
+    source = spark.read.option("lineSep", "\n").text(path)
+    lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    head = _first_record(lines).rstrip("\r")
     if not head:
         raise ValueError(f"no columns in {path}")
-    sep = sniff_delimiter(head[0][0])
-    names = next(csv.reader([head[0][0].lstrip("﻿")], delimiter=sep))
-    names = header_names(names)
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-    options = {"sep": sep, "escape": '"', "nullValue": "", "emptyValue": "", "multiLine": multiline}
-    rows = (
-        spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw")
-        .option("columnPruning", False)  # a pruned parser does not count the fields
-        .schema(T.StructType([*fields, T.StructField("_raw", T.StringType())]))
-        .csv(path)
-    )
-    # Only malformed rows carry their raw text; one more column shows whether they are too long.
-    wider = T.StructType([*fields, T.StructField("extra", T.StringType())])
-    extra = F.from_csv(F.col("_raw"), wider.simpleString()[len("struct<"):-1].replace(":", " "), {**options, "nullValue": "\u0000"})["extra"]
-    # Spark refuses to read the raw text alone (as a count would): always read a field too.
-    kept = rows.filter((F.col("_raw").isNull() | extra.isNull()) & (F.length(F.concat_ws("", "c0")) >= 0))
-    return kept.drop("_raw").toDF(*names)
+    sep = sniff_delimiter(head)
+    names = header_names(next(csv.reader(io.StringIO(head.lstrip("\ufeff"), newline=""), delimiter=sep)))
+    csv_lines = CsvLines(sep)
+    fields = [f"c{i}" for i in range(len(names))]
+    options = {"sep": sep, "escape": '"', "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE"}
+
+    def parsed(record: Column) -> Column:
+        """The fields of a record with ``_END`` behind the last one: it is missing if there are too many."""
+        wider = ", ".join(f"{f} string" for f in [*fields, "extra"])
+        return F.from_csv(F.concat(record, F.lit(sep + _END)), wider, {**options, "multiLine": "true"})
+
+    fits = lambda r: F.array_contains(F.array(*[r[f] for f in [*fields, "extra"]]), _END)
+    broken = lines.filter(F.contains("value", F.lit('"')) & ~F.col("value").rlike(f"(?s)^{csv_lines.pattern}$"))
+    if broken.isEmpty():
+        # Only malformed rows carry their raw text; a pruned parser does not count the fields.
+        rows = (
+            spark.read.options(**options, header=True, enforceSchema=True, columnPruning=False, columnNameOfCorruptRecord="_raw")
+            .schema(", ".join(f"{f} string" for f in [*fields, "_raw"])).csv(path)
+        )
+        # Spark refuses to read the raw text alone (as a count would): always read a field too.
+        kept = rows.filter((F.col("_raw").isNull() | fits(parsed(F.col("_raw")))) & (F.length(F.concat_ws("", "c0")) >= 0)).drop("_raw")
+    else:
+        records = _records_with_breaks(lines, csv_lines).select(F.regexp_replace("record", "\r$", "").alias("r"))
+        rows = records.filter(F.trim("r") != "").select(parsed(F.col("r")).alias("r")).filter(fits(F.col("r")))
+        kept = rows.select(*[F.nullif(F.col("r")[f], F.lit(_END)).alias(f) for f in fields])
+    return kept.toDF(*names)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -131,8 +282,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    return infer_types(scan_csv_sniffed(spark, path, multiline))
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    return infer_types(scan_csv_sniffed(spark, path))
 
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

@@ -1,4 +1,6 @@
+import csv
 import io
+import random
 import zipfile
 
 import pytest
@@ -42,7 +44,41 @@ def test_csv_line_breaks_and_repeated_names(spark, tmp_path):
     assert sorted(rows(df), key=str) == [(1, 'x\ny "z"', 2, 3, 4), (5, "\n", 6, None, None)]
     assert S.header_names(["a", "a", "a.1", "a"]) == ["a", "a.2", "a.1", "a.3"]
     (tmp_path / "plain.csv").write_text("a,b\n1,2\n3,4\n")
-    assert sorted(rows(S.read_csv(spark, str(tmp_path / "plain.csv"), multiline=False))) == [(1, 2), (3, 4)]
+    assert sorted(rows(S.read_csv(spark, str(tmp_path / "plain.csv")))) == [(1, 2), (3, 4)]
+
+
+def test_csv_with_breaks_is_read_in_splits(spark, tmp_path):
+    """One file over many splits: records cross borders, some fill several splits, headers have breaks too."""
+    rng = random.Random(4)
+    pieces = ["plain", 'with ""doubled"" quotes', "break\nin it", "a,comma", "\n\n", "cr\r\nlf", "é" * 40, "x,\n" * 700, '""', '""\n""', "5"]
+    files = {}
+    for name in ("one", "two"):
+        lines = []
+        for i in range(400):
+            cells = [str(i), *(rng.choice(['"%s"' % rng.choice(pieces), "bare", "", '""', 'stray 5" pipe']) for _ in range(rng.choice([1, 2, 2, 2, 2, 3])))]
+            lines.append(",".join(cells))
+        end = "\r\n" if name == "two" else "\n"
+        files[name] = ('id,"long\nname",c' + end + end.join(lines) + (end if name == "one" else "")).encode()
+        (tmp_path / f"{name}.csv").write_bytes(files[name])
+
+    expected = []
+    for data in files.values():
+        for row in list(csv.reader(io.StringIO(data.decode(), newline="")))[1:]:
+            if row and len(row) <= 3:
+                expected.append(tuple(c or None for c in row + [""] * (3 - len(row))))
+    settings = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "200"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+        df = S.scan_csv_sniffed(spark, str(tmp_path))
+        assert df.columns == ["id", "long\nname", "c"]
+        found = rows(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(found, key=str) == sorted(expected, key=str)
 
 
 def test_infer_types_reads_missing_tokens(spark):
