@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataquarry.functions.hashing import key_hash
+from dataquarry.operators.attribution import tree_attribution
 from dataquarry.operators.features import build_preprocessor, transform_features
 from dataquarry.operators.metrics import (
     baseline_predictor,
@@ -25,7 +24,6 @@ from dataquarry.operators.metrics import (
     roc_auc,
     roc_auc_weighted,
 )
-from dataquarry.operators.sampling import sample_rows
 from dataquarry.operators.stats import P_VALUE_LIMIT, paired_ttest, with_p_values
 from dataquarry.runtime import concurrently, materialise
 
@@ -165,80 +163,14 @@ def linear_attribution(df: DataFrame, coefficients: Sequence[float], names: Sequ
     return df.sparkSession.createDataFrame(list(zip(names, map(float, values))), "feature string, mean_abs double")
 
 
-def shapley_attribution(
-    df: DataFrame, key: str, model, names: Sequence[str], task: str, background_rows: int = 100, permutations: int = 4
-) -> DataFrame:
-    """``(feature, mean_abs)`` over all rows by sampled permutations, for any fitted model.
-
-    Each row walks from a background row (of a hash sample of ``background_rows``) to
-    itself, one feature at a time; the walk's steps are rows of a DataFrame and the
-    model scores them all at once.
-    """
-    everything = df.select(key, vector_to_array("features").alias("x")).repartition(F.col(key))
-    background = np.array([r["x"] for r in sample_rows(df, key, background_rows, salt="background").select(vector_to_array("features").alias("x")).collect()])
-    d = len(names)
-
-    def walks(batches):
-        for batch in batches:
-            for k, seed, x in zip(batch["key"], batch["seed"], batch["x"]):
-                rng = np.random.default_rng(int(seed))
-                x = np.asarray(x, dtype=float)
-                for p in range(permutations):
-                    point = background[rng.integers(len(background))].copy()
-                    order = rng.permutation(d)
-                    steps = [(-1, point.copy())]
-                    for j in order:
-                        point[j] = x[j]
-                        steps.append((int(j), point.copy()))
-                        if len(steps) == 256:
-                            yield _walk_frame(k, p, steps, len(steps))
-                            steps = []
-                    if steps:
-                        yield _walk_frame(k, p, steps, len(steps))
-
-    def _walk_frame(k, p, steps, n):
-        return pd.DataFrame({"key": [str(k)] * n, "walk": [p] * n, "feature": [s[0] for s in steps], "x": [s[1] for s in steps]})
-
-    def _ordered(batches):
-        # Number the steps of each walk; batches of one partition arrive in order.
-        seen: dict = {}
-        for frame in walks(batches):
-            at = (frame["key"].iloc[0], int(frame["walk"].iloc[0]))
-            start = seen.get(at, 0)
-            frame["step"] = np.arange(start, start + len(frame))
-            seen[at] = start + len(frame)
-            yield frame
-
-    source = everything.select(F.col(key).cast("string").alias("key"), key_hash(F.col(key), "walk").alias("seed"), "x")
-    steps = source.mapInPandas(_ordered, "key string, walk int, feature int, x array<double>, step int")
-    scored = model.transform(steps.withColumn("features", array_to_vector("x")))
-    if task == "classification":
-        by = "probability" if "probability" in scored.columns else "rawPrediction"
-        outputs = vector_to_array(F.col(by))
-        outputs = F.when(F.size(outputs) == 2, F.slice(outputs, 2, 1)).otherwise(outputs)
-    else:
-        outputs = F.array(F.col("prediction"))
-    order = Window.partitionBy("key", "walk").orderBy("step")
-    deltas = (
-        scored.select("key", "walk", "step", "feature", outputs.alias("o"))
-        .withColumn("d", F.zip_with("o", F.lag("o").over(order), lambda a, b: a - b))
-        .filter("feature >= 0")
-        .select("key", "feature", F.posexplode("d").alias("class", "d"))
-    )
-    phi = deltas.groupBy("key", "feature", "class").agg(F.avg("d").alias("phi"))
-    mean_abs = phi.groupBy("feature", "class").agg(F.avg(F.abs("phi")).alias("v")).groupBy("feature").agg(F.sum("v").alias("mean_abs"))
-    table = df.sparkSession.createDataFrame(list(enumerate(names)), "feature int, name string")
-    return mean_abs.join(table, "feature").select(F.col("name").alias("feature"), "mean_abs")
-
-
 def feature_attribution(scored: DataFrame, key: str, model, names: Sequence[str], task: str) -> DataFrame:
-    """``(feature, mean_abs)``: exact for linear models, sampled walks for tree ensembles."""
+    """``(feature, mean_abs)``: exact values of linear models and tree ensembles, over all rows."""
     if hasattr(model, "coefficientMatrix") and task == "classification":
         matrix = model.coefficientMatrix.toArray()
         return linear_attribution(scored, np.abs(matrix).sum(axis=0), names)
     if hasattr(model, "coefficients"):
         return linear_attribution(scored, model.coefficients.toArray(), names)
-    return shapley_attribution(scored, key, model, names, task)
+    return tree_attribution(scored, key, model, names)
 
 
 def assemble_pipeline(prep: PipelineModel, model) -> PipelineModel:

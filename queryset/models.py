@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from dataquarry.operators import attribution as A
 from dataquarry.operators import features as X
 from dataquarry.operators import supervised as M
 from dataquarry.operators.sampling import kfold_assign, train_test_split
@@ -122,7 +123,21 @@ def feature_attribution(spark, sf):
 
 @REGISTRY.add("feature_attribution_trees")
 def feature_attribution_trees(spark, sf):
-    """Sampled-walk attribution of a boosted model."""
+    """Mean absolute Shapley values of a boosted model."""
     train, test, names = _training(spark, sf)
     model = M.gradient_boosting("classification").fit(train)
-    return M.feature_attribution(test, "o_orderkey", model, names, "classification")
+    return M.feature_attribution(test, "o_orderkey", model, names, "classification").withColumn("mean_abs", rnd("mean_abs", 6))
+
+
+@REGISTRY.add("tree_contributions", f"""with {ORDERS_SQL}, r as (
+  select o_orderkey, row_number() over (partition by y order by {sql_hash('o_orderkey', 'split')}, o_orderkey) as rn, count(*) over (partition by y) as n from ord)
+select o_orderkey, 0.0 as gap from r where rn <= floor(0.2 * n + 0.5)""")
+def tree_contributions(spark, sf):
+    """Of every test row: what the margin of a boosted model differs from its mean plus the row's contributions."""
+    train, test, _ = _training(spark, sf)
+    model = M.gradient_boosting("classification", rounds=20).fit(train)
+    scored = model.transform(test).select("o_orderkey", "features", vector_to_array("rawPrediction")[1].alias("margin"))
+    found = A.tree_contributions(scored, "o_orderkey", model)
+    total = F.col("expected") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    joined = found.select("o_orderkey", total.alias("t")).join(scored.select("o_orderkey", "margin"), "o_orderkey")
+    return joined.select("o_orderkey", F.abs(rnd(F.col("t") - F.col("margin"), 6)).alias("gap"))

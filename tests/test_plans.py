@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from dataquarry.operators.profile import semantic_types
-from dataquarry.operators.supervised import linear_attribution, shapley_attribution
 from dataquarry.plans.auto import run_auto
 from dataquarry.plans.clustering import run_clustering
 from dataquarry.plans.supervised import run_supervised
@@ -42,20 +41,6 @@ def test_supervised_regression(spark, people):
         run_supervised(df, "id", "nope", "regression")
 
 
-def test_shapley_walks_agree_with_the_exact_linear_value(spark):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rng = np.random.default_rng(21)
-    pdf = pd.DataFrame({"id": np.arange(100), "a": rng.normal(size=100), "b": rng.normal(size=100)})
-    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(pdf))
-    model = LinearRegression(labelCol="label").fit(df.withColumn("label", 4 * F.col("a") - F.col("b")))
-    exact = {r["feature"]: r["mean_abs"] for r in linear_attribution(df, model.coefficients, ["a", "b"]).collect()}
-    walked = {r["feature"]: r["mean_abs"] for r in shapley_attribution(df, "id", model, ["a", "b"], "regression", permutations=40).collect()}
-    assert np.isclose(exact["a"], 4 * np.abs(pdf["a"] - pdf["a"].mean()).mean())
-    assert abs(walked["a"] - exact["a"]) < 0.3 and abs(walked["b"] - exact["b"]) < 0.2
-
-
 def test_clustering_keeps_every_row(spark):
     rng = np.random.default_rng(22)
     x = np.vstack([rng.normal(c, 0.5, size=(60, 2)) for c in (0, 10)])
