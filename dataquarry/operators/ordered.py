@@ -27,10 +27,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """``(by..., feature, n, q)``: exact quantiles, linearly interpolated, nulls ignored, NaN largest.
 
     Every wanted rank has a range of values, at first all of its column.  The range is cut
-    into buckets, a histogram that is combined on the map side finds the bucket of the
-    rank, and its least and greatest values are the next range, until they are equal.
+    into buckets, a histogram that is combined on the map side finds the bucket of each
+    rank in it, and its least and greatest values are the next range, until they are equal.
     The first round reads the table; the rows of the buckets it found are written and
-    the later rounds read only those.  No task gets more than one histogram per rank.
+    the later rounds read only those.  No task gets more than one histogram per range.
     """
     by, columns, probs = list(by), list(columns), [float(p) for p in probs]
     if not columns:
@@ -44,16 +44,16 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.struct(F.lit(2 * i + up).alias("which"), (F.ceil if up else F.floor)(F.lit(p) * (F.col("n") - 1)).cast("bigint").alias("rank"))
         for i, p in enumerate(probs) for up in (0, 1)
     ])
-    # Written, so that the size is known: one row per group, column and rank is broadcast when that is small.
-    targets = materialise(ranges.select(*own, "n", "lo", "hi", F.inline(wanted)), "ranks")
-    rows, buckets = values, FIRST_BUCKETS
-    while not targets.filter(_open()).isEmpty():
-        found = _narrow(rows, targets.filter(_open()), [*own, *([] if rows is values else ["which"])], own, buckets)
-        targets = materialise(targets.filter(~_open()).unionByName(found), "ranks")
-        if rows is values:
-            left = targets.filter(_open()).select(*own, "which", "lo", "hi")
-            rows = materialise(_within(values, left, own).select(*own, "which", "v"), "bracket")
-            buckets = LATER_BUCKETS
+    # Written, so that the size is known: one row per group and column is broadcast when that is small.
+    ranges = materialise(ranges, "ranges")
+    targets = ranges.select(*own, "n", "lo", "hi", F.inline(wanted))
+    targets = materialise(_narrow(values, ranges.filter(_open()).select(*own, "lo", "hi"), targets, own, FIRST_BUCKETS), "ranks")
+    left = targets.filter(_open()).select(*own, "lo", "hi").distinct()
+    rows, still = values, left
+    while not still.isEmpty():
+        rows = materialise(_within(rows, left, own).select(*own, "v"), "bracket")
+        targets = materialise(_narrow(rows, left, targets, own, LATER_BUCKETS), "ranks")
+        left = still = targets.filter(_open()).select(*own, "lo", "hi").distinct()
     position = F.element_at(F.lit(probs), (F.col("i") + 1).cast("int")) * (F.col("n") - 1)
     picked = (
         targets.withColumn("i", F.floor(F.col("which") / 2))
@@ -90,11 +90,11 @@ def _scale(v: str) -> Column:
     )
 
 
-def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], own: list[str], buckets: int) -> DataFrame:
-    """The open targets with the range and the remaining rank of the bucket that holds them.
+def _narrow(rows: DataFrame, ranges: DataFrame, targets: DataFrame, own: list[str], buckets: int) -> DataFrame:
+    """The targets, open ones with the range and the remaining rank of the bucket that holds them.
 
-    Ranges within a factor of four are cut evenly, wider ones by magnitude; both ends
-    always fall into different buckets.
+    One histogram serves all ranks that share a range.  Ranges within a factor of four are
+    cut evenly, wider ones by magnitude; both ends always fall into different buckets.
     """
     even = F.expr("(lo > 0 and hi < 4 * lo and hi < double('infinity')) or (hi < 0 and lo > 4 * hi and lo > -double('infinity'))")
     # Halves keep the width of a range finite.
@@ -103,15 +103,19 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], own: list[str]
     )
     bucket = F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("int")
     cells = (
-        _within(rows, targets, keys).withColumn("bucket", bucket)
-        .groupBy(*own, "which", "n", "rank", "bucket")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        _within(rows, ranges, own).select(*own, "v", "lo", "hi", bucket.alias("bucket"))
+        .groupBy(*own, "lo", "hi", "bucket")
+        .agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("from"), F.max("v").alias("to"))
     )
-    order = Window.partitionBy(*own, "which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*own, "lo", "hi").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("upto", F.sum("m").over(order))
-    return cells.filter("rank < upto and rank >= upto - m").select(
-        *own, "n", "lo", "hi", "which", (F.col("rank") - (F.col("upto") - F.col("m"))).alias("rank")
+    same = " and ".join(f"t.`{k}` <=> c.`{k}`" for k in [*own, "lo", "hi"])
+    found = targets.filter(_open()).alias("t").join(cells.alias("c"), F.expr(f"{same} and t.rank < c.upto and t.rank >= c.upto - c.m")).select(
+        *[F.col(f"t.`{k}`") for k in own], F.col("t.n"), F.col("c.from").alias("lo"), F.col("c.to").alias("hi"), F.col("t.which"),
+        (F.col("t.rank") - (F.col("c.upto") - F.col("c.m"))).alias("rank"),
     )
+    columns = [*own, "n", "lo", "hi", "which", "rank"]
+    return targets.filter(~_open()).select(*columns).unionByName(found.select(*columns))
 
 
 def quantiles_of(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
