@@ -15,11 +15,12 @@
    ``(1 - t) / 2`` of ``y``'s differences, and the more, the farther ``x`` is from the center.
    They are found by a join on differences, of which both show only those that a shared
    part of that size cannot avoid, and decided exactly.
-5. Members that are not linked to the center are paired with each other.
+5. Members of which none is linked to the center are joined on their rarest elements, of
+   which linked sets must share one, if they are not in one component already.
 6. Links are joined to components by alternating large-star and small-star.
 
-So every pair that shares a bucket is decided, and the pairs that are formed are those
-with a center and those among documents that are similar to a common one, but not enough.
+So every pair that shares a bucket is decided or connected, and the pairs that are formed are
+those with a center and those that share rare elements or rare differences.
 With 64 bands of 8 rows, two sets of similarity 0.8 share no bucket with probability
 (1 - 0.8^8)^64 = 8e-6, and a component needs only one path.
 """
@@ -295,18 +296,54 @@ def links(signed: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
         "minhash-second",
     )
 
-    # 5. Neither linked to the center.
+    # 5. Neither linked to the center.  Two linked sets share an element among the first ones of both, in
+    # any order of elements; the rarest come first, so few meet there.
     rest = member.where("b <> c").join(first.select(F.col("a").alias("c"), "b"), ["c", "b"], "left_anti").select("bucket", "b")
     several = rest.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    rest = written(rest.join(several, "bucket"), "minhash-rest")
-    pairs = rest.alias("x").join(rest.alias("y"), "bucket").where("x.b < y.b").select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    rest = written(rest.join(several, "bucket").select("b").distinct(), "minhash-rest")
+    joined = written(components(first.union(second)), "minhash-joined")
+    pairs = rare_pairs(rest, joined, docs, size, percent, key, text)
     close = likely(pairs, signed, level)
     third = written(with_sets(close, docs, size, key, text).where(_linked(common, n_a, n_b, percent)).select("a", "b"), "minhash-third")
-    for table in (member, rest, close):
+    for table in (member, rest, joined, close):
         remove(table)
     return first.union(second).union(third)
 
 
+def rare_pairs(ids: DataFrame, joined: DataFrame, docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """Pairs ``(a, b)`` of the documents ``ids`` that may be linked and are in different components of ``joined``.
+
+    With n elements, those behind the first ``n - ceil(percent n / 100) + 1`` are too few to link a
+    document, so linked ones share one of these, in the order of how many documents have an
+    element.  At the shared element both must have enough left.  A set without partners in
+    its rare elements makes no pair, however many documents share its common ones.
+    """
+    own = F.col(key).cast("bigint")
+    chosen = docs.where(among(ids, own)).select(own.alias("b"), F.col(text).alias("t")).join(ids, "b", "left_semi")
+    sets = written(
+        chosen.select(F.col("b").alias("id"), "t").mapInArrow(_setter(size), "id bigint, members array<bigint>").dropDuplicates(["id"]), "minhash-sets"
+    )
+    elements = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("e"))
+    counted = elements.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = elements.join(counted, "e").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("found"))
+    # Elements of no other document come before all others.
+    alone = F.col("n") - F.size("found")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    shown = (
+        ordered.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("found", 1, F.greatest(prefix - alone, F.lit(0)))).alias("i", "x"))
+        .select("id", "n", F.col("x.e").alias("e"), (F.col("n") - F.col("alone") - F.col("i")).alias("left"))
+        .join(joined, "id", "left").select("id", "n", "e", "left", F.coalesce("component", "id").alias("component"))
+    )
+    shown = written(shown, "minhash-rare")
+    x, y = shown.alias("x"), shown.alias("y")
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & enough)
+    pairs = written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "minhash-rare-pairs")
+    remove(sets)
+    remove(shown)
+    return pairs
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
