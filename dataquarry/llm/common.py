@@ -36,6 +36,17 @@ def literal_texts(values: Sequence[str]) -> Column:
     return F.split(F.lit(",".join(values)), ",")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have yet: the given ones, with underscores put before where taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

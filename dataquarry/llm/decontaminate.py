@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataquarry.llm.common import let, literal_longs, lower_ascii, written
+from dataquarry.llm.common import fresh, let, literal_longs, lower_ascii, written
 
 WINDOW, GRAM = 10, 5
 #: Word characters: digits, lower-case letters, everything beyond ASCII (fixed value).
@@ -211,8 +211,9 @@ def without_hits(
 ) -> DataFrame:
     """The rows, with all their columns, in which no window of the benchmark occurs."""
     found, _ = hits(docs, items, doc, text, item, item_text, window, gram)
-    bad = written(found.select(F.col(doc).alias("_doc"), F.col("_key").alias("_hit_key")).distinct(), "benchmark-hits")
-    return docs.join(bad, [F.col(doc).eqNullSafe(F.col("_doc")), F.xxhash64(F.col(text)) == F.col("_hit_key")], "left_anti")
+    hit_doc, hit_key = fresh(docs, "_doc", "_hit_key")
+    bad = written(found.select(F.col(doc).alias(hit_doc), F.col("_key").alias(hit_key)).distinct(), "benchmark-hits")
+    return docs.join(bad, [F.col(doc).eqNullSafe(F.col(hit_doc)), F.xxhash64(F.col(text)) == F.col(hit_key)], "left_anti")
 
 
 def decontamination_sql(window: int = WINDOW) -> str:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataquarry.llm.common import fresh
+
 #: The fit uses at most so many rows of each label, by the order of a hash of the key ...
 SAMPLE_PER_LABEL = 3_000
 #: ... and no row with more characters than this.
@@ -193,7 +195,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -
     Null and empty texts get the share of toxic rows among the labelled ones.
     """
     kept = docs.drop(*[c for c in ("score", "predicted", "offending") if c != text])
-    return kept.withColumn("_found", scorer(model)(F.col(text))).select(
-        *[F.col(f"`{c}`") for c in kept.columns], F.col("_found.score").alias("score"),
-        (F.col("_found.score") >= 0.5).cast("int").alias("predicted"), F.col("_found.offending").alias("offending"),
+    found = fresh(kept, "_found")[0]
+    return kept.withColumn(found, scorer(model)(F.col(text))).select(
+        *[F.col(f"`{c}`") for c in kept.columns], F.col(found)["score"].alias("score"),
+        (F.col(found)["score"] >= 0.5).cast("int").alias("predicted"), F.col(found)["offending"].alias("offending"),
     )

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataquarry.llm.common import written
+
 #: Magic numbers, little-endian (fixed values): a frame, the dictionary's skippable frame, an empty skippable frame.
 FRAME, DICTIONARY = b"\x28\xb5\x2f\xfd", b"\x5d\x2a\x4d\x18"
 SEPARATOR = "P*M\x18\0\0\0\0"
@@ -115,6 +117,8 @@ def with_references(pages: DataFrame, key: str, html: str, least_bytes: int = 0)
         pages.select(F.col(key).alias("_key"), F.when(long_enough, digest).alias("_digest")).where("_digest is not null")
         .groupBy("_digest").agg(F.max("_key").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     )
+    # Written, so that its size is known: payloads are only shuffled if there are too many repeated ones to broadcast.
+    repeated = written(repeated, "archive-repeats")
     other = ~F.col(key).eqNullSafe(F.col("_last"))
     return rows.join(repeated, "_digest", "left").withColumn("refers_to", F.when(other, F.col("_last"))).drop("_digest", "_last")
 

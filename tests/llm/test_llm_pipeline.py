@@ -21,7 +21,7 @@ SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 def test_query_equals_sql(spark, name):
     found = queries.all_queries()[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     expected = con.sql(queries.all_sql()[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered(spark):
     names = list(queries.all_queries())
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] == names and len(names) == 10
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] == names and len(names) == 13
 
 
 def test_pipeline_equals_plain_version(spark):
@@ -87,7 +87,9 @@ def test_stages_on_odd_rows(spark, make_docs, tmp_path):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, text, "en"), (2, text, "en"), (None, text, "en"), (None, "eins zwei drei vier fünf sechs", "de"), (None, "eins zwei drei vier fünf sechs", "de"),
             (3, None, "en"), (4, "", None), (5, "!? 12", None), (6, "six seven", "en"), (6, "six seven", "en"), (7, "some other words are written here " * 400, "en")]
-    docs = make_docs(rows).withColumn("_id", F.lit("clash")).withColumn("extra", F.lit(1))
+    docs = make_docs(rows).withColumn("extra", F.lit(1))
+    for name in ("_id", "_row", "_key", "_lang", "_score", "_doc", "_hit_key", "_host", "_found", "k", "b", "id"):
+        docs = docs.withColumn(name, F.lit("mine"))
     sf = str(tmp_path)
     spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, "Seven! EIGHT")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
@@ -95,10 +97,13 @@ def test_stages_on_odd_rows(spark, make_docs, tmp_path):
     assert one.columns == docs.columns and one.count() == 8
     two = pipeline.toxic(spark, one, sf)
     assert two.count() == 8
-    three = pipeline.near_duplicates(spark, two.drop("_id"), sf)
+    three = pipeline.near_duplicates(spark, two, sf)
     assert sorted(((r.doc_id, r.text[:4]) for r in three.collect()), key=str) == [(1, "one "), (6, "six "), (7, "some"), (None, "eins")]
     four = pipeline.benchmark(spark, three, sf)
     assert sorted((r.doc_id for r in four.collect()), key=str) == [6, 7, None]
+    assert four.columns == docs.columns and {r[c] for r in four.collect() for c in docs.columns[6:]} == {"mine"}
+    again = make_docs([(1, text), (1, "entirely different words stand in this row here"), (1, ""), (1, ""), (2, text), (2, text)])
+    assert sorted((r.doc_id, r.text[:8]) for r in pipeline.near_duplicates(spark, again, sf).collect()) == [(1, ""), (1, ""), (1, "entirely"), (1, "one two ")]
     assert pipeline.tokens(spark, four, sf).count() == 3
     empty = make_docs([])
     for _, stage in pipeline.STAGES:
