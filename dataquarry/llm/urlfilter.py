@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataquarry.llm.common import lower_ascii
+from dataquarry.llm.common import fresh, lower_ascii
 
 #: Bytes of a batch of URLs that move together.
 BATCH_BYTES = 8_000_000
@@ -151,18 +151,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", def
     A URL that no rule fits gets the default verdict; a null URL has an empty host and path.
     """
     kept = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url])
+    host, path, number = fresh(kept, "_host", "_path", "_rule")
+    rows = kept.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     if not rules:
-        chosen = F.lit(None).cast("int")
-        rows = kept.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url)), "_rule": chosen})
-        rules = (Rule(default, "", ""),)
+        rows, rules = rows.withColumn(number, F.lit(None).cast("int")), (Rule(default, "", ""),)
     else:
-        rows = kept.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))}).withColumn(
-            "_rule", matcher(rules)("_host", "_path")
-        )
+        rows = rows.withColumn(number, matcher(rules)(host, path))
     names, actions = F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(r.action) for r in rules])
     return rows.select(
-        *[F.col(f"`{c}`") for c in kept.columns], F.col("_host").alias("host"), F.col("_path").alias("path"),
-        F.get(names, F.col("_rule")).alias("rule"), F.coalesce(F.get(actions, F.col("_rule")), F.lit(default)).alias("verdict"),
+        *[F.col(f"`{c}`") for c in kept.columns], F.col(host).alias("host"), F.col(path).alias("path"),
+        F.get(names, F.col(number)).alias("rule"), F.coalesce(F.get(actions, F.col(number)), F.lit(default)).alias("verdict"),
     )
 
 

@@ -239,3 +239,13 @@ def test_tree_matching_is_largest():
     for _ in range(40):
         one, two = htmltext.parse(page()), htmltext.parse(page())
         assert htmltext.match(one, two, {}) == brute_match(one, two)
+
+
+def test_user_columns_with_working_names_survive(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/x")], "page_id bigint, url string")
+    for name in ("_host", "_path", "_rule", "__host"):
+        rows = rows.withColumn(name, F.lit("mine"))
+    found = urlfilter.judge(rows).first()
+    assert (found["_host"], found["_path"], found["_rule"], found["__host"]) == ("mine",) * 4
+    assert (found["host"], found["path"], found["rule"], found["verdict"]) == ("a.com", "/x", "com/", "allow")
+    assert urlfilter.judge(rows, rules=()).first()["_rule"] == "mine"
