@@ -6,6 +6,12 @@ toxic unless none of its sentences is: ``p = 1 - prod(1 - p_s)`` (noisy-or).  On
 document labels are known, and the weights follow from their likelihood; afterwards the
 sentence scores say which sentences offend.
 
+A real sentence without any offence still has a small probability, and thousands of them
+would make every long text toxic.  When a document is scored, what a sentence adds to
+``-log(1 - p)`` up to ``BACKGROUND`` is background, and all background of a document together
+counts at most ``MOST_BACKGROUND``; only what lies above it adds up without a bound.  A short
+text keeps its plain noisy-or, nearly always.
+
 The model is fitted on the driver from a bounded sample of labelled rows; all documents
 are scored by Spark.
 """
@@ -31,6 +37,10 @@ FEATURES = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 STEPS, RATE, SPARSITY = 150, 0.1, 1e-4
 WORD_CACHE = 300_000
+#: Of a sentence's -log(1 - p), so much is background ...
+BACKGROUND = 0.05
+#: ... and the background of all sentences of a document counts at most so much (p = 0.18).
+MOST_BACKGROUND = 0.2
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -85,9 +95,11 @@ class _Scorer(dict):
         if not parts:
             return self.model.empty, []
         logits = np.array([self.model.bias + sum(map(self.__getitem__, words)) for _, _, words in parts])
-        clean = -np.logaddexp(0, logits).sum()
+        mass = np.logaddexp(0, logits)
+        common = np.minimum(mass, BACKGROUND).sum()
+        clean = min(common, MOST_BACKGROUND) + np.maximum(mass - BACKGROUND, 0).sum()
         found = [(b, e, float(1 / (1 + np.exp(-z)))) for (b, e, _), z in zip(parts, logits.tolist()) if z >= 0]
-        return float(-np.expm1(clean)), found
+        return float(-np.expm1(-clean)), found
 
 
 def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float]) -> ToxicityModel:

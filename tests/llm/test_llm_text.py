@@ -199,6 +199,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.95 and np.mean([s >= 0.5 for s in good]) < 0.01
 
 
+def test_toxicity_of_long_texts(spark):
+    """Thousands of clean sentences stay clean, and one toxic document among them is caught."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scorer = toxicity.train(docs, labels).scorer()
+    rows = docs.join(labels, "doc_id").where("text is not null").orderBy("doc_id").collect()
+    clean, size = [], 0
+    for r in [r for r in rows if not r.toxic] * 20:
+        clean.append(r.text)
+        size += len(toxicity.sentences(r.text))
+        if size >= 5_000:
+            break
+    assert size >= 5_000 and scorer.score(". ".join(clean))[0] < 0.5
+    toxic = [r.text for r in rows if r.toxic and scorer.score(r.text)[1]][:20]
+    assert toxic and all(scorer.score(". ".join([*clean, t]))[0] >= 0.5 for t in toxic)
+    # Without words above the background the score is bounded, however long the text is.
+    unknown = scorer.score("qqzx vvkj. " * 50_000)[0]
+    assert unknown <= -np.expm1(-toxicity.MOST_BACKGROUND) + 1e-9
+
+
 def test_toxicity_finds_the_sentence(spark, make_docs):
     draw = random.Random(10)
     plain = [f"w{i}" for i in range(60)]
