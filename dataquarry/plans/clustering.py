@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
@@ -21,6 +20,7 @@ from dataquarry.operators.cluster import (
 from dataquarry.operators.columns import is_number, numeric_columns, split_inliers_outliers, union_inliers_outliers
 from dataquarry.operators.features import transform_features
 from dataquarry.runtime import materialise
+from dataquarry.sources.phases import Phases
 
 
 @dataclass
@@ -34,31 +34,49 @@ class ClusterResult:
     model: PipelineModel
 
 
-def run_clustering(df: DataFrame, key: str, trees: int = 100) -> ClusterResult:
-    """Cluster the inliers, profile the clusters, and put the anomalies back as cluster -1."""
+def run_clustering(df: DataFrame, key: str, trees: int = 100, phases: Phases | None = None) -> ClusterResult:
+    """Cluster the inliers, profile the clusters, and put the anomalies back as cluster -1.
+
+    ``phases`` publishes every phase, so that a repeated run goes on after the last one.
+    """
+    phases = phases or Phases()
     columns = numeric_columns(df, exclude=[key])
-    labelled = materialise(isolation_forest(df, key, columns, trees=trees), "outliers")
+    labelled = phases.step("outliers", lambda: {"rows": isolation_forest(df, key, columns, trees=trees)})["rows"]
     inliers, outliers = split_inliers_outliers(labelled, "__anomaly_label__")
-    prep, _ = build_feature_space(inliers, key)
-    space = transform_features(prep, inliers).persist(StorageLevel.MEMORY_AND_DISK)
-    reduced, stages, ratios = pca_reduce(space)
-    sweep, kmeans, clustered = kmeans_sweep(reduced, key)
-    clustered = materialise(clustered.select(*df.columns, "Cluster_ID"), "clustered")
-    space.unpersist()
 
-    differing = cluster_differentiators(clustered, skip=[key])
-    found = differing.collect()
-    differing = df.sparkSession.createDataFrame(found, differing.schema)
-    chosen = [r["feature"] for r in found if r["key"]]
-    numeric = [c for c in chosen if is_number(df.schema[c])]
-    others = [c for c in chosen if c not in numeric]
+    def fit() -> dict:
+        prep, _ = build_feature_space(inliers, key)
+        space = materialise(transform_features(prep, inliers), "space")
+        reduced, stages, ratios = pca_reduce(space)
+        sweep, kmeans, clustered = kmeans_sweep(reduced, key)
+        return {
+            "rows": clustered.select(*df.columns, "Cluster_ID"),
+            "sweep": sweep,
+            "variance": variance_table(df.sparkSession, ratios),
+            "model": PipelineModel(stages=[*prep.stages, *stages, kmeans]),
+        }
+
+    fitted = phases.step("clusters", fit)
+    clustered = fitted["rows"]
+
+    def describe() -> dict:
+        differing = materialise(cluster_differentiators(clustered, skip=[key]), "differing")
+        chosen = [r["feature"] for r in differing.filter("key").orderBy("ordinal").collect()]
+        numeric = [c for c in chosen if is_number(df.schema[c])]
+        others = [c for c in chosen if c not in numeric]
+        return {
+            "differentiators": differing,
+            "numeric": cluster_profile_numeric(clustered, "Cluster_ID", numeric) if numeric else None,
+            "categorical": cluster_profile_categorical(clustered, "Cluster_ID", others) if others else None,
+        }
+
+    profiles = phases.step("profiles", describe)
     return ClusterResult(
         rows=union_inliers_outliers(clustered, outliers),
-        sweep=sweep,
-        variance=variance_table(df.sparkSession, ratios),
-        differentiators=differing,
-        numeric_profiles=cluster_profile_numeric(clustered, "Cluster_ID", numeric) if numeric else None,
-        categorical_profiles=cluster_profile_categorical(clustered, "Cluster_ID", others) if others else None,
-        model=PipelineModel(stages=[*prep.stages, *stages, kmeans]),
+        sweep=fitted["sweep"],
+        variance=fitted["variance"],
+        differentiators=profiles["differentiators"],
+        numeric_profiles=profiles["numeric"],
+        categorical_profiles=profiles["categorical"],
+        model=fitted["model"],
     )
-

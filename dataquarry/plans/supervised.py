@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ from dataquarry.operators.supervised import (
     make_model,
     select_model,
 )
+from dataquarry.runtime import materialise
+from dataquarry.sources.phases import Phases
 
 
 @dataclass
@@ -38,6 +39,8 @@ class SupervisedResult:
     predictions: DataFrame
     metrics: DataFrame
     attribution: DataFrame
+    p_threshold: float = P_VALUE_LIMIT
+    vif_threshold: float = VIF_LIMIT
 
 
 def run_supervised(
@@ -50,8 +53,13 @@ def run_supervised(
     models: tuple[str, ...] = MODELS,
     rounds: int = 100,
     trees: int = 100,
+    phases: Phases | None = None,
 ) -> SupervisedResult:
-    """The whole analysis; rows are identified by ``key``, which is not a feature."""
+    """The whole analysis; rows are identified by ``key``, which is not a feature.
+
+    ``phases`` publishes every phase, so that a repeated run goes on after the last one.
+    """
+    phases = phases or Phases()
     if task not in {"classification", "regression"}:
         raise ValueError("task must be 'classification' or 'regression'")
     if target not in df.columns:
@@ -61,44 +69,54 @@ def run_supervised(
     else:
         labelled = df.withColumn("label", F.col(target).cast("double"))
     by = "label" if task == "classification" else None
-    split = train_test_split(labelled, key, by).persist(StorageLevel.MEMORY_AND_DISK)
+    split = phases.step("split", lambda: {"rows": train_test_split(labelled, key, by)})["rows"]
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-
     features = train.drop(key, target, "is_test")
-    selection = select_by_pvalue(features, "label", task, p_threshold).orderBy("ordinal")
-    audit = selection.collect()
-    selection = df.sparkSession.createDataFrame(audit, selection.schema)
-    approved = [r["feature"] for r in audit if r["approved"]]
     fields = {f.name: f for f in features.schema}
-    numeric = [c for c in approved if is_number(fields[c], booleans=True)]
-    categorical = [c for c in approved if c not in numeric]
-    vif = vif_prune(
-        train, [c for c in numeric if is_number(fields[c])], {r["feature"]: r["p"] for r in audit}, vif_threshold
-    )
-    removed = {r["feature"] for r in vif.collect() if r["removed_at"] is not None}
-    numeric = [c for c in numeric if c not in removed]
+
+    def select() -> dict:
+        found = materialise(select_by_pvalue(features, "label", task, p_threshold), "selection")
+        audit = found.orderBy("ordinal").collect()
+        numeric = [r["feature"] for r in audit if r["approved"] and is_number(fields[r["feature"]])]
+        return {"selection": found, "vif": vif_prune(train, numeric, {r["feature"]: r["p"] for r in audit}, vif_threshold)}
+
+    selected = phases.step("selection", select)
+    selection, vif = selected["selection"].orderBy("ordinal"), selected["vif"]
+    approved = [r["feature"] for r in selection.filter("approved").collect()]
+    removed = {r["feature"] for r in vif.filter("removed_at is not null").collect()}
+    numeric = [c for c in approved if is_number(fields[c], booleans=True) and c not in removed]
+    categorical = [c for c in approved if not is_number(fields[c], booleans=True)]
     if not numeric and not categorical:
         raise ValueError("no feature is left after selection")
-
     kept = train.select(key, "label", *numeric, *categorical)
-    folded = kfold_assign(kept, key, by).persist(StorageLevel.MEMORY_AND_DISK)
-    scores = cross_validate(folded, numeric, categorical, task, models=models, rounds=rounds, trees=trees)
-    choice = select_model(scores)
-    winner = choice.first()["winner"]
 
-    usable = kept.filter("label is not null")
-    prep, names = build_preprocessor(usable, numeric, categorical)
-    fit = transform_features(prep, usable).persist(StorageLevel.MEMORY_AND_DISK)
-    classes = fit.select("label").distinct().count() if task == "classification" else 0
-    estimator = make_model(winner, task, fit.count(), classes, rounds, trees).fit(fit)
-    model = assemble_pipeline(prep, estimator)
-    held = transform_features(prep, test.filter("label is not null").select(key, "label", *numeric, *categorical))
-    predictions = estimator.transform(held)
-    metrics = evaluate(predictions, task)
-    attribution = top_k_importance(feature_attribution(held, key, estimator, names, task), "mean_abs")
-    fit.unpersist()
-    folded.unpersist()
+    def compare() -> dict:
+        folded = materialise(kfold_assign(kept, key, by), "folds")
+        scores = materialise(
+            cross_validate(folded, numeric, categorical, task, models=models, rounds=rounds, trees=trees), "scores"
+        )
+        return {"scores": scores, "choice": select_model(scores)}
+
+    compared = phases.step("comparison", compare)
+    winner = compared["choice"].first()["winner"]
+
+    def fit() -> dict:
+        usable = kept.filter("label is not null")
+        prep, names = build_preprocessor(usable, numeric, categorical)
+        rows = materialise(transform_features(prep, usable), "features")
+        classes = rows.select("label").distinct().count() if task == "classification" else 0
+        estimator = make_model(winner, task, rows.count(), classes, rounds, trees).fit(rows)
+        held = transform_features(prep, test.filter("label is not null").select(key, "label", *numeric, *categorical))
+        predictions = estimator.transform(held)
+        return {
+            "model": assemble_pipeline(prep, estimator),
+            "predictions": predictions,
+            "metrics": evaluate(predictions, task),
+            "attribution": top_k_importance(feature_attribution(held, key, estimator, names, task), "mean_abs"),
+        }
+
+    fitted = phases.step("model", fit)
     return SupervisedResult(
-        task, target, selection, vif, scores, choice, winner, model, predictions, metrics, attribution
+        task, target, selection, vif, compared["scores"], compared["choice"], winner, fitted["model"],
+        fitted["predictions"], fitted["metrics"], fitted["attribution"], p_threshold, vif_threshold,
     )
-

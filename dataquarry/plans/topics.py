@@ -20,6 +20,7 @@ from dataquarry.operators.topics import (
     topic_stats,
 )
 from dataquarry.runtime import materialise
+from dataquarry.sources.phases import Phases
 
 
 @dataclass
@@ -55,30 +56,40 @@ def run_topics(
     merge: bool = True,
     vocab: str = "global",
     probes: int | None = None,
+    phases: Phases | None = None,
 ) -> TopicResult:
     """The whole analysis.  With a target it ends at the vectors, for a supervised analysis to use.
 
     ``merge=False`` also leaves out keywords and payload.  ``probes`` bounds the
     neighbour search of the density clustering on very large tables.
+    ``phases`` publishes every phase, so that a repeated run goes on after the last one.
     """
     if text not in df.columns:
         raise ValueError(f"column '{text}' not found")
-    cleaned = lemmatize(add_clean_text(df, text), key, f"{text}_clean", lemmas, stops)
-    vectors = materialise(vectorise(materialise(cleaned, "lemmas"), key, "lemmatized", method, load), "vectors")
+    phases = phases or Phases()
+
+    def encode() -> dict:
+        cleaned = lemmatize(add_clean_text(df, text), key, f"{text}_clean", lemmas, stops)
+        return {"rows": vectorise(materialise(cleaned, "lemmas"), key, "lemmatized", method, load)}
+
+    vectors = phases.step("vectors", encode)["rows"]
     if target is not None:
         return TopicResult(rows=vectors.drop("vector"), vectors=vectors.select(key, "vector"))
-    reduced = materialise(reduce_vectors(vectors.select(key, "vector"), "vector"), "reduced")
-    labels = materialise(density_cluster(reduced, key, "reduced", label="Topic_ID", probes=probes), "topics")
+    reduced = phases.step("reduced", lambda: {"rows": reduce_vectors(vectors.select(key, "vector"), "vector")})["rows"]
+    labels = phases.step("topics", lambda: {"rows": density_cluster(reduced, key, "reduced", label="Topic_ID", probes=probes)})["rows"]
     rows = attach_labels(vectors, labels, key, "Topic_ID")
     if not merge:
         return TopicResult(rows=rows.drop("vector"), vectors=reduced, stats=topic_stats(rows, "Topic_ID"))
-    rows = materialise(merge_topics(rows, "vector", "Topic_ID").drop("vector"), "merged")
+    merged = phases.step("merged", lambda: {"rows": merge_topics(rows, "vector", "Topic_ID").drop("vector")})["rows"]
     tokens = tokenize(F.col("lemmatized"))
-    keywords = materialise(class_tfidf_keywords(rows, "Topic_ID", tokens, vocab=vocab), "keywords")
-    return TopicResult(
-        rows=rows,
-        vectors=reduced,
-        keywords=keywords,
-        payload=topic_payload(rows, "Topic_ID", key, text, tokens, vocab, keywords),
-        stats=topic_stats(rows, "Topic_ID"),
-    )
+
+    def describe() -> dict:
+        keywords = materialise(class_tfidf_keywords(merged, "Topic_ID", tokens, vocab=vocab), "keywords")
+        return {
+            "keywords": keywords,
+            "payload": topic_payload(merged, "Topic_ID", key, text, tokens, vocab, keywords),
+            "stats": topic_stats(merged, "Topic_ID"),
+        }
+
+    found = phases.step("description", describe)
+    return TopicResult(rows=merged, vectors=reduced, **found)

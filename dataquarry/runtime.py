@@ -11,8 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import partial
 from pathlib import Path
 
@@ -27,7 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/dataquarry/{name}-{uuid.uuid4().hex[:12]}"
+    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/dataquarry"
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_scratch: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared storage."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go when it ends; what shall last must have been written elsewhere by then.
+
+    It covers the whole driver process, as intermediates are also written by its threads.
+    """
+    folder = new_path(spark, "scratch")
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        remove(spark, folder)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

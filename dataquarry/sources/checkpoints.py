@@ -15,7 +15,7 @@ def phase_name(phase: str) -> str:
     return phase.strip().replace(" ", "_").lower()
 
 
-def _folder(root: str, run: str, phase: str) -> str:
+def checkpoint_folder(root: str, run: str, phase: str) -> str:
     if not run.strip() or not phase.strip():
         raise ValueError("run id and phase must not be empty")
     return f"{root.rstrip('/')}/{run.strip()}/{phase_name(phase)}"
@@ -23,7 +23,7 @@ def _folder(root: str, run: str, phase: str) -> str:
 
 def checkpoint_write(df: DataFrame, root: str, run: str, phase: str, metadata: dict | None = None) -> tuple[str, str]:
     """Write a phase's table as Parquet and its metadata (null without any) as JSON; returns both paths."""
-    folder = _folder(root, run, phase)
+    folder = checkpoint_folder(root, run, phase)
     df.write.mode("overwrite").parquet(f"{folder}/data")
     text = json.dumps(metadata, ensure_ascii=False)
     spark = df.sparkSession
@@ -33,7 +33,7 @@ def checkpoint_write(df: DataFrame, root: str, run: str, phase: str, metadata: d
 
 def checkpoint_read(spark: SparkSession, root: str, run: str, phase: str) -> tuple[DataFrame | None, dict | None]:
     """``(table, metadata)`` of a phase; ``(None, None)`` when it was never written."""
-    folder = _folder(root, run, phase)
+    folder = checkpoint_folder(root, run, phase)
     if not path_size(spark, f"{folder}/data")[0]:
         return None, None
     metadata = None
