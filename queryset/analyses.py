@@ -65,13 +65,6 @@ def auto_analysis(spark, sf):
     return run_auto(df, "c_custkey").report()
 
 
-@REGISTRY.add("auto_supervised")
-def auto_supervised(spark, sf):
-    """The automatic analysis of a table with a target."""
-    df = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", F.expr("p_retailprice + 10 * p_size").alias("target"))
-    return run_auto(df, "p_partkey", "target").report()
-
-
 @REGISTRY.add("auto_profile")
 def auto_profile(spark, sf):
     """The profile that the automatic analysis returns beside its result."""
