@@ -7,18 +7,23 @@ containers; repeated leaves such as paragraphs share a slot.  Over all pages of
 slots that keep repeating the same texts are template, and slots whose texts vary are
 content.  Hosts with few pages are judged by the slots of all hosts.
 
-Where a page declares its article (``article``, ``main``), its inside is content, whatever repeats there.
-Elsewhere all leaves of varying slots are content.  Navigation, headers and footers of
-the page, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-recognised by tag or class and are never content.
+A declared article (``article``, ``main``) is evidence, not the answer: it is taken whole if
+the leaves inside hold at least half of what varies over the host's pages, as slots
+find it.  Otherwise, and on pages that declare none, all leaves of varying slots are
+content.  Navigation, headers and footers of the page, sidebars, notices, adverts, forms,
+scripts, styles and reader comments are recognised by tag or class and are never content;
+inside an article a class that only resembles such a word excludes nothing by itself: its
+leaves go if their slot is template.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,7 @@ BLOCK = frozenset(
     "header footer nav aside form fieldset blockquote pre figure figcaption address details summary dialog hr center button".split()
 )
 REPEATED = frozenset("p li td th tr dt dd h1 h2 h3 h4 h5 h6 blockquote pre figcaption #text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("nav aside footer form button dialog fieldset head menu".split()) | RAW
 DECLARED = frozenset(["article", "main"])
 #: An open paragraph ends before these; an open item of one kind before another.
@@ -46,6 +52,11 @@ HINTS = re.compile(
     r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|respond|replies|share|social|"
     r"related|newsletter|subscribe|widget|disclaimer|legal|complementary|contentinfo|search)(?:$|[\s_-])"
 )
+#: Whole classes that are never content inside an article either.
+PLAIN_HINTS = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|overlay|side-?bar|menu|nav|"
+    r"navbar|navigation|breadcrumbs?|footer|comments?|respond|replies|newsletter|subscribe)(?=\s|$)"
+)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(>|$)", re.S
 )
@@ -59,36 +70,40 @@ VARYING = 0.5
 REFERENCE_BYTES = 500
 #: tables by host are sent to every task if they have no more bytes than this, else pages are shuffled to them.
 BROADCAST_BYTES = 32_000_000
-#: Children lists whose product is larger are paired in order of their labels.
+#: In children lists whose product is larger, equal texts count only in subtrees that are equal as a whole.
 MOST_CELLS = 40_000
+#: A declared article holds at least this share of the varying text, or it is not the article.
+ARTICLE_SHARE = 0.5
 
 
 class Node:
-    __slots__ = ("children", "excluded", "label", "slot", "tag", "text")
+    __slots__ = ("children", "declared", "excluded", "kind", "label", "shape", "size", "slot", "tag", "text", "weak")
 
-    def __init__(self, tag: str, label: str, excluded: bool):
-        self.tag, self.label, self.excluded = tag, label, excluded
+    def __init__(self, tag: str, label: str, excluded: bool = False, weak: bool = False, declared: bool = False):
+        self.tag, self.label, self.excluded, self.weak, self.declared = tag, label, excluded, weak, declared
         self.children: list[Node] = []
         self.text: list[str] = []
-        self.slot = ""
+        self.slot = self.kind = self.shape = 0
+        self.size = 0.0
 
 
-def _attributes(tag: str, rest: str) -> tuple[str, bool]:
-    """The label (tag and first class or id), and whether the element is never content."""
+def _attributes(tag: str, rest: str, inside: bool) -> tuple[str, bool, bool]:
+    """The label (tag and first class or id), whether the element is never content, and whether it may be none."""
     if not rest.strip(" /\t\r\n"):
-        return tag, tag in NEVER
+        return tag, tag in NEVER, False
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "").lower() for m in ATTRIBUTE.finditer(rest)}
     names = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
     first = names.split()[0] if names else ""
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    marked = tag not in DECLARED and tag not in ("body", "html") and bool(HINTS.search(names))
-    return f"{tag}.{first}" if first else tag, tag in NEVER or hidden or marked
+    hinted = tag not in DECLARED | HEADINGS and tag not in ("body", "html") and bool(HINTS.search(names))
+    certain = hinted and (not inside or bool(PLAIN_HINTS.search(names)))
+    return f"{tag}.{first}" if first else tag, tag in NEVER or hidden or certain, hinted and not certain
 
 
 def parse(page: str | None) -> Node:
     """The tree of block elements; runs of text between them are ``#text`` leaves."""
     page = page or ""
-    root = Node("#root", "#root", False)
+    root = Node("#root", "#root")
     stack = [root]
     run: list[str] = []
 
@@ -96,7 +111,7 @@ def parse(page: str | None) -> Node:
         text = " ".join(entities.unescape("".join(run)).split())
         run.clear()
         if text:
-            leaf = Node("#text", "#text", False)
+            leaf = Node("#text", "#text")
             leaf.text.append(text)
             stack[-1].children.append(leaf)
 
@@ -138,21 +153,17 @@ def parse(page: str | None) -> Node:
             if tag in ("br", "wbr", "img", "input"):
                 run.append("" if tag == "wbr" else " ")
             continue
-        label, excluded = _attributes(tag, m[3])
+        label, excluded, weak = _attributes(tag, m[3], stack[-1].declared)
         if tag not in BLOCK:
             if excluded and not m[3].endswith("/"):
-                flush()
-                inline = Node(tag, label, True)
-                stack[-1].children.append(inline)
-                close_at = _matching_end(page, at, tag)
-                at = close_at
+                at = _matching_end(page, at, tag)
             continue
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
         if tag in SIBLINGS:
             close(SIBLINGS[tag], SCOPE)
         flush()
-        node = Node(tag, label, excluded)
+        node = Node(tag, label, excluded, weak, stack[-1].declared or tag in DECLARED)
         stack[-1].children.append(node)
         if tag != "hr" and not m[3].endswith("/"):
             stack.append(node)
@@ -170,55 +181,169 @@ def _matching_end(page: str, at: int, tag: str) -> int:
     return at
 
 
+def _order(root: Node) -> list[Node]:
+    """All nodes, parents before their children."""
+    nodes = [root]
+    for node in nodes:
+        nodes.extend(node.children)
+    return nodes
+
+
+def _classify(roots: list[Node]) -> None:
+    """Number the subtrees: ``kind`` is equal for equal ones, ``shape`` for those equal but for their texts.
+
+    ``size`` is what a subtree gains when it is matched with an equal one.
+    """
+    kinds: dict[tuple, int] = {}
+    shapes: dict[tuple, int] = {}
+    for root in roots:
+        for node in reversed(_order(root)):
+            below = node.children
+            node.kind = kinds.setdefault((node.label, *node.text, None, *[c.kind for c in below]), len(kinds))
+            node.shape = shapes.setdefault((node.label, *[c.shape for c in below]), len(shapes))
+            node.size = 1.0 + sum(c.size for c in below) if below else 2.0
+
+
+def _run(step: Generator):
+    """The result of a generator that yields the generators it waits for; depth costs no stack."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+    return result
+
+
 def match(a: Node, b: Node, found: dict[int, Node]) -> float:
     """Simple tree matching of two nodes with equal labels: the size of the largest match.
 
     Leaves with equal texts count double.  ``found`` gets the partner of every child of ``a`` that is matched.
     """
-    one, two = a.children, b.children
-    if not one or not two:
+    _classify([a, b])
+    sizes: dict[tuple[int, int, bool], float] = {}
+    result = _run(_size(a, b, sizes))
+    todo = [(a, b, False)]
+    while todo:
+        x, y, plain = todo.pop()
+        for one, two, below in _run(_partners(x, y, sizes, plain)):
+            found[id(one)] = two
+            if one.children and two.children:
+                todo.append((one, two, below))
+    return result
+
+
+def _ends(one: list[Node], two: list[Node]) -> tuple[int, int]:
+    """How many equal children two lists have at their start and at their end; a largest match pairs them."""
+    least, head, tail = min(len(one), len(two)), 0, 0
+    while head < least and one[head].kind == two[head].kind:
+        head += 1
+    while tail < least - head and one[-1 - tail].kind == two[-1 - tail].kind:
+        tail += 1
+    return head, tail
+
+
+def _size(a: Node, b: Node, sizes: dict) -> Generator:
+    """What two nodes of one label gain."""
+    if a.kind == b.kind:
+        return a.size
+    if not a.children or not b.children:
         return 2.0 if a.text == b.text else 1.0
-    if len(one) * len(two) > MOST_CELLS:
-        return 1.0 + _in_order(one, two, found)
-    pairs: dict[tuple[int, int], tuple[float, dict[int, Node]]] = {}
-    best = [[0.0] * (len(two) + 1) for _ in range(len(one) + 1)]
-    for i, x in enumerate(one):
-        row, above = best[i + 1], best[i]
-        for j, y in enumerate(two):
-            value = above[j + 1] if above[j + 1] >= row[j] else row[j]
-            if x.label == y.label:
-                if x.tag == "#text" or not x.children or not y.children:
-                    gain, inner = (2.0 if x.text == y.text else 1.0), None
+    key = (a.kind, b.kind, False)
+    if key not in sizes:
+        sizes[key] = yield _rows(a, b, sizes, False, None)
+    return sizes[key]
+
+
+def _rows(a: Node, b: Node, sizes: dict, plain: bool, keep: list | None) -> Generator:
+    """The size of the match of two children lists; ``keep`` gets what a traceback needs.
+
+    One row of the table of sizes is one running maximum, and only every few rows stay in memory.
+    """
+    head, tail = (0, 0) if plain and keep is None else _ends(a.children, b.children)
+    one, two = a.children[head : len(a.children) - tail], b.children[head : len(b.children) - tail]
+    same = sum(c.size for c in a.children[:head]) + sum(c.size for c in a.children[len(a.children) - tail :])
+    below = plain or len(one) * len(two) > MOST_CELLS
+    labels: dict[str, list[int]] = {}
+    for j, y in enumerate(two):
+        labels.setdefault(y.label, []).append(j)
+    kinds = np.array([y.kind for y in two])
+    gains: dict[int, np.ndarray] = {}
+
+    def gain(x: Node) -> Generator:
+        """What a child of ``a`` gains with every child of ``b``."""
+        of = x.shape if below else x.kind
+        row = gains.get(of)
+        if row is None:
+            row = np.zeros(len(two))
+            by_shape: dict[int, float] = {}
+            for j in labels.get(x.label, ()):
+                y = two[j]
+                if below:
+                    if y.shape not in by_shape:
+                        by_shape[y.shape] = yield _plain_size(x, y, sizes)
+                    row[j] = by_shape[y.shape]
                 else:
-                    inner = {}
-                    gain = match(x, y, inner)
-                if above[j] + gain > value:
-                    value = above[j] + gain
-                    pairs[i, j] = (gain, inner or {})
-            row[j + 1] = value
-    i, j = len(one), len(two)
+                    row[j] = yield _size(x, y, sizes)
+            gains[of] = row
+        if below and not (plain and keep is None):
+            row = np.where(kinds == x.kind, x.size, row)
+        return row
+
+    every = max(1, int(len(one) ** 0.5))
+    last = np.zeros(len(two) + 1)
+    stored = {0: last}
+    for i, x in enumerate(one):
+        row = yield gain(x)
+        last = np.concatenate(([0.0], np.maximum.accumulate(np.maximum(last[1:], last[:-1] + row))))
+        if keep is not None and (i + 1) % every == 0:
+            stored[i + 1] = last
+    if keep is not None:
+        keep.extend((head, tail, one, two, below, gain, every, stored))
+    return 1.0 + same + float(last[-1])
+
+
+def _plain_size(a: Node, b: Node, sizes: dict) -> Generator:
+    """What two subtrees gain by their labels alone."""
+    if not a.children or not b.children:
+        return 1.0
+    key = (a.shape, b.shape, True)
+    if key not in sizes:
+        sizes[key] = yield _rows(a, b, sizes, True, None)
+    return sizes[key]
+
+
+def _partners(a: Node, b: Node, sizes: dict, plain: bool) -> Generator:
+    """The matched children of two nodes, last ones first, and whether their own children are matched by labels alone."""
+    keep: list = []
+    yield _rows(a, b, sizes, plain, keep)
+    head, tail, one, two, below, gain, every, stored = keep
+    pairs = [(x, y, plain) for x, y in zip(a.children[:head], b.children[:head])]
+    pairs += [(x, y, plain) for x, y in zip(a.children[len(a.children) - tail :], b.children[len(b.children) - tail :])]
+    i, j, block = len(one), len(two), {}
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        if i - 1 not in block or i not in block:
+            start = (i - 1) // every * every
+            block = {start: stored[start]}
+            for k in range(start, i):
+                row = yield gain(one[k])
+                above = block[k]
+                block[k + 1] = np.concatenate(([0.0], np.maximum.accumulate(np.maximum(above[1:], above[:-1] + row))))
+        if block[i][j] == block[i - 1][j]:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif block[i][j] == block[i][j - 1]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            found[id(one[i])] = two[j]
-            found.update(pairs[i, j][1])
-    return 1.0 + best[-1][-1]
+            pairs.append((one[i], two[j], below))
+    return pairs
 
 
-def _in_order(one: list[Node], two: list[Node], found: dict[int, Node]) -> float:
-    """Pair each child with the next free one of its label."""
-    size, j = 0.0, 0
-    for x in one:
-        k = next((k for k in range(j, min(len(two), j + 64)) if two[k].label == x.label), None)
-        if k is not None:
-            found[id(x)] = two[k]
-            size += match(x, two[k], found) if x.children and two[k].children else 1.0
-            j = k + 1
-    return size
+def _slot(above: int, step: str) -> int:
+    """A slot below another one: as long at any depth."""
+    return int.from_bytes(hashlib.blake2b(f"{above}/{step}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def name_slots(root: Node) -> None:
@@ -229,35 +354,39 @@ def name_slots(root: Node) -> None:
         seen: dict[str, int] = {}
         for child in node.children:
             n = seen[child.label] = seen.get(child.label, -1) + 1
-            child.slot = f"{node.slot}/{child.label}" + ("" if child.tag in REPEATED or not n else f"#{n}")
+            child.slot = _slot(node.slot, child.label + ("" if child.tag in REPEATED or not n else f"#{n}"))
             todo.append(child)
 
 
-def leaves(page: Node, reference: Node | None) -> list[tuple[str, bool, str]]:
-    """``(slot, declared, text)`` of every leaf that may be content, in page order."""
+def leaves(page: Node, reference: Node | None) -> list[tuple[int, bool, bool, str]]:
+    """``(slot, declared, weak, text)`` of every leaf that may be content, in page order."""
     found: dict[int, Node] = {}
     if reference is not None:
         match(page, reference, found)
-    out, todo = [], [(page, "", False)]
+    out, todo = [], [(page, 0, False, False)]
     while todo:
-        node, slot, declared = todo.pop()
+        node, slot, declared, weak = todo.pop()
         if node.text:
-            out.append((slot, declared, node.text[0]))
+            out.append((slot, declared, weak, node.text[0]))
         below = []
         for child in node.children:
             if child.excluded or (child.tag == "header" and not declared):
                 continue
             partner = found.get(id(child))
-            own = partner.slot if partner is not None else f"{slot}/{child.label}" + ("" if child.tag in REPEATED else "#+")
-            below.append((child, own, declared or child.tag in DECLARED))
+            own = partner.slot if partner is not None else _slot(slot, child.label + ("" if child.tag in REPEATED else "#+"))
+            below.append((child, own, declared or child.tag in DECLARED, weak or child.weak))
         todo.extend(reversed(below))
     return out
 
 
+LEAVES = "array<struct<slot:bigint,declared:boolean,weak:boolean,text:string>>"
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves of each page, aligned with its host's reference page."""
     references: dict[str, Node] = {}
-    kind = pa.list_(pa.struct([("slot", pa.string()), ("declared", pa.bool_()), ("text", pa.string())]))
+    names = ("slot", "declared", "weak", "text")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.int64(), pa.bool_(), pa.bool_(), pa.string())))))
     for batch in batches:
         found = []
         for host, page, reference in zip(batch.column(2), batch.column(3), batch.column(4)):
@@ -267,7 +396,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     references.clear()
                 references[host] = parse(reference.as_py())
                 name_slots(references[host])
-            found.append([dict(zip(("slot", "declared", "text"), leaf)) for leaf in leaves(parse(page.as_py()), references[host])])
+            found.append([dict(zip(names, leaf)) for leaf in leaves(parse(page.as_py()), references[host])])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(found, kind)], ["key", "url", "host", "leaves"]
         )
@@ -289,8 +418,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     aligned = written(
         rows.join(references, "host").select("key", "url", "host", "html", "reference").mapInArrow(
             _extract,
-            f"key {pages.schema[key].dataType.simpleString()}, url {pages.schema[url].dataType.simpleString()}, host string, "
-            "leaves array<struct<slot:string,declared:boolean,text:string>>",
+            f"key {pages.schema[key].dataType.simpleString()}, url {pages.schema[url].dataType.simpleString()}, host string, leaves {LEAVES}",
         ),
         "page-leaves",
     )
@@ -307,14 +435,23 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     verdicts = own.join(everywhere, "slot").where(share <= VARYING).select("host", "slot")
     found = written(verdicts.groupBy("host").agg(F.collect_list("slot").alias("templates")), "page-verdicts")
     # Slots that many pages repeat, so a few for each host; sent to the pages or joined to them, by their size.
-    text_size = F.octet_length(F.concat_ws("", "host", "templates"))
-    if (found.agg(F.sum(text_size)).first()[0] or 0) <= BROADCAST_BYTES:
+    size_of = F.octet_length("host") + 8 * F.size("templates")
+    if (found.agg(F.sum(size_of)).first()[0] or 0) <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<bigint>")
     full = aligned.join(found, "host", "left").withColumn("templates", F.coalesce("templates", none))
-    article = F.filter("leaves", lambda x: x["declared"])
     varying = F.filter("leaves", lambda x: ~F.array_contains("templates", x["slot"]))
-    chosen = F.when(F.exists("leaves", lambda x: x["declared"]), article).otherwise(varying)
+    mass = lambda chosen: F.aggregate(chosen, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["text"]))
+    inside = F.exists("leaves", lambda x: x["declared"])
+    weighed = full.where(inside).groupBy("host").agg(
+        F.count("*").alias("pages"), F.sum(mass(varying)).alias("all"), F.sum(mass(F.filter(varying, lambda x: x["declared"]))).alias("within")
+    )
+    # Hosts, though not their pages, whose declared parts are not the article; few pages of a host prove nothing.
+    doubted = weighed.where((F.col("pages") >= LEAST_PAGES) & (F.col("within") < ARTICLE_SHARE * F.col("all")))
+    doubted = written(doubted.select("host", F.lit(True).alias("doubted")), "page-doubts")
+    full = full.join(doubted, "host", "left")
+    article = F.filter("leaves", lambda x: x["declared"] & ~(x["weak"] & F.array_contains("templates", x["slot"])))
+    chosen = F.when(inside & F.col("doubted").isNull(), article).otherwise(varying)
     text = F.array_join(F.transform(chosen, lambda x: x["text"]), "\n")
     return full.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn(
         "n_chars", F.length("text").cast("bigint")

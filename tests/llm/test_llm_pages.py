@@ -210,11 +210,54 @@ def test_odd_pages(spark):
     assert by[1] == by[2] == [""] and by[3] == ["plain & simple <text>"] and by[None] == ["no id"]
     assert sorted(by[4]) == ["T\na b cd\ne f", "again"]
     assert by[5] == ["Kept\none"]
-    assert by[6] == ["text\nend"]
+    assert by[6] == ["text end"]
     assert by[7] == ["\n".join(["x"] * 20000)]
     assert htmltext.extract_text(df.limit(0)).count() == 0
 
 
+def test_article_content_with_suspicious_names(spark):
+    """Names that only resemble those of menus exclude nothing by themselves; repeated parts with such names do go."""
+    rows, expected = [], {}
+    for i in range(20):
+        keep = [f"Title {i}", f"Work {i} like this", f"Body {i} text"]
+        rows.append((i, f"http://c.org/{i}", f"<body><article><h1 class='page-header'>{keep[0]}</h1><div class='related-work'><p>{keep[1]}</p></div>"
+                     f"<p>{keep[2]}</p><div class='share-links'>Share this</div><div class='ad'>Buy {i}</div></article></body>"))
+        expected[i] = "\n".join(keep)
+    found = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == expected
+
+
+def test_declared_tag_is_only_evidence(spark):
+    """A declared part that repeats on every page is no article; what varies beside it is."""
+    rows = [(i, f"http://d.org/{i}", f"<body><main><p>Welcome to our pages</p></main><div class='col'><p>Long text {i} about {i * i} things</p></div></body>") for i in range(20)]
+    rows.append((99, "http://e.org/", "<body><main><p>Alone</p></main><div class='col'><p>beside</p></div></body>"))
+    found = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {**{i: f"Long text {i} about {i * i} things" for i in range(20)}, 99: "Alone"}
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    long = "".join(f"<li><p>item {i}</p></li><div>x{i}</div>" for i in range(1500))
+    rows = [(1, "http://a/", deep), (2, "http://a/", "<div>" * 2999 + "other"), (3, "http://b/", f"<main>{long}</main>"), (4, "http://b/", f"<main><h2>new</h2>{long}<p>end</p></main>")]
+    found = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    items = "\n".join(f"item {i}\nx{i}" for i in range(1500))
+    assert found == {1: "deep", 2: "other", 3: items, 4: f"new\n{items}\nend"}
+
+
+def test_long_lists_are_aligned_as_a_whole():
+    """Parts far apart find each other; slots are as long at any depth."""
+    draw = random.Random(18)
+    posts = [f"<div class='post'><p>{draw.random()}</p></div>" for _ in range(300)]
+    other = [f"<div class='post'><p>{draw.random()}</p></div>" for _ in range(300)]
+    one = htmltext.parse("".join(posts) + "<section>end</section>")
+    two = htmltext.parse("<section>start</section>" + "".join(other[:150]) + posts[0] + "".join(other[150:]) + "<section>end</section>")
+    found = {}
+    htmltext.match(one, two, found)
+    assert len({id(n) for n in found.values()}) == len(found)
+    assert found[id(one.children[-1])] is two.children[-1]
+    assert sum(id(c) in found for c in one.children) == 301
+
+
 def brute_match(a, b):
     """Largest order-preserving match, by all splits."""
     if a.label != b.label:
@@ -238,7 +281,10 @@ def test_tree_matching_is_largest():
 
     for _ in range(40):
         one, two = htmltext.parse(page()), htmltext.parse(page())
-        assert htmltext.match(one, two, {}) == brute_match(one, two)
+        found = {}
+        assert htmltext.match(one, two, found) == brute_match(one, two)
+        below = {id(c): p for p in htmltext._order(one) for c in p.children}
+        assert all(below[k] is one or found[id(below[k])].children.count(n) for k, n in found.items())
 
 
 def test_user_columns_with_working_names_survive(spark):
