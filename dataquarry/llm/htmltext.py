@@ -72,6 +72,8 @@ REFERENCE_BYTES = 500
 BROADCAST_BYTES = 32_000_000
 #: In children lists whose product is larger, equal texts count only in subtrees that are equal as a whole.
 MOST_CELLS = 40_000
+#: Rows of the table of sizes up to this length are lists, which are faster then.
+SHORT_ROW = 64
 #: A declared article holds at least this share of the varying text, or it is not the article.
 ARTICLE_SHARE = 0.5
 
@@ -228,7 +230,13 @@ def match(a: Node, b: Node, found: dict[int, Node]) -> float:
     todo = [(a, b, False)]
     while todo:
         x, y, plain = todo.pop()
-        for one, two, below in _run(_partners(x, y, sizes, plain)):
+        if x.kind == y.kind:
+            pairs = [(one, two, plain) for one, two in zip(x.children, y.children)]
+        elif len(x.children) == len(y.children) == 1:
+            pairs = [(x.children[0], y.children[0], plain)] if x.children[0].label == y.children[0].label else []
+        else:
+            pairs = _run(_partners(x, y, sizes, plain))
+        for one, two, below in pairs:
             found[id(one)] = two
             if one.children and two.children:
                 todo.append((one, two, below))
@@ -245,16 +253,42 @@ def _ends(one: list[Node], two: list[Node]) -> tuple[int, int]:
     return head, tail
 
 
-def _size(a: Node, b: Node, sizes: dict) -> Generator:
-    """What two nodes of one label gain."""
+def _known(a: Node, b: Node, sizes: dict) -> float | None:
+    """What two nodes of one label gain, if no list has to be matched for it."""
     if a.kind == b.kind:
         return a.size
-    if not a.children or not b.children:
+    one, two = a.children, b.children
+    if not one or not two:
         return 2.0 if a.text == b.text else 1.0
-    key = (a.kind, b.kind, False)
-    if key not in sizes:
-        sizes[key] = yield _rows(a, b, sizes, False, None)
-    return sizes[key]
+    if len(one) == len(two) == 1:
+        x, y = one[0], two[0]
+        if x.label != y.label:
+            return 1.0
+        if not x.children or not y.children:
+            return 3.0 if x.text == y.text else 2.0
+    return sizes.get((a.kind, b.kind, False))
+
+
+def _size(a: Node, b: Node, sizes: dict) -> Generator:
+    """What two nodes of one label gain."""
+    size = _known(a, b, sizes)
+    if size is None:
+        size = sizes[a.kind, b.kind, False] = yield _rows(a, b, sizes, False, None)
+    return size
+
+
+def _next_row(above, gains):
+    """The next row of the table of sizes: its running maximum; short rows are lists."""
+    if isinstance(gains, list):
+        row, most = [0.0], 0.0
+        for j, gain in enumerate(gains):
+            if above[j + 1] > most:
+                most = above[j + 1]
+            if gain and above[j] + gain > most:
+                most = above[j] + gain
+            row.append(most)
+        return row
+    return np.concatenate(([0.0], np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gains))))
 
 
 def _rows(a: Node, b: Node, sizes: dict, plain: bool, keep: list | None) -> Generator:
@@ -264,20 +298,23 @@ def _rows(a: Node, b: Node, sizes: dict, plain: bool, keep: list | None) -> Gene
     """
     head, tail = (0, 0) if plain and keep is None else _ends(a.children, b.children)
     one, two = a.children[head : len(a.children) - tail], b.children[head : len(b.children) - tail]
-    same = sum(c.size for c in a.children[:head]) + sum(c.size for c in a.children[len(a.children) - tail :])
+    same = 0.0
+    if head or tail:
+        same = sum(c.size for c in a.children[:head]) + sum(c.size for c in a.children[len(a.children) - tail :])
     below = plain or len(one) * len(two) > MOST_CELLS
     labels: dict[str, list[int]] = {}
     for j, y in enumerate(two):
         labels.setdefault(y.label, []).append(j)
-    kinds = np.array([y.kind for y in two])
-    gains: dict[int, np.ndarray] = {}
+    short = len(two) <= SHORT_ROW
+    kinds = None if short else np.array([y.kind for y in two])
+    gains: dict = {}
 
     def gain(x: Node) -> Generator:
         """What a child of ``a`` gains with every child of ``b``."""
         of = x.shape if below else x.kind
         row = gains.get(of)
         if row is None:
-            row = np.zeros(len(two))
+            row = [0.0] * len(two) if short else np.zeros(len(two))
             by_shape: dict[int, float] = {}
             for j in labels.get(x.label, ()):
                 y = two[j]
@@ -286,18 +323,19 @@ def _rows(a: Node, b: Node, sizes: dict, plain: bool, keep: list | None) -> Gene
                         by_shape[y.shape] = yield _plain_size(x, y, sizes)
                     row[j] = by_shape[y.shape]
                 else:
-                    row[j] = yield _size(x, y, sizes)
+                    size = _known(x, y, sizes)
+                    row[j] = size if size is not None else (yield _size(x, y, sizes))
             gains[of] = row
         if below and not (plain and keep is None):
-            row = np.where(kinds == x.kind, x.size, row)
+            row = [x.size if y.kind == x.kind else r for y, r in zip(two, row)] if short else np.where(kinds == x.kind, x.size, row)
         return row
 
-    every = max(1, int(len(one) ** 0.5))
-    last = np.zeros(len(two) + 1)
+    every = 1 if short else max(1, int(len(one) ** 0.5))
+    last = [0.0] * (len(two) + 1) if short else np.zeros(len(two) + 1)
     stored = {0: last}
     for i, x in enumerate(one):
-        row = yield gain(x)
-        last = np.concatenate(([0.0], np.maximum.accumulate(np.maximum(last[1:], last[:-1] + row))))
+        row = None if below else gains.get(x.kind)
+        last = _next_row(last, (yield gain(x)) if row is None else row)
         if keep is not None and (i + 1) % every == 0:
             stored[i + 1] = last
     if keep is not None:
@@ -328,9 +366,7 @@ def _partners(a: Node, b: Node, sizes: dict, plain: bool) -> Generator:
             start = (i - 1) // every * every
             block = {start: stored[start]}
             for k in range(start, i):
-                row = yield gain(one[k])
-                above = block[k]
-                block[k + 1] = np.concatenate(([0.0], np.maximum.accumulate(np.maximum(above[1:], above[:-1] + row))))
+                block[k + 1] = _next_row(block[k], (yield gain(one[k])))
         if block[i][j] == block[i - 1][j]:
             i -= 1
         elif block[i][j] == block[i][j - 1]:
