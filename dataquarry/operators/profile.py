@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dataquarry.functions.hashing import value_key
 from dataquarry.functions.scalars import safe_float
 from dataquarry.operators.columns import categorical_columns, col, is_number, mapping, numeric_columns
 from dataquarry.runtime import materialise
@@ -134,35 +135,75 @@ def _value_family(field: T.StructField) -> str:
     return "string"
 
 
+# Characters of a value that travel with its key when the mode is looked for.
+HEAD_CHARS = 64
+
+
 def value_counts(df: DataFrame, columns: list[str], family: str) -> DataFrame:
     """``(column, value, n)`` for columns of one value family; combined map-side.
 
     Long form instead of many ``count(distinct)``: those would multiply every row
-    by the number of columns *and* shuffle all of them.
+    by the number of columns *and* shuffle all of them.  Long texts are counted by their digest.
     """
     value = lambda c: (F.col(f"`{c}`").cast("double") + 0.0) if family == "double" else F.col(f"`{c}`").cast(family)
     pairs = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns]))
     )
-    return pairs.filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.filter("value is not null")
+    if family == "string":
+        pairs = pairs.withColumn("value", value_key(F.col("value")))
+    return pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cardinality(df: DataFrame, columns: list[str], family: str) -> DataFrame:
     return value_counts(df, columns, family).groupBy("column").agg(F.count(F.lit(1)).alias("cardinality"))
 
 
-def profile_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column, cardinality, mode, mode_count)``; the smallest of equally frequent values."""
-    columns = categorical_columns(df, booleans=False) if columns is None else columns
-    top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value")))
+def _most_frequent(df: DataFrame, heads: dict[str, str], size: int) -> DataFrame:
+    """``(column, cardinality, head, mode_count)`` of the values that begin with the column's head.
+
+    ``head`` is the first ``size`` characters of the smallest of the most frequent values.
+    Values are counted by their keys; no more than their first characters travel with them.
+    """
+    cells = []
+    for c, head in heads.items():
+        value = F.col(f"`{c}`").cast("string")
+        cells.append(F.struct(F.lit(c).alias("column"), (F.when(value.startswith(head), value) if head else value).alias("value")))
+    counts = (
+        df.select(F.inline(F.array(*cells)))
+        .filter("value is not null")
+        .groupBy("column", value_key(F.col("value")).alias("key"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.substring("value", 1, size)).alias("head"))
+    )
+    top = F.min(F.struct((-F.col("n")).alias("neg"), F.col("head")))
     return (
-        value_counts(df, columns, "string")
-        .groupBy("column")
+        counts.groupBy("column")
         .agg(F.count(F.lit(1)).alias("cardinality"), top.alias("top"))
-        .select("column", "cardinality", F.col("top.value").alias("mode"), (-F.col("top.neg")).alias("mode_count"))
+        .select("column", "cardinality", F.col("top.head").alias("head"), (-F.col("top.neg")).alias("mode_count"))
     )
 
 
+def profile_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column, cardinality, mode, mode_count)``; the smallest of equally frequent values.
+
+    A mode that is longer than its head is completed in further passes: each takes the
+    values that begin with the head found so far, and a head sixteen times as long.
+    """
+    columns = categorical_columns(df, booleans=False) if columns is None else columns
+    kind = "column string, cardinality bigint, mode string, mode_count bigint"
+    size, heads = HEAD_CHARS, dict.fromkeys(columns, "")
+    seen: dict[str, tuple] = {}
+    while heads:
+        found = {r["column"]: r for r in _most_frequent(df, heads, size).collect()}
+        # Among values with one head, the most frequent ones are as frequent as before.
+        for c, r in found.items():
+            first = seen.get(c, (c, r["cardinality"], None, r["mode_count"]))
+            seen[c] = (c, first[1], r["head"], first[3])
+        heads = {c: r["head"] for c, r in found.items() if len(r["head"]) >= size}
+        size *= 16
+    return df.sparkSession.createDataFrame([seen[c] for c in columns if c in seen], kind)
+
+
 def profile_long_text(df: DataFrame, c: str) -> DataFrame:
     """The same row for a free-text column, shuffling digests instead of texts.
 

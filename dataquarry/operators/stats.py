@@ -13,7 +13,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dataquarry.functions.hashing import value_key
 from dataquarry.functions.scalars import safe_float
 from dataquarry.functions.tails import p_value
 from dataquarry.operators.columns import categorical_columns, col, numeric_columns
@@ -42,10 +44,15 @@ def pearson(x: str, y: str) -> Column:
     return safe_float(F.when(spread > 0, F.covar_pop(x, y) / spread))
 
 
+def _class_key(df: DataFrame, target: str) -> Column:
+    """The class as a group key; long texts by their digest."""
+    return value_key(col(target)) if isinstance(df.schema[target].dataType, T.StringType) else col(target)
+
+
 def _numeric_by_class(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """``(feature, grp, n, m, v)``: count, mean, variance of every column in every class."""
     cells = df.filter(col(target).isNotNull()).select(
-        col(target).alias("grp"),
+        _class_key(df, target).alias("grp"),
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("double").alias("x")) for c in columns])),
     )
     return cells.groupBy("feature", "grp").agg(
@@ -57,7 +64,7 @@ def _target_by_category(df: DataFrame, target: str, columns: Sequence[str]) -> D
     """The same for a numeric target, grouped by the categories of each column."""
     cells = df.select(
         col(target).cast("double").alias("y"),
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("grp")) for c in columns])),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), value_key(col(c).cast("string")).alias("grp")) for c in columns])),
     )
     return (
         cells.filter("grp is not null")
@@ -135,8 +142,8 @@ def chi2_independence(df: DataFrame, target: str, columns: Sequence[str] | None
     cells = (
         df.filter(col(target).isNotNull())
         .select(
-            col(target).alias("b"),
-            F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("a")) for c in columns])),
+            _class_key(df, target).alias("b"),
+            F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), value_key(col(c).cast("string")).alias("a")) for c in columns])),
         )
         .filter("a is not null")
         .groupBy("feature", "a", "b")

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataquarry.functions.text import clean_text, tokenize
+from dataquarry.runtime import materialise
 
 MAX_TERMS, MIN_DF, MAX_DF = 5000, 5, 0.90
 EMBEDDING_SIZE = 384
 ENCODER_BATCH = 128
+# A dictionary of at most so many bytes is looked up in the row.
+DICTIONARY_BYTES = 4_000_000
 
 
 def explode_words(df: DataFrame, keep: list[str], words: Column, name: str) -> DataFrame:
@@ -41,12 +44,68 @@ def stop_words(spark: SparkSession, language: str = "spanish") -> DataFrame:
 def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame | None = None, stops: DataFrame | None = None, out: str = "lemmatized") -> DataFrame:
     """Add ``out``: tokens without stop words, replaced by their lemma, in order.
 
-    ``lemmas`` is ``(token, lemma)`` with unique tokens, ``stops`` is ``(token)``.
-    Distinct tokens are far fewer than tokens: the dictionaries are joined to
-    exploded tokens, and the table sizes decide between broadcast and shuffle.
+    ``lemmas`` is ``(token, lemma)`` with unique tokens, ``stops`` is ``(token)``.  A
+    dictionary whose size is small, or gets small without the tokens that no text
+    holds, is a hash table in the plan: texts stay in their rows and no token is
+    shuffled.  A larger one is joined to the tokens.  A null text becomes an empty one.
     """
     if stops is None and lemmas is None:
         return df.withColumn(out, F.col(text))
+    entries = materialise(_dictionary(df.sparkSession, lemmas, stops), "dictionary")
+    table = _lookup_table(entries)
+    if table is None:
+        words = df.select(F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("token")).distinct()
+        table = _lookup_table(materialise(entries.join(words, "token", "left_semi"), "dictionary"))
+    if table is None:
+        return _lemmatize_joined(df, key, text, lemmas, stops, out)
+    found = F.transform(F.filter(F.split(F.col(text), " "), lambda t: t != ""), table)
+    return df.withColumn(out, F.coalesce(F.array_join(F.filter(found, lambda t: t.isNotNull()), " "), F.lit("")))
+
+
+def _dictionary(spark: SparkSession, lemmas: DataFrame | None, stops: DataFrame | None) -> DataFrame:
+    """``(token, lemma)`` without entries that change nothing; stop words have no lemma."""
+    entries = spark.createDataFrame([], "token string, lemma string")
+    if lemmas is not None:
+        entries = lemmas.select("token", "lemma").filter("token is not null and lemma is not null")
+    if stops is not None:
+        gone = stops.select("token").filter("token is not null").distinct()
+        entries = entries.join(gone, "token", "left_anti").unionByName(gone.withColumn("lemma", F.lit(None).cast("string")))
+    return entries
+
+
+def _lookup_table(entries: DataFrame) -> Callable[[Column], Column] | None:
+    """What a token becomes, by a literal hash table; None if the table is too large or has its marks in a text.
+
+    A bucket is a text of entries between marks, and the place of a token in it gives its lemma.
+    """
+    mark, end, stop = "\x01", "\x02", "\x03"
+    marked = F.concat("token", F.coalesce("lemma", F.lit(""))).rlike("[\x01-\x04]")
+    size = entries.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token") + F.coalesce(F.octet_length("lemma"), F.lit(1)) + 3).alias("bytes"), F.max(marked).alias("marked")
+    ).first()
+    if not size["n"]:
+        return lambda token: token
+    if size["bytes"] > DICTIONARY_BYTES or size["marked"]:
+        return None
+    slots = size["n"]
+    bucket = lambda token: F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+    entry = F.concat(F.lit(mark), "token", F.lit(end), F.coalesce("lemma", F.lit(stop)))
+    texts = [""] * slots
+    for r in entries.select(bucket(F.col("token")).alias("slot"), entry.alias("entry")).collect():
+        texts[r["slot"]] += r["entry"]
+    table = F.split(F.lit("\x04".join(texts)), "\x04")
+
+    def look_up(token: Column) -> Column:
+        entries_of, own = F.concat(F.get(table, bucket(token)), F.lit(mark)), F.concat(F.lit(mark), token, F.lit(end))
+        behind = F.call_function("substring_index", entries_of, own, F.lit(-1))
+        lemma = F.substring_index(behind, mark, 1)
+        return F.when(~F.contains(entries_of, own), token).when(lemma != stop, lemma)
+
+    return look_up
+
+
+def _lemmatize_joined(df: DataFrame, key: str, text: str, lemmas: DataFrame | None, stops: DataFrame | None, out: str) -> DataFrame:
+    """The same with dictionaries of any size, joined to the tokens."""
     tokens = df.select(key, F.posexplode_outer(F.split(F.col(text), " ")).alias("_pos", "token")).filter("token != ''")
     if stops is not None:
         tokens = tokens.join(stops.select("token").distinct(), "token", "left_anti")

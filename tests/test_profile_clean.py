@@ -170,3 +170,30 @@ def test_preprocessor_quotes_values(spark):
 def test_label_encode_is_numeric_for_numbers(spark):
     out = X.label_encode(spark.createDataFrame([(10,), (9,), (100,), (9,), (None,)], "y int"), "y")
     assert sorted({(r["y"], r["label"]) for r in out.collect()}, key=str) == sorted({(9, 0), (10, 1), (100, 2), (None, None)}, key=str)
+
+
+def test_modes_of_long_texts_without_shuffling_them(spark):
+    """Ties, values that share long beginnings, and values at the border of a head are told apart."""
+    from collections import Counter
+
+    for n in (63, 64, 65, 1024, 1025, 20000):
+        base = "é" * n
+        values = [base + "b", base + "a", base + "a", base + "b", base, "zz", "zz", None, base + "aa", ""]
+        df = spark.createDataFrame([(v, v if i % 2 else None, i) for i, v in enumerate(values)], "t string, u string, i int")
+        got = {r["column"]: r for r in P.profile_categorical(df).collect()}
+        for c, kept in (("t", [v for v in values if v is not None]), ("u", [v for i, v in enumerate(values) if i % 2 and v is not None])):
+            counts = Counter(kept)
+            most = max(counts.values())
+            assert (got[c]["cardinality"], got[c]["mode"], got[c]["mode_count"]) == (len(counts), min(v for v in counts if counts[v] == most), most)
+    assert P.profile_categorical(df.limit(0)).count() == 0
+
+
+def test_statistics_of_long_texts_are_those_of_short_ones(spark):
+    from dataquarry.operators import stats as S
+
+    rows = [(i % 3, "cab"[i % 3] if i % 7 else "d", float(i * i % 11)) for i in range(60)]
+    short = spark.createDataFrame(rows, "k int, c string, y double").withColumn("b", F.concat(F.lit("k"), "k"))
+    long = short.withColumn("c", F.concat(F.lit("x" * 500), "c")).withColumn("b", F.concat(F.lit("y" * 500), "b"))
+    for test, target in ((S.chi2_independence, "b"), (S.anova_by_category, "y"), (S.anova_by_class, "b")):
+        got = [sorted((r["feature"], r["test"], round(r["stat"], 9), r["dof1"], r["dof2"]) for r in test(t, target).collect() if r["stat"] is not None) for t in (short, long)]
+        assert got[0] == got[1] and got[0]

@@ -51,6 +51,39 @@ def test_lemmatize_keeps_order_and_empty_documents(spark):
     assert {r["id"]: r["lemmatized"] for r in X.lemmatize(df, "id", "t").collect()}[1] == "los gatos comen los ratones"
 
 
+def test_lemmatize_paths_agree(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abñ") for _ in range(draw.randrange(1, 4))) for _ in range(60)]
+    texts = [(i, " ".join(draw.choice([*words, ""]) for _ in range(draw.randrange(0, 40)))) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    known = sorted(set(words))
+    lemmas = spark.createDataFrame([(w, w[:1] * 2 + " x" if i % 4 else None) for i, w in enumerate(known[::2])] + [("zz", "unused")], "token string, lemma string")
+    stops = spark.createDataFrame([(w,) for w in known[::5]] * 2 + [(None,)], "token string")
+    table = {w: (w[:1] * 2 + " x" if i % 4 else w) for i, w in enumerate(known[::2])}
+    for use in ((lemmas, stops), (lemmas, None), (None, stops)):
+        gone = set(known[::5]) if use[1] is not None else set()
+        swap = table if use[0] is not None else {}
+        expected = {i: " ".join(swap.get(w, w) for w in (t or "").split(" ") if w and w not in gone) for i, t in texts}
+        looked_up = X.lemmatize(df, "id", "t", *use)
+        assert {r["id"]: r["lemmatized"] for r in looked_up.collect()} == expected
+        assert "Exchange" not in looked_up._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(X, "DICTIONARY_BYTES", 10)
+            assert {r["id"]: r["lemmatized"] for r in X.lemmatize(df, "id", "t", *use).collect()} == expected
+
+
+def test_lemmatize_repeated_keys_and_marks(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "b a"), (None, "a")], "id int, t string")
+    assert sorted(r[0] for r in X.lemmatize(df, "id", "t", spark.createDataFrame([("a", "c")], "token string, lemma string")).select("lemmatized").collect()) == ["b c", "c", "c b"]
+    empty = spark.createDataFrame([], "token string, lemma string")
+    assert sorted(r[0] for r in X.lemmatize(df, "id", "t", empty).select("lemmatized").collect()) == ["a", "a b", "b a"]
+    marked = spark.createDataFrame([("a", "c\x01")], "token string, lemma string")
+    rows = X.lemmatize(df.filter("id = 1").limit(1), "id", "t", marked).collect()
+    assert "c\x01" in rows[0]["lemmatized"]
+
+
 def test_tfidf_definition(spark):
     docs = {1: "aa aa bb", 2: "aa cc", 3: "cc cc dd", 4: ""}
     df = spark.createDataFrame(list(docs.items()), "id int, t string")
