@@ -64,13 +64,14 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame | None = Non
 
 def _dictionary(spark: SparkSession, lemmas: DataFrame | None, stops: DataFrame | None) -> DataFrame:
     """``(token, lemma)`` without entries that change nothing; stop words have no lemma."""
-    entries = spark.createDataFrame([], "token string, lemma string")
+    parts = spark.createDataFrame([], "token string, lemma string, stop boolean")
     if lemmas is not None:
-        entries = lemmas.select("token", "lemma").filter("token is not null and lemma is not null")
+        parts = parts.unionByName(lemmas.select("token", "lemma", F.lit(False).alias("stop")).filter("token is not null and lemma is not null"))
     if stops is not None:
-        gone = stops.select("token").filter("token is not null").distinct()
-        entries = entries.join(gone, "token", "left_anti").unionByName(gone.withColumn("lemma", F.lit(None).cast("string")))
-    return entries
+        parts = parts.unionByName(stops.select("token", F.lit(None).cast("string").alias("lemma"), F.lit(True).alias("stop")).filter("token is not null"))
+    # Each table is read once: they may be derived from a corpus.
+    entries = parts.groupBy("token").agg(F.max("stop").alias("stop"), F.min("lemma").alias("lemma"))
+    return entries.select("token", F.when(~F.col("stop"), F.col("lemma")).alias("lemma"))
 
 
 def _lookup_table(entries: DataFrame) -> Callable[[Column], Column] | None:
