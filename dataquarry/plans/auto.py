@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,16 @@ from dataquarry.runtime import spread
 from dataquarry.sources.phases import Phases
 
 
+@dataclass
+class AutoPlan:
+    """What is known of a table before its analysis, and the analysis itself."""
+
+    route: str
+    reason: str
+    profile: DataFrame
+    analyse: Callable[[], SupervisedResult | ClusterResult | TopicResult]
+
+
 @dataclass
 class AutoResult:
     route: str
@@ -48,7 +59,7 @@ def number_rows(df: DataFrame, key: str) -> DataFrame:
     return running_totals(marked, ["__digest__"], {key: "__one__"}, "numbered").drop("__digest__", "__one__")
 
 
-def run_auto(
+def plan_auto(
     df: DataFrame,
     key: str | None = None,
     target: str | None = None,
@@ -56,13 +67,11 @@ def run_auto(
     plan: list[tuple[str, str]] | None = None,
     phases: Phases | None = None,
     **options,
-) -> AutoResult:
-    """Clean, choose the route, and run it.
+) -> AutoPlan:
+    """Profile and clean, and choose the route; ``analyse()`` of the result runs it.
 
-    ``key`` names a unique column that identifies rows and is no feature; without
-    one, rows are numbered in the order of a digest of their values, whatever files they came in.
-    The result also holds the profile of the table as it was read.  ``phases`` publishes every
-    phase, those of the chosen analysis included.
+    The arguments are those of ``run_auto``.  Profile and route need no model, so that
+    they are at hand for tables whose analysis is dear or refused.
     """
     if key is not None:
         key = resolve(df, key)
@@ -81,13 +90,34 @@ def run_auto(
     features = cleaned.drop(key)
     decision = route_decision(features, target).first()
     route = decision["route"]
-    if route == SUPERVISED:
-        task = infer_task_type(features, target).first()["task"]
-        result = run_supervised(cleaned, key, target, task, phases=phases, **options)
-    elif route == UNSUPERVISED:
-        result = run_clustering(cleaned, key, phases=phases, **options)
-    else:
+
+    def analyse() -> SupervisedResult | ClusterResult | TopicResult:
+        if route == SUPERVISED:
+            task = infer_task_type(features, target).first()["task"]
+            return run_supervised(cleaned, key, target, task, phases=phases, **options)
+        if route == UNSUPERVISED:
+            return run_clustering(cleaned, key, phases=phases, **options)
         text = first_free_text_column(infer_semantic_type(features)).first()["column"]
-        result = run_topics(spread(cleaned), key, text, target=target, phases=phases, **options)
-    return AutoResult(route, decision["reason"], phase["profile"], result)
+        return run_topics(spread(cleaned), key, text, target=target, phases=phases, **options)
+
+    return AutoPlan(route, decision["reason"], phase["profile"], analyse)
+
 
+def run_auto(
+    df: DataFrame,
+    key: str | None = None,
+    target: str | None = None,
+    assume_last: bool = False,
+    plan: list[tuple[str, str]] | None = None,
+    phases: Phases | None = None,
+    **options,
+) -> AutoResult:
+    """Clean, choose the route, and run it.
+
+    ``key`` names a unique column that identifies rows and is no feature; without
+    one, rows are numbered in the order of a digest of their values, whatever files they came in.
+    The result also holds the profile of the table as it was read.  ``phases`` publishes every
+    phase, those of the chosen analysis included.
+    """
+    chosen = plan_auto(df, key, target, assume_last, plan, phases, **options)
+    return AutoResult(chosen.route, chosen.reason, chosen.profile, chosen.analyse())

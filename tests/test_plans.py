@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from dataquarry.operators.profile import semantic_types
-from dataquarry.plans.auto import run_auto
+from dataquarry.plans.auto import plan_auto, run_auto
 from dataquarry.plans.clustering import run_clustering
 from dataquarry.plans.supervised import run_supervised
 from dataquarry.plans.topics import run_topics
+from queryset.analyses import auto_profile
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +97,16 @@ def test_auto_chooses_the_route(spark, people, notes):
     assert last.result.target == "y"
     grouped = run_auto(people.drop("y"), trees=20)
     assert grouped.route == "fase_2" and grouped.result.rows.count() == 300
+
+
+def test_profile_of_a_table_whose_analysis_is_refused(spark, tmp_path):
+    """A name of its own in every row: too many categories to cluster by, but the profile is whole."""
+    n = 10_500
+    df = spark.range(n).selectExpr(
+        "id as s_suppkey", "concat('Supplier', id) as s_name", "cast(id % 25 as int) as s_nationkey", "cast(id % 997 as double) as s_acctbal"
+    )
+    df.write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = {r["column"]: r for r in auto_profile(spark, str(tmp_path)).collect()}
+    assert set(rows) == set(df.columns) and all(r["total"] == n for r in rows.values())
+    assert rows["s_name"]["cardinality"] == n and rows["s_acctbal"]["cardinality"] == 997
+    assert plan_auto(df, "s_suppkey").route == "fase_2"
