@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,6 +29,8 @@ from dataquarry.operators.stats import P_VALUE_LIMIT, paired_ttest, with_p_value
 from dataquarry.runtime import concurrently, materialise
 
 SEED = 42
+# Rows that are worth a task of their own when a model is fitted.
+ROWS_A_TASK = 10_000
 MODELS = ("baseline", "linear", "forest", "gradient_boosting")
 
 
@@ -47,12 +50,13 @@ def linear_regressor() -> LinearRegression:
 def forest(task: str, trees: int = 100, max_depth: int = 30):
     """Random forest: square root of the features per split to classify, all of them to regress.
 
-    Trees grow to 30 levels, the most that MLlib allows; ``max_depth`` bounds them.
+    Trees grow to 30 levels, the most that MLlib allows; ``max_depth`` bounds them.  Every
+    row's node is remembered, so that no level walks all trees from their roots again.
     """
     kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
     return kind(
         featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth, seed=SEED,
-        featureSubsetStrategy="sqrt" if task == "classification" else "all",
+        featureSubsetStrategy="sqrt" if task == "classification" else "all", cacheNodeIds=True,
     )
 
 
@@ -83,6 +87,18 @@ def score_predictions(pred: DataFrame, task: str) -> float:
     return -float(regression_metrics(pred, "label", "prediction").first()["rmse"])
 
 
+def training_rows(df: DataFrame) -> DataFrame:
+    """``features`` and ``label`` of the rows, written and spread over all cores.
+
+    A model passes over its rows hundreds of times.  A table read from one small file is one
+    partition, and every pass would keep one core busy.
+    """
+    rows = materialise(df.select("features", "label"), "training")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, math.ceil(rows.count() / ROWS_A_TASK))
+    return rows if rows.rdd.getNumPartitions() >= wanted else materialise(rows.repartition(wanted), "training")
+
+
 def cross_validate(
     train: DataFrame,
     numeric: Sequence[str],
@@ -104,8 +120,8 @@ def cross_validate(
         inside = train.filter((F.col("fold") != i) & F.col("label").isNotNull())
         outside = train.filter((F.col("fold") == i) & F.col("label").isNotNull())
         prep, _ = build_preprocessor(inside, numeric, categorical)
-        fit = transform_features(prep, inside).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-        held = transform_features(prep, outside).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        fit = training_rows(transform_features(prep, inside)).persist(StorageLevel.MEMORY_AND_DISK)
+        held = training_rows(transform_features(prep, outside)).persist(StorageLevel.MEMORY_AND_DISK)
         n = fit.count()
         out = []
         for name in models:

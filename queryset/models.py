@@ -57,13 +57,13 @@ def fit_linear_regressor(spark, sf):
 @REGISTRY.add("fit_forest")
 def fit_forest(spark, sf):
     train, test, _ = _training(spark, sf)
-    return _counts(M.forest("classification").fit(train).transform(test))
+    return _counts(M.forest("classification").fit(M.training_rows(train)).transform(M.training_rows(test)))
 
 
 @REGISTRY.add("fit_gradient_boosting")
 def fit_gradient_boosting(spark, sf):
     train, test, _ = _training(spark, sf)
-    return _counts(M.gradient_boosting("classification").fit(train).transform(test))
+    return _counts(M.gradient_boosting("classification").fit(M.training_rows(train)).transform(M.training_rows(test)))
 
 
 @REGISTRY.add("cross_validate")
@@ -125,7 +125,7 @@ def feature_attribution(spark, sf):
 def feature_attribution_trees(spark, sf):
     """Mean absolute Shapley values of a boosted model."""
     train, test, names = _training(spark, sf)
-    model = M.gradient_boosting("classification").fit(train)
+    model = M.gradient_boosting("classification").fit(M.training_rows(train))
     return M.feature_attribution(test, "o_orderkey", model, names, "classification").withColumn("mean_abs", rnd("mean_abs", 6))
 
 
@@ -135,7 +135,7 @@ select o_orderkey, 0.0 as gap from r where rn <= floor(0.2 * n + 0.5)""")
 def tree_contributions(spark, sf):
     """Of every test row: what the margin of a boosted model differs from its mean plus the row's contributions."""
     train, test, _ = _training(spark, sf)
-    model = M.gradient_boosting("classification", rounds=20).fit(train)
+    model = M.gradient_boosting("classification", rounds=20).fit(M.training_rows(train))
     scored = model.transform(test).select("o_orderkey", "features", vector_to_array("rawPrediction")[1].alias("margin"))
     found = A.tree_contributions(scored, "o_orderkey", model)
     total = F.col("expected") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)

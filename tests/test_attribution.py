@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from dataquarry.operators import attribution as A
+from dataquarry.operators import supervised as M
 from dataquarry.operators.supervised import feature_attribution, linear_attribution, linear_regressor
 
 
@@ -94,3 +95,13 @@ def test_mean_attribution(spark, rows):
     assert np.allclose([exact[c] for c in "abcd"], np.abs((x - x.mean(axis=0)) * linear.coefficients.toArray()).mean(axis=0))
     with pytest.raises(ValueError):
         A.tree_attribution(rows, "id", linear, list("abcd"))
+
+
+def test_training_rows_use_all_cores(spark):
+    """One file is one partition, and a model would pass over it with one core."""
+    df = spark.range(0, 25_000, 1, 1).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") % 2).cast("double").alias("label"), "id")
+    rows = M.training_rows(df)
+    assert rows.rdd.getNumPartitions() >= 3 and rows.columns == ["features", "label"]
+    assert rows.count() == 25_000 and rows.agg(F.sum("label")).first()[0] == 12_500
+    assert M.training_rows(df.limit(40)).rdd.getNumPartitions() == 1
+    assert M.forest("classification").getCacheNodeIds() and M.forest("regression").getNumTrees() == 100
