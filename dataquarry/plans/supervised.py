@@ -21,6 +21,7 @@ from dataquarry.operators.supervised import (
     feature_attribution,
     make_model,
     select_model,
+    training_rows,
 )
 from dataquarry.runtime import materialise
 from dataquarry.sources.phases import Phases
@@ -103,7 +104,7 @@ def run_supervised(
     def fit() -> dict:
         usable = kept.filter("label is not null")
         prep, names = build_preprocessor(usable, numeric, categorical)
-        rows = materialise(transform_features(prep, usable), "features")
+        rows = training_rows(transform_features(prep, usable))
         classes = rows.select("label").distinct().count() if task == "classification" else 0
         estimator = make_model(winner, task, rows.count(), classes, rounds, trees).fit(rows)
         held = transform_features(prep, test.filter("label is not null").select(key, "label", *numeric, *categorical))
