@@ -8,7 +8,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,12 @@ from dataquarry.runtime import materialise
 NEIGHBORS = 15
 # Rows per block: two blocks and their distance matrix fit easily in a task.
 BLOCK_ROWS = 2048
+# A side of a tile search is cut into at most so many blocks, so a row is copied no more often however
+# large the table is, until a block would hold more numbers than this (64 MB).
+MOST_BLOCKS = 16
+BLOCK_VALUES = 1 << 23
+# Distances, and candidates of a block, that are held at a time.
+HELD = 1 << 20
 # Pivots are broadcast and their statistics collected: at most this many.
 MAX_PIVOTS = 2048
 
@@ -33,6 +39,18 @@ def blocks_for(n: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
+def tiles_for(n: int, width: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Blocks of a side: of ``block_rows`` rows on small tables, a bounded number on large ones."""
+    most = max(block_rows, BLOCK_VALUES // max(width, 1))
+    return min(blocks_for(n, block_rows), max(MOST_BLOCKS, blocks_for(n, most)))
+
+
+def _shape(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and the width of their vectors."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    return found["n"], found["width"] or 1
+
+
 def tile_pairs(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, blocks: tuple[int, int],
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
@@ -71,7 +89,7 @@ def distances_to_labels(df: DataFrame, key: str, vec: str, labels: str, block_ro
     rows = materialise(
         df.select(F.col(key).alias("key"), F.col(labels).cast("array<int>").alias("labels"), as_array(df, vec).alias("v")), "pairs"
     )
-    n = blocks_for(rows.count(), block_rows)
+    n = tiles_for(*_shape(rows), block_rows)
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         names = ("key", "which", "own", "label", "n", "total")
@@ -88,8 +106,9 @@ def distances_to_labels(df: DataFrame, key: str, vec: str, labels: str, block_ro
             members.append(np.eye(len(found))[code])
         member = np.hstack(members)
         total = np.empty((len(a), len(heads)))
-        for start in range(0, len(a), 512):
-            total[start:start + 512] = np.sqrt(squared_distances(a[start:start + 512], b)) @ member
+        step = max(1, HELD // len(b))
+        for start in range(0, len(a), step):
+            total[start:start + step] = np.sqrt(squared_distances(a[start:start + step], b)) @ member
         which, label, count = (np.array(h) for h in zip(*heads))
         k = len(heads)
         return pd.DataFrame({
@@ -120,8 +139,9 @@ def _top_in_block(k: int):
         if not q.empty and not p.empty:
             a, b = _stack(q["v"]), _stack(p["v"])
             reps, names = q["rep"].to_numpy(), p["rep"].to_numpy()
-            for start in range(0, len(a), 512):
-                part, ids = a[start:start + 512], reps[start:start + 512]
+            step = max(1, HELD // len(b))
+            for start in range(0, len(a), step):
+                part, ids = a[start:start + step], reps[start:start + step]
                 d = squared_distances(part, b)
                 d[ids[:, None] == names[None, :]] = np.inf
                 take = min(k, d.shape[1]) - 1
@@ -138,6 +158,73 @@ def _top_in_block(k: int):
     return run
 
 
+def _nearest(row: np.ndarray, code: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` nearest candidates of every row, ties by code."""
+    order = np.lexsort((code, d2, row))
+    ranked = row[order]
+    return order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < k]
+
+
+def _top_in_cells(k: int):
+    """Per query the ``k`` nearest points of a block's open cells, none farther than its limit."""
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or p.empty:
+            return pd.DataFrame({"rep": [], "nbr": [], "d2": []})
+        p = p.sort_values("cell", kind="stable")
+        a, b = _stack(q["v"]), _stack(p["v"])
+        reps, names, cell = q["rep"].to_numpy(), p["rep"].to_numpy(), p["cell"].to_numpy()
+        code = pd.factorize(names, sort=True)[0]
+        limit = q["limit"].to_numpy(dtype=float) ** 2
+        lists = q["cells"].to_numpy()
+        who = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        opened = np.concatenate(lists)
+        by_cell = np.argsort(opened, kind="stable")
+        who, opened = who[by_cell], opened[by_cell]
+        kept = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
+        fresh: list[tuple] = []
+
+        def cut() -> None:
+            nonlocal kept
+            found = [np.concatenate(x) for x in zip(kept, *fresh)]
+            at = _nearest(found[0], code[found[1]], found[2], k)
+            kept = [x[at] for x in found]
+            fresh.clear()
+            # A row with k candidates needs nothing beyond the farthest of them.
+            full = np.bincount(kept[0], minlength=len(a)) >= k
+            far = np.zeros(len(a))
+            np.maximum.at(far, kept[0], kept[2])
+            limit[full] = np.minimum(limit[full], far[full])
+
+        held = 0
+        for c in np.unique(opened):
+            lo, hi = np.searchsorted(cell, [c, c + 1])
+            if lo == hi:
+                continue
+            asking = who[np.searchsorted(opened, c):np.searchsorted(opened, c + 1)]
+            step = max(1, HELD // (hi - lo))
+            for start in range(0, len(asking), step):
+                i = asking[start:start + step]
+                d = squared_distances(a[i], b[lo:hi])
+                top = limit[i]
+                free = np.isinf(top)
+                if free.any() and hi - lo > k:
+                    top[free] = np.partition(d[free], k - 1, axis=1)[:, k - 1]
+                x, y = np.nonzero(d <= np.where(np.isinf(top), np.finfo(float).max, top * (1 + 1e-9) + 1e-9)[:, None])
+                x, y = i[x], lo + y
+                for begin in range(0, len(x), HELD):
+                    u, w = x[begin:begin + HELD], y[begin:begin + HELD]
+                    fresh.append((u, w, ((a[u] - b[w]) ** 2).sum(axis=1)))
+                held += len(x)
+                if held > HELD:
+                    cut()
+                    held = 0
+        cut()
+        return pd.DataFrame({"rep": reps[kept[0]], "nbr": names[kept[1]], "d2": kept[2]})
+
+    return run
+
+
 def _best(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("rep").orderBy("d2", "nbr")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -208,15 +295,15 @@ def knn(
     rows = materialise(raw, "knn-rows")
     key_type = rows.schema["key"].dataType.simpleString()
     points = materialise(rows.groupBy("v").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "knn-points")
-    size = points.agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("most")).first()
-    n, copies = size["n"], (size["most"] or 0) > 1
+    n, width = _shape(points)
+    copies = (points.agg(F.max("copies")).first()[0] or 0) > 1
     wanted = min(blocks_for(n, block_rows), MAX_PIVOTS)
 
     if wanted == 1:
         cells = points.select("rep", "v", F.lit(0).alias("cell"))
         near = _cell_search(cells, cells, _splits(cells, None, block_rows), k, key_type, "knn-best")
     else:
-        near = _pivot_search(points, n, wanted, k, key_type, block_rows, probes)
+        near = _pivot_search(points, n, wanted, k, key_type, tiles_for(n, width, block_rows), probes)
 
     scale = (lambda d2: d2 / 2.0) if metric == "cosine" else F.sqrt
     if not copies:
@@ -228,7 +315,22 @@ def knn(
     return _expand_copies(rows, points, near, k, scale)
 
 
-def _pivot_search(points, n, wanted, k, key_type, block_rows, probes):
+def _cell_blocks(pivots: np.ndarray, sizes: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of every cell: neighbours along the widest direction, blocks near in size."""
+    centred = pivots - pivots.mean(axis=0)
+    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+    before = np.cumsum(sizes[order]) - sizes[order]
+    out = np.empty(len(pivots), dtype=np.int32)
+    out[order] = before * blocks // max(sizes.sum(), 1)
+    return out
+
+
+def _pivot_search(points, n, wanted, k, key_type, blocks, probes):
+    """Own cells first, then the open ones.
+
+    Cells are laid together in ``blocks`` blocks: a query goes once to a block that holds any of its
+    open cells, a point once to each part of the queries, so both are copied ``blocks`` times at most.
+    """
     spark = points.sparkSession
     pivots = _pivots(points, n, wanted)
     shared = spark.sparkContext.broadcast(pivots)
@@ -243,24 +345,25 @@ def _pivot_search(points, n, wanted, k, key_type, block_rows, probes):
         points.withColumn("_a", assign("v")).select("rep", "v", F.col("_a.cell").alias("cell"), F.col("_a.r").alias("r")),
         "knn-cells",
     )
-    own = _cell_search(cells, cells, _splits(cells, None, block_rows), k, key_type, "knn-own")
+    part_rows = math.ceil(n / blocks)
+    own = _cell_search(cells, cells, _splits(cells, None, part_rows), k, key_type, "knn-own")
     reach = own.groupBy("rep").agg(F.count(F.lit(1)).alias("found"), F.max("d2").alias("d2"))
     limit = F.when(F.col("found") >= k, F.sqrt("d2")).otherwise(F.lit(float("inf")))
     open_queries = cells.join(reach, "rep", "left").select(
         "rep", "v", F.col("cell").alias("own_cell"), F.coalesce(limit, F.lit(float("inf"))).alias("limit")
     )
-    radius = np.zeros(len(pivots))
-    for r in cells.groupBy("cell").agg(F.max("r").alias("r")).collect():
-        radius[r["cell"]] = r["r"]
+    radius, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
+    for r in cells.groupBy("cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+        radius[r["cell"]], sizes[r["cell"]] = r["r"], r["n"]
+    block_of = _cell_blocks(pivots, sizes, blocks)
     gaps = np.sqrt(squared_distances(pivots, pivots))
-    far = spark.sparkContext.broadcast((radius, gaps))
+    far = spark.sparkContext.broadcast((radius, gaps, block_of))
 
-    @F.pandas_udf("array<int>")
-    def others(v: pd.Series, own_cell: pd.Series, limit: pd.Series) -> pd.Series:
-        radius, gaps = far.value
-        d = np.sqrt(squared_distances(_stack(v), shared.value)) if len(v) else np.empty((0, 1))
-        out = []
-        for row, c, reach in zip(d, own_cell, limit):
+    def opened(x: pd.DataFrame) -> pd.DataFrame:
+        radius, gaps, block_of = far.value
+        d = np.sqrt(squared_distances(_stack(x["v"]), shared.value))
+        at, block, cells = [], [], []
+        for i, (row, c, reach) in enumerate(zip(d, x["own_cell"], x["limit"])):
             bound = row - radius
             with np.errstate(divide="ignore", invalid="ignore"):
                 # Distance to the plane between the own and the other pivot.
@@ -271,13 +374,34 @@ def _pivot_search(points, n, wanted, k, key_type, block_rows, probes):
             pick = np.flatnonzero(ok)
             if probes is not None:
                 pick = pick[np.argsort(row[pick], kind="stable")][: max(probes - 1, 0)]
-            out.append(pick.astype(np.int32))
-        return pd.Series(out)
-
-    more = materialise(
-        open_queries.select("rep", "v", F.explode(others("v", "own_cell", "limit")).alias("cell")), "knn-open"
+            found = block_of[pick]
+            for g in np.unique(found):
+                at.append(i)
+                block.append(g)
+                cells.append(pick[found == g].astype(np.int32))
+        parts = x[["rep", "v", "limit"]].iloc[at].reset_index(drop=True)
+        return parts.assign(block=block, cells=cells)
+
+    # Small batches: a query is repeated once a block.
+    def more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                yield opened(batch.iloc[start:start + 1024])
+
+    kind = f"rep {key_type}, v array<double>, limit double, block int, cells array<int>"
+    of = lambda numbers, at: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col(at) + 1)
+    hashed = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+    # A cell may be larger than a block should be.
+    parts = np.maximum(1, np.ceil(np.bincount(block_of, sizes, blocks) / part_rows))
+    q = open_queries.mapInPandas(more, kind).withColumn("qpart", hashed("q", F.lit(blocks)))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), of(parts, "block") - 1)))
+    p = cells.select("rep", "v", "cell", of(block_of, "cell").alias("block"))
+    p = p.withColumn("part", hashed("p", of(parts, "block")))
+    p = p.withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rest = (
+        q.groupBy("block", "part", "qpart").cogroup(p.groupBy("block", "part", "qpart"))
+        .applyInPandas(_top_in_cells(k), f"rep {key_type}, nbr {key_type}, d2 double")
     )
-    rest = _cell_search(more, cells, _splits(cells, more, block_rows), k, key_type, "knn-rest")
     return materialise(_best(own.unionByName(rest), k).select("rep", "nbr", "d2"), "knn-best")
 
 

@@ -166,3 +166,19 @@ def test_large_table_trees_use_a_pool(spark):
 def test_low_dimensional_vectors_pass_unchanged(spark):
     df = frame(spark, np.eye(4))
     assert [r["reduced"] for r in T.reduce_vectors(df, "v").orderBy("id").collect()] == np.eye(4).tolist()
+
+
+def test_search_copies_a_row_a_bounded_number_of_times(spark, monkeypatch):
+    """Cells beyond the blocks share one, and cells larger than a block are cut."""
+    assert [N.tiles_for(n, 64) for n in (100, 10_000, 50_000, 600_000, 2_000_000)] == [1, 5, 16, 16, 16]
+    assert N.tiles_for(20_000_000, 64) == 153
+    monkeypatch.setattr(N, "HELD", 500)
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(150, 4)), rng.normal(7, 0.01, size=(150, 4))])
+    seen = N.knn(frame(spark, x), "id", "v", 5, "euclidean", block_rows=6).toPandas().sort_values(["src", "rank"])
+    ids, dist = brute(x, 5, "euclidean")
+    assert np.allclose(seen["dist"].to_numpy().reshape(-1, 5), dist, atol=1e-6)
+    assert (seen["dst"].to_numpy().reshape(-1, 5) == ids).all()
+    df = frame(spark, x, np.arange(300) % 3).withColumn("l", F.array("label"))
+    a, b = (N.distances_to_labels(df, "id", "v", "l", block_rows=m).orderBy("key", "label").toPandas() for m in (6, 4096))
+    assert len(a) == 900 and np.allclose(a["total"], b["total"]) and (a["n"] == b["n"]).all()
