@@ -12,13 +12,14 @@ would make every long text toxic.  When a document is scored, what a sentence ad
 counts at most ``MOST_BACKGROUND``; only what lies above it adds up without a bound.  A short
 text keeps its plain noisy-or, nearly always.
 
-The model is fitted on the driver from a bounded sample of labelled rows; all documents
-are scored by Spark.
+The model is fitted in one task from a bounded sample of labelled rows, and only its weights
+reach the driver; all documents are scored by Spark.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,8 +111,8 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float]) -> To
     ``shares`` are the two labels' shares of all labelled rows, which the sample need not keep.
     """
     vocabulary: dict[str, int] = {}
-    doc_starts, sentence_starts, word_of = [0], [0], []
-    used, rows = [], []
+    doc_starts, sentence_starts, word_of = array("q", [0]), array("q", [0]), array("q")
+    owner, feature, used = array("q"), array("q"), []
     for i, text in enumerate(texts):
         parts = sentences(text)
         if parts:
@@ -125,8 +126,10 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float]) -> To
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(FEATURES, np.float32), -20.0 if not y.sum() else 0.0, empty)
     for word, number in vocabulary.items():
-        rows.append([(number, f) for f in features(word)])
-    owner, feature = np.array([p for r in rows for p in r], np.int64).T
+        found = features(word)
+        feature.extend(found)
+        owner.extend([number] * len(found))
+    owner, feature = np.array(owner), np.array(feature)
     word_of, starts, docs = np.array(word_of), np.array(sentence_starts[:-1]), np.array(doc_starts[:-1])
     sentence_of_word = np.repeat(np.arange(len(starts)), np.diff(sentence_starts))
     doc_of_sentence = np.repeat(np.arange(len(docs)), np.diff(doc_starts))
@@ -182,11 +185,22 @@ def train(
             chosen[r.k] = y
     if not chosen:
         return ToxicityModel(np.zeros(FEATURES, np.float32), -20.0, 0.0)
+    shares = (counts.get(0, 0) / total, counts.get(1, 0) / total)
+    marked = F.col(key).isin([k for k, y in chosen.items() if y]).cast("int")
     rows = (
         docs.where(F.col(key).isin(list(chosen)) & (F.coalesce(F.length(text), F.lit(0)) <= most_chars))
-        .select(F.col(key).alias("k"), F.col(text).alias("t")).orderBy("k", "t").collect()
+        .select(F.col(key).alias("k"), F.col(text).alias("t"), marked.alias("y")).repartition(1).sortWithinPartitions("k", "t")
     )
-    return fit([r.t for r in rows], np.array([chosen[r.k] for r in rows], float), (counts.get(0, 0) / total, counts.get(1, 0) / total))
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = [(t, y) for batch in batches for t, y in zip(batch["t"], batch["y"])]
+        model = fit([t for t, _ in seen], np.array([y for _, y in seen], float), shares)
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    found = rows.select("t", "y").mapInPandas(fitted, "weights binary, bias double").first()
+    if found is None:
+        return fit([], np.array([]), shares)
+    return ToxicityModel(np.frombuffer(bytes(found["weights"]), np.float32), float(found["bias"]), float(shares[1]))
 
 
 def scorer(model: ToxicityModel):

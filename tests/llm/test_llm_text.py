@@ -248,3 +248,17 @@ def test_very_long_words(spark, make_docs, library):
     texts = ["a" * 40_000, "".join(rng.choice("ab") for _ in range(20_000)), "".join(rng.choice("abcdefghijklmnop") for _ in range(4_000)), "é" * 9_000]
     found = {r.doc_id: r.ids for r in bpe.encode(make_docs(list(enumerate(texts))), RANKS, tokenizers.PATTERN).collect()}
     assert found == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample's texts never reach the driver, which gets weights only."""
+    import numpy as np
+
+    from dataquarry.llm import toxicity
+
+    rows = [(i, f"you awful idiot {i}." if i % 3 == 0 else f"a kind and sunny day {i}.", int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    want = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows], float), (2 / 3, 1 / 3))
+    monkeypatch.setattr(toxicity, "fit", None)
+    got = toxicity.train(df.select("doc_id", "text").repartition(5), df.select("doc_id", "toxic"))
+    assert np.allclose(got.weights, want.weights) and np.isclose(got.bias, want.bias) and np.isclose(got.empty, 1 / 3)
