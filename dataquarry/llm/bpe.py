@@ -1,9 +1,10 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over bytes of distinct words.
 
 Texts are cut into words by the tokenizer's pattern in Arrow batches.  Several documents
-make a chunk: its distinct words as byte arrays, and per document the numbers of its
-words.  In a chunk every distinct word is merged once, by a fold over its bytes that
-looks neighbours up in a literal rank map, and documents gather the ids by number.
+make a chunk: its distinct words as the states a fold begins with, and per document the
+numbers of its words.  In a chunk every distinct word is merged once, by a fold that looks
+neighbours up in a literal rank map, and documents gather the ids by number.  The first few
+merges of all words of a chunk are made together on arrays, as a merge is dear in the fold.
 Nothing is shuffled, and no table of words outgrows a chunk.  Decoding concatenates the
 pieces of the ids, which are literals in hexadecimal.
 
@@ -33,11 +34,15 @@ CHUNK_CHARS = 64_000_000
 #: Words of more bytes are merged pair by pair in rounds instead of one place at a time.
 LONG_WORD = 128
 NEVER = 2**31 - 1
+#: Merges of a word that are made before the fold, for many words together.
+FIRST_MERGES = 4
+#: Words that are together in this.
+TOGETHER = 16_384
 #: Bits of an id in the rank map.
 ID_BITS = 21
 ID_MASK = (1 << ID_BITS) - 1
 
-CHUNK = "words array<array<tinyint>>, docs array<struct<id:{id}, at:array<int>>>"
+CHUNK = "words array<array<bigint>>, docs array<struct<id:{id}, at:array<int>>>"
 
 
 @lru_cache(maxsize=4)
@@ -82,8 +87,11 @@ class Vocabulary:
         self.table = literal_longs(slots)
         single = [ranks[bytes([b])] for b in range(256)]
         # By two neighbouring bytes: their first entry of the state.
-        self.bytes = literal_longs([ranks.get(bytes([a, b]), NEVER) << ID_BITS | single[a] for a in range(256) for b in range(256)])
-        self.last = literal_longs([NEVER << ID_BITS | i for i in single])
+        self.bytes = np.array([ranks.get(bytes([a, b]), NEVER) << ID_BITS | single[a] for a in range(256) for b in range(256)], np.int64)
+        self.last = np.array([NEVER << ID_BITS | i for i in single], np.int64)
+        # The same pairs, in order, for arrays of words.
+        found = sorted((left << ID_BITS | right, rank) for (left, right), rank in pairs.items())
+        self.pairs = np.array(found, np.int64).reshape(-1, 2).T.copy()
         pieces = [""] * self.size
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex().upper()
@@ -104,18 +112,15 @@ class Vocabulary:
         raise ValueError("no room in the rank table")
 
     def bound(self, body: Callable[[Vocabulary], Column]) -> Column:
-        """``body`` with the tables as variables: each literal stands in the plan once, however often it is read."""
+        """``body`` with the rank map as a variable: the literal stands in the plan once, however often it is read."""
 
         def within(table: Column) -> Column:
-            return let(self.bytes, lambda by_bytes: let(self.last, lambda last: body(self._with(table, by_bytes, last))))
+            same = copy.copy(self)
+            same.table = table
+            return body(same)
 
         return let(self.table, within)
 
-    def _with(self, table: Column, by_bytes: Column, last: Column) -> Vocabulary:
-        same = copy.copy(self)
-        same.table, same.bytes, same.last = table, by_bytes, last
-        return same
-
     def merged(self, left: Column, right: Column) -> Column:
         """The id of two joined pieces (longs), ``NEVER`` if they make none."""
         key = F.shiftleft(left, ID_BITS).bitwiseOR(right)
@@ -238,25 +243,82 @@ def _parts(text: Column) -> Column:
 def word_ids(word: Column, vocab: Vocabulary) -> Column:
     """The ids of one word, an array of bytes: its own if it has one, else those that all merges leave."""
     size = F.size(word)
-    steps = F.sequence(F.lit(1), size)
+    by_bytes, last = literal_longs(vocab.bytes.tolist()), literal_longs(vocab.last.tolist())
     byte = lambda i: F.get(word, i).cast("int").bitwiseAND(255)
     start = F.transform(
-        steps,
-        lambda i: F.when(i < size, F.get(vocab.bytes, F.shiftleft(byte(i - 1), 8).bitwiseOR(byte(i)))).otherwise(F.get(vocab.last, byte(i - 1))),
+        F.sequence(F.lit(1), size),
+        lambda i: F.when(i < size, F.get(by_bytes, F.shiftleft(byte(i - 1), 8).bitwiseOR(byte(i)))).otherwise(F.get(last, byte(i - 1))),
     )
+    return state_ids(F.when(size > 0, start).otherwise(F.array().cast("array<bigint>")), vocab)
+
+
+def first_states(words: list[str], by_bytes: np.ndarray, last: np.ndarray, pairs: np.ndarray, merges: int = FIRST_MERGES) -> pa.ListArray:
+    """The states of words after their first ``merges`` merges, each made for ``TOGETHER`` words at once."""
+    parts = [
+        _merged_states([w.encode() for w in words[at : at + TOGETHER]], by_bytes, last, pairs, merges)
+        for at in range(0, len(words), TOGETHER)
+    ]
+    sizes, states = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(states))
+
+
+def _merged_states(words: list[bytes], by_bytes: np.ndarray, last: np.ndarray, pairs: np.ndarray, merges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of some words the sizes of their states, and the states one behind the other."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    spelled = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    state = np.empty(len(spelled), np.int64)
+    state[:-1] = by_bytes[spelled[:-1] << 8 | spelled[1:]]
+    final = np.cumsum(sizes)[sizes > 0] - 1
+    state[final] = last[spelled[final]]
+    piece, rank = state & ID_MASK, state >> ID_BITS
+    word = np.repeat(np.arange(len(words)), sizes)
+
+    def merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(pairs[0], key), max(pairs.shape[1] - 1, 0))
+        return np.where(pairs[0][at] == key, pairs[1][at], NEVER) if pairs.size else np.full(len(key), NEVER)
+
+    for _ in range(merges if len(spelled) else 0):
+        begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        low = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.r_[begins, len(word)]))
+        at = np.flatnonzero((rank == low) & (rank != NEVER))
+        if not len(at):
+            break
+        # Of a word the leftmost.
+        at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]]
+        piece[at] = rank[at]
+        kept = np.ones(len(word), bool)
+        kept[at + 1] = False
+        piece, rank, word = piece[kept], rank[kept], word[kept]
+        at -= np.arange(len(at))
+        rank[at] = NEVER
+        inner = at[at < len(word) - 1]
+        inner = inner[word[inner + 1] == word[inner]]
+        rank[inner] = merged(piece[inner], piece[inner + 1])
+        inner = at[at > 0]
+        inner = inner[word[inner - 1] == word[inner]]
+        rank[inner - 1] = merged(piece[inner - 1], piece[inner])
+    return np.bincount(word, minlength=len(words)).astype(np.int32), rank << ID_BITS | piece
+
+
+def state_ids(start: Column, vocab: Vocabulary) -> Column:
+    """The ids of the word that begins with a state: its own if it has one, else those that all merges leave."""
+    size = F.size(start)
     ids = lambda state: F.transform(state, lambda e: e.bitwiseAND(ID_MASK).cast("int"))
-    by_place = F.aggregate(steps, start, lambda state, _: _merge_place(state, vocab), ids)
+    by_place = F.aggregate(start, start, lambda state, _: _merge_place(state, vocab), ids)
     text = F.concat(F.lit("<"), F.array_join(ids(start).cast("array<string>"), "><"), F.lit(">"))
     by_round = F.aggregate(
-        steps, F.struct(F.lit(False).alias("done"), text.alias("text")),
+        start, F.struct(F.lit(False).alias("done"), text.alias("text")),
         lambda state, _: F.when(state["done"], state).otherwise(_merge_round(state["text"], vocab)),
         lambda state: _parts(state["text"]).cast("array<int>"),
     )
     short = F.lit(True) if not vocab.ordered else size <= LONG_WORD
     found = F.when(size == 0, _none()).when(short, by_place).otherwise(by_round)
     for piece, rank in vocab.unreached.items():
-        same = F.array(*[F.lit(b - 256 if b > 127 else b).cast("tinyint") for b in piece])
-        found = F.when(word == same, F.array(F.lit(rank))).otherwise(found)
+        same = F.array(*[F.lit(int(vocab.last[b]) & ID_MASK) for b in piece])
+        found = F.when(ids(start) == same, F.array(F.lit(rank))).otherwise(found)
     return found
 
 
@@ -268,7 +330,11 @@ class _Numbers(dict):
         return number
 
 
-def _chunks(pattern: str, id_type: pa.DataType):
+def _chunks(pattern: str, id_type: pa.DataType, vocab: Vocabulary):
+    # Only the arrays travel to the tasks.
+    by_bytes, last, pairs = vocab.bytes, vocab.last, vocab.pairs
+    merges = 0 if vocab.unreached else FIRST_MERGES
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -279,9 +345,7 @@ def _chunks(pattern: str, id_type: pa.DataType):
             ends = np.cumsum([0, *map(len, at)]).astype(np.int32)
             per_doc = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(at)))
             docs = pa.StructArray.from_arrays([pa.array(ids, id_type), per_doc], ["id", "at"])
-            spelled = [w.encode() for w in numbers]
-            ends = np.cumsum([0, *map(len, spelled)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(spelled), np.int8)))
+            words = first_states(list(numbers), by_bytes, last, pairs, merges)
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays([one(words), one(docs)], ["words", "docs"])
 
@@ -312,9 +376,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    chunks = rows.mapInArrow(_chunks(pattern, to_arrow_type(kind)), CHUNK.format(id=kind.simpleString()))
+    chunks = rows.mapInArrow(
+        _chunks(pattern, to_arrow_type(kind), vocab), CHUNK.format(id=kind.simpleString())
+    )
     encoded = let(
-        vocab.bound(lambda v: F.transform("words", lambda w: word_ids(w, v))),
+        vocab.bound(lambda v: F.transform("words", lambda w: state_ids(w, v))),
         lambda by_word: F.transform("docs", lambda d: F.struct(
             d["id"].alias("id"), F.flatten(F.transform(d["at"], lambda i: F.get(by_word, i))).alias("ids")
         )),

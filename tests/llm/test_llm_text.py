@@ -81,6 +81,20 @@ def test_small_vocabulary_without_order(spark, tmp_path):
     assert [list(r[0]) for r in df.select(bpe.word_ids(F.col("w"), vocab)).collect()] == [own.encode_ordinary(w) for w in words]
 
 
+def test_first_merges_are_those_of_the_fold(spark, library):
+    """However many merges are made on arrays before the fold, a word's ids are the library's."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices(["a", "the", "é", "字", "in", " ", "er", "1", "aa"], k=draw.randrange(0, 9))) for _ in range(200)]
+    words += ["", "a" * 150, "banana" * 40]
+    vocab = bpe.vocabulary(spark.range(1), RANKS)
+    expected = [library._core_bpe.encode_single_piece(w.encode()) if w else [] for w in words]
+    for merges in (0, 1, 3, 10**6):
+        states = bpe.first_states(words, vocab.bytes, vocab.last, vocab.pairs, merges).to_pylist()
+        df = spark.createDataFrame([(s,) for s in states], "s array<bigint>").coalesce(1)
+        assert [list(r[0]) for r in df.select(bpe.state_ids(F.col("s"), vocab)).collect()] == expected
+    assert [[e & bpe.ID_MASK for e in s] for s in states] == expected
+
+
 def expected_components(rows, size, percent):
     sets, parent = {}, {}
     for key, text in rows:
