@@ -19,6 +19,8 @@ EMBEDDING_SIZE = 384
 ENCODER_BATCH = 128
 # A dictionary of at most so many bytes is looked up in the row.
 DICTIONARY_BYTES = 4_000_000
+# A larger one is joined to the distinct tokens of blocks of texts of about so many characters.
+BLOCK_CHARS = 4_000_000
 
 
 def explode_words(df: DataFrame, keep: list[str], words: Column, name: str) -> DataFrame:
@@ -47,7 +49,8 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame | None = Non
     ``lemmas`` is ``(token, lemma)`` with unique tokens, ``stops`` is ``(token)``.  A
     dictionary whose size is small, or gets small without the tokens that no text
     holds, is a hash table in the plan: texts stay in their rows and no token is
-    shuffled.  A larger one is joined to the tokens.  A null text becomes an empty one.
+    shuffled.  A larger one is joined to the distinct tokens of blocks of texts.  A null
+    text becomes an empty one.
     """
     if stops is None and lemmas is None:
         return df.withColumn(out, F.col(text))
@@ -57,7 +60,7 @@ def lemmatize(df: DataFrame, key: str, text: str, lemmas: DataFrame | None = Non
         words = df.select(F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("token")).distinct()
         table = _lookup_table(materialise(entries.join(words, "token", "left_semi"), "dictionary"))
     if table is None:
-        return _lemmatize_joined(df, key, text, lemmas, stops, out)
+        return _lemmatize_joined(df, text, entries, out)
     found = F.transform(F.filter(F.split(F.col(text), " "), lambda t: t != ""), table)
     return df.withColumn(out, F.coalesce(F.array_join(F.filter(found, lambda t: t.isNotNull()), " "), F.lit("")))
 
@@ -105,18 +108,49 @@ def _lookup_table(entries: DataFrame) -> Callable[[Column], Column] | None:
     return look_up
 
 
-def _lemmatize_joined(df: DataFrame, key: str, text: str, lemmas: DataFrame | None, stops: DataFrame | None, out: str) -> DataFrame:
-    """The same with dictionaries of any size, joined to the tokens."""
-    tokens = df.select(key, F.posexplode_outer(F.split(F.col(text), " ")).alias("_pos", "token")).filter("token != ''")
-    if stops is not None:
-        tokens = tokens.join(stops.select("token").distinct(), "token", "left_anti")
-    if lemmas is not None:
-        tokens = tokens.join(lemmas.select("token", "lemma"), "token", "left").withColumn("token", F.coalesce("lemma", "token"))
-    # One document's tokens fit in a row: they came from one.
-    texts = tokens.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "token"))), lambda s: s["token"]), " ").alias(out)
-    )
-    return df.join(texts, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+def _lemmatize_joined(df: DataFrame, text: str, entries: DataFrame, out: str) -> DataFrame:
+    """The same with a dictionary of any size: it is joined to the distinct tokens of every block of texts.
+
+    A block holds about ``BLOCK_CHARS`` characters, and a longer text is a block of its own.
+    """
+    row, block = _free(df, "_row"), _free(df, "_block")
+
+    @F.pandas_udf("bigint")
+    def numbered(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from pyspark import TaskContext
+
+        first, before = TaskContext.get().partitionId() << 32, 0
+        for size in sizes:
+            total = size.cumsum() + before
+            yield first + (total - size) // BLOCK_CHARS
+            before = int(total.iloc[-1]) if len(total) else before
+
+    size = F.coalesce(F.length(text), F.lit(0)).cast("bigint") + 1
+    # Written: numbers that depend on the partitions must not be given twice.
+    rows = materialise(df.withColumn(row, F.monotonically_increasing_id()).withColumn(block, numbered.asNondeterministic()(size)), "texts")
+    words = rows.select(F.col(block).alias("block"), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("token")).distinct()
+    found = words.join(entries.select("token", "lemma"), "token")
+
+    def replaced(texts: pd.DataFrame, lemmas: pd.DataFrame) -> pd.DataFrame:
+        table = dict(zip(lemmas["token"], lemmas["lemma"]))
+        lines = []
+        for t in texts["text"]:
+            new = [table.get(w, w) for w in (t or "").split(" ") if w]
+            lines.append(" ".join([w for w in new if w is not None]))
+        return pd.DataFrame({"row": texts["row"], "out": lines})
+
+    texts = rows.select(F.col(block).alias("block"), F.col(row).alias("row"), F.col(text).alias("text"))
+    lines = texts.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(replaced, "row bigint, out string")
+    lines = lines.select(F.col("row").alias(row), F.col("out").alias(_free(df, "_out")))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return rows.join(lines, row, "left").select(*kept, F.col(_free(df, "_out")).alias(out))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def term_counts(df: DataFrame, by: str, tokens: Column) -> DataFrame:

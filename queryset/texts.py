@@ -9,7 +9,7 @@ from dataquarry.functions.text import raw_tokens
 from dataquarry.functions.text import tokenize as split_tokens
 from dataquarry.operators import text as X
 from dataquarry.operators import topics as T
-from dataquarry.runtime import spread
+from dataquarry.runtime import materialise, spread
 from queryset.common import TOPIC_SQL, Registry, docs_topic, rnd, sql_words, table
 
 REGISTRY = Registry()
@@ -51,8 +51,10 @@ with w as ({WORDS}),
 select d.doc_id, coalesce(string_agg(x.token, ' ' order by pos), '') as lemmatized from documents d left join x using (doc_id) group by 1""")
 def lemmatize(spark, sf):
     """Stop and lemma tables derived by a rule from the corpus vocabulary."""
-    df = X.add_clean_text(docs(spark, sf), "text").select("doc_id", "text_clean")
-    vocabulary = df.select(F.explode(F.split("text_clean", " ")).alias("token")).filter("token <> ''").distinct()
+    # Written: both tables derive from the vocabulary, and that from the texts.
+    df = materialise(X.add_clean_text(docs(spark, sf), "text").select("doc_id", "text_clean"), "cleaned")
+    words = df.select(F.explode(F.split("text_clean", " ")).alias("token")).filter("token <> ''")
+    vocabulary = materialise(words.distinct(), "vocabulary")
     stops = vocabulary.filter(F.md5("token") < "2")
     lemmas = vocabulary.filter(F.length("token") > 6).withColumn("lemma", F.substring("token", 1, 4))
     return X.lemmatize(df, "doc_id", "text_clean", lemmas, stops).select("doc_id", "lemmatized")

@@ -74,6 +74,23 @@ def test_lemmatize_paths_agree(spark, monkeypatch):
             assert {r["id"]: r["lemmatized"] for r in X.lemmatize(df, "id", "t", *use).collect()} == expected
 
 
+def test_lemmatize_joins_blocks_of_texts(spark, monkeypatch):
+    """A dictionary too large for the row: rows that share a key, or have none, stay rows of their own."""
+    rows = [(1, "a  b c"), (1, "c a"), (None, "b b"), (2, None), (3, "")] + [(k, f"w{k} a w{k % 3}") for k in range(4, 40)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    lemmas = spark.createDataFrame([("a", "x"), ("w5", "y"), ("w1", "")], "token string, lemma string")
+    stops = spark.createDataFrame([("b",), ("w2",)], "token string")
+    monkeypatch.setattr(X, "DICTIONARY_BYTES", 1)
+    monkeypatch.setattr(X, "BLOCK_CHARS", 40)
+    found = X.lemmatize(df, "id", "t", lemmas, stops)
+    assert found.columns == ["id", "t", "lemmatized"]
+    change = {"a": "x", "w5": "y", "w1": "", "b": None, "w2": None}
+    expected = [
+        (k, t, " ".join(w for w in (change.get(w, w) for w in (t or "").split(" ") if w) if w is not None)) for k, t in rows
+    ]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_lemmatize_repeated_keys_and_marks(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "b a"), (None, "a")], "id int, t string")
     assert sorted(r[0] for r in X.lemmatize(df, "id", "t", spark.createDataFrame([("a", "c")], "token string, lemma string")).select("lemmatized").collect()) == ["b c", "c", "c b"]
