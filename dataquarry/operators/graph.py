@@ -14,56 +14,54 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] =
     """``(by..., node, comp)``: the smallest node reachable from each node.
 
     ``nodes`` is ``(by..., node)``, ``edges`` is ``(by..., src, dst)`` in either
-    direction.  Each round takes the smallest label among the neighbours and then
-    jumps to the label of that label, so the rounds grow with the logarithm of the
-    path length.  A hub receives one number per neighbour after partial aggregation.
+    direction between nodes.  Each round points every node to its smallest neighbour, if that
+    is smaller, follows the pointers to their ends, and goes on with the edges between different
+    ends.  An end that took no node has a smaller neighbour in the next round, so the nodes that still
+    have edges at least halve in two rounds on any graph, and edges shrink with them.  A hub receives
+    one number per neighbour after partial aggregation.
     """
     by = list(by)
-    both = materialise(
-        edges.select(*by, "src", "dst").unionByName(
-            edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
-        ).distinct(),
-        "cc-edges",
-    )
-    state = materialise(nodes.select(*by, "node", F.col("node").alias("comp")), "cc")
-    while True:
-        near = (
-            both.join(state.select(*by, F.col("node").alias("dst"), F.col("comp").alias("c")), [*by, "dst"])
-            .groupBy(*by, F.col("src").alias("node"))
-            .agg(F.min("c").alias("c"))
-        )
-        lower = state.join(near, [*by, "node"], "left").select(
-            *by, "node", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("low")
-        )
-        jump = state.select(*by, F.col("node").alias("low"), F.col("comp").alias("up"))
-        after = materialise(
-            lower.join(jump, [*by, "low"], "left").select(
-                *by, "node", "old", F.least("low", F.coalesce("up", "low")).alias("comp")
-            ),
-            "cc",
+    larger, smaller = F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
+    rest = materialise(edges.filter("src <> dst").select(*by, larger, smaller).distinct(), "cc-edges")
+    ends: list[DataFrame] = []
+    while not rest.isEmpty():
+        links = rest.groupBy(*by, F.col("src").alias("node")).agg(F.min("dst").alias("next"))
+        ends.append(follow_links(links, by))
+        at = lambda side: ends[-1].select(*by, F.col("node").alias(side), F.col("last").alias(f"{side}_end"))
+        moved = rest.join(at("src"), [*by, "src"]).join(at("dst"), [*by, "dst"], "left").select(
+            *by, F.col("src_end").alias("src"), F.coalesce("dst_end", "dst").alias("dst")
         )
-        moved = after.filter("old <> comp").limit(1).count()
-        state = after.select(*by, "node", "comp")
-        if not moved:
-            return state
+        rest = materialise(moved.filter("src <> dst").select(*by, larger, smaller).distinct(), "cc-edges")
+    # Backwards: what a pointer ended at may have moved in later rounds.
+    moves: DataFrame | None = None
+    for found in reversed(ends):
+        if moves is not None:
+            later = moves.select(*by, F.col("node").alias("last"), F.col("last").alias("further"))
+            found = found.join(later, [*by, "last"], "left").select(*by, "node", F.coalesce("further", "last").alias("last")).unionByName(moves)
+            found = materialise(found, "cc")
+        moves = found
+    if moves is None:
+        return nodes.select(*by, "node", F.col("node").alias("comp"))
+    return materialise(nodes.join(moves, [*by, "node"], "left").select(*by, "node", F.coalesce("last", "node").alias("comp")), "cc")
 
 
-def follow_links(links: DataFrame) -> DataFrame:
-    """``(node, last)`` for ``(node, next)`` links without cycles: where each chain ends.
+def follow_links(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., node, last)`` for ``(by..., node, next)`` links without cycles: where each chain ends.
 
     Pointer jumping doubles the distance covered each round.
     """
-    state = materialise(links.select("node", F.coalesce("next", "node").alias("last")), "links")
+    by = list(by)
+    state = materialise(links.select(*by, "node", F.coalesce("next", "node").alias("last")), "links")
     while True:
-        jump = state.select(F.col("node").alias("last"), F.col("last").alias("further"))
+        jump = state.select(*by, F.col("node").alias("last"), F.col("last").alias("further"))
         after = materialise(
-            state.join(jump, "last", "left").select(
-                "node", F.coalesce("further", "last").alias("last"),
+            state.join(jump, [*by, "last"], "left").select(
+                *by, "node", F.coalesce("further", "last").alias("last"),
                 (F.coalesce("further", "last") != F.col("last")).alias("moved"),
             ),
             "links",
         )
         moved = after.filter("moved").limit(1).count()
-        state = after.select("node", "last")
+        state = after.select(*by, "node", "last")
         if not moved:
             return state

@@ -126,6 +126,25 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(50)) and all(got[i] == 100 for i in range(100, 161)) and got[999] == 999
 
 
+def test_components_need_few_rounds_on_a_winding_path(spark, monkeypatch):
+    """Labels that only move to neighbours and to their labels take tens of rounds here."""
+    from dataquarry.operators import graph
+
+    names = np.random.default_rng(3).permutation(600)
+    edges = [(int(level), int(a), int(b)) for level in (0, 1) for a, b in zip(names, names[1:]) if level or a % 50]
+    nodes = spark.createDataFrame([(level, int(i)) for level in (0, 1) for i in names], "level int, node long")
+    rounds, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    got = connected_components(nodes, spark.createDataFrame(edges, "level int, src long, dst long"), ["level"]).collect()
+    near = {(level, i): {i} for level in (0, 1) for i in map(int, names)}
+    for level, a, b in edges:
+        both = near[level, a] | near[level, b]
+        for i in both:
+            near[level, i] = both
+    assert {(r["level"], r["node"]): r["comp"] for r in got} == {k: min(v) for k, v in near.items()}
+    assert rounds.count("cc-edges") <= 8
+
+
 def test_merge_order_matches_the_sequential_rule(spark):
     links = spark.createDataFrame([(0, 1), (1, 2), (2, None), (3, None), (4, 6), (6, 7), (7, None)], "node int, next int")
     assert {r["node"]: r["last"] for r in follow_links(links).collect()} == {0: 2, 1: 2, 2: 2, 3: 3, 4: 7, 6: 7, 7: 7}
