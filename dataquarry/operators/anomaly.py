@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dataquarry.functions.hashing import HASH_SPACE, key_hash
 from dataquarry.operators.columns import col, numeric_columns
 from dataquarry.operators.ordered import quantiles_of
-from dataquarry.runtime import materialise
+from dataquarry.runtime import balance, materialise
 
 TREES = 100
 SAMPLE = 256
@@ -143,6 +143,6 @@ def isolation_forest(
     if not forest:
         raise ValueError("the table is empty")
     # Written once: the cut needs two more scans of the score, and scoring runs in Python.
-    scored = materialise(score_isolation_forest(df, columns, forest, psi, "_score"), "anomaly")
+    scored = materialise(score_isolation_forest(balance(df, "scored-rows"), columns, forest, psi, "_score"), "anomaly")
     cut = quantiles_of(scored.select("_score"), ["_score"], [1.0 - contamination])["_score"][0]
     return scored.withColumn(label, F.when(F.col("_score") > cut, -1).otherwise(1)).drop("_score")

@@ -25,7 +25,7 @@ from dataquarry.operators.features import build_preprocessor
 from dataquarry.operators.neighbors import BLOCK_ROWS, _stack, blocks_for, distances_to_labels, tile_pairs
 from dataquarry.operators.ordered import exact_quantiles
 from dataquarry.operators.stats import P_VALUE_LIMIT, anova_by_class, chi2_independence, with_p_values
-from dataquarry.runtime import concurrently, materialise
+from dataquarry.runtime import balance, concurrently, materialise
 
 log = logging.getLogger(__name__)
 
@@ -229,7 +229,8 @@ def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42,
     """
     if distance not in ("euclidean", "squared_euclidean"):
         raise ValueError("distance must be 'euclidean' or 'squared_euclidean'")
-    rows = df.select(F.col(key), as_vector(df, vec).alias(vec)).persist(StorageLevel.MEMORY_AND_DISK)
+    # Every fit passes over the rows up to a hundred times.
+    rows = balance(df.select(F.col(key), as_vector(df, vec).alias(vec)), "sweep-rows").persist(StorageLevel.MEMORY_AND_DISK)
     n = rows.count()
     if n < 4:
         raise ValueError("at least 4 rows are needed to compare clusterings")

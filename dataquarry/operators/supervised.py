@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,11 +25,9 @@ from dataquarry.operators.metrics import (
     roc_auc_weighted,
 )
 from dataquarry.operators.stats import P_VALUE_LIMIT, paired_ttest, with_p_values
-from dataquarry.runtime import concurrently, materialise
+from dataquarry.runtime import balance, concurrently, materialise
 
 SEED = 42
-# Rows that are worth a task of their own when a model is fitted.
-ROWS_A_TASK = 10_000
 MODELS = ("baseline", "linear", "forest", "gradient_boosting")
 
 
@@ -90,13 +87,10 @@ def score_predictions(pred: DataFrame, task: str) -> float:
 def training_rows(df: DataFrame) -> DataFrame:
     """``features`` and ``label`` of the rows, written and spread over all cores.
 
-    A model passes over its rows hundreds of times.  A table read from one small file is one
+    A model passes over its rows hundreds of times.  A table read from one file may be one
     partition, and every pass would keep one core busy.
     """
-    rows = materialise(df.select("features", "label"), "training")
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = min(cores, math.ceil(rows.count() / ROWS_A_TASK))
-    return rows if rows.rdd.getNumPartitions() >= wanted else materialise(rows.repartition(wanted), "training")
+    return balance(materialise(df.select("features", "label"), "training"), "training")
 
 
 def cross_validate(

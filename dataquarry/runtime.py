@@ -8,6 +8,7 @@ the loss of executors, and its size is known to AQE when it is read back.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
@@ -19,6 +20,10 @@ from pathlib import Path
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows that are worth a task of their own when every row is passed many times.
+ROWS_A_TASK = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +81,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if few else df
 
 
+def balance(rows: DataFrame, name: str) -> DataFrame:
+    """Rows over all cores, in even parts, for work that is dear per row or passes over them many times.
+
+    A part counts by its rows: a file of one row group is cut into several parts of which one holds all
+    rows.  Fewer than ``ROWS_A_TASK`` rows stay as they are.
+    """
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    n = sum(sizes)
+    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS_A_TASK))
+    return rows if wanted * max(sizes, default=0) <= 1.5 * n else materialise(rows.repartition(wanted), name)
+
+
 _shipped: set[str] = set()
 
 

@@ -201,3 +201,25 @@ def test_search_copies_a_row_a_bounded_number_of_times(spark, monkeypatch):
     df = frame(spark, x, np.arange(300) % 3).withColumn("l", F.array("label"))
     a, b = (N.distances_to_labels(df, "id", "v", "l", block_rows=m).orderBy("key", "label").toPandas() for m in (6, 4096))
     assert len(a) == 900 and np.allclose(a["total"], b["total"]) and (a["n"] == b["n"]).all()
+
+
+def test_sweep_and_scores_use_all_cores(spark, tmp_path, monkeypatch):
+    """A file of one row group is cut into many parts, but one of them holds all rows."""
+    from dataquarry.runtime import balance
+
+    df = spark.range(0, 25_000, 1, 1).select("id", F.array(*[(F.xxhash64("id", F.lit(i)) % 97).cast("double") for i in range(2)]).alias("v"))
+    df.write.parquet(str(tmp_path / "one"))
+    size = "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(K.KMeans, "fit", lambda self, rows, fit=K.KMeans.fit: parts.append(rows.groupBy(F.spark_partition_id()).count().collect()) or fit(self, rows))
+    parts = []
+    spark.conf.set(size, 40_000)
+    try:
+        one = spark.read.parquet(str(tmp_path / "one"))
+        assert one.rdd.getNumPartitions() >= 4 and one.groupBy(F.spark_partition_id()).count().count() == 1
+        K.kmeans_sweep(one, "id", "v")
+        assert parts and all(max(r["count"] for r in p) <= 12_500 and sum(r["count"] for r in p) == 25_000 for p in parts)
+        few = one.filter("id < 40")
+        assert balance(few, "few") is few
+        assert sorted(r[0] for r in balance(one, "even").select("id").collect()) == list(range(25_000))
+    finally:
+        spark.conf.unset(size)
