@@ -6,8 +6,8 @@ with the share of training rows that took those branches.  So a leaf with m feat
 game of m players with 2^m outcomes at most: the rows of a batch fall into a few patterns of
 met conditions, and the Shapley values of a pattern are computed once.
 
-Leaves travel to the tasks as one broadcast, which is as large as the model; rows stay
-where they are, and a batch is all that a task holds.
+Leaves travel to the tasks as one broadcast, which is as large as the model; rows move only if
+some cores would have far more of them than others, and a batch is all that a task holds.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataquarry.runtime import new_path
+from dataquarry.runtime import balance, new_path
 
 
 @dataclass(frozen=True)
@@ -191,7 +191,7 @@ def tree_contributions(df: DataFrame, key: str, model, features: str = "features
                     ["key", "output", "expected", "contributions"],
                 )
 
-    rows = df.select(F.col(key).alias("key"), vector_to_array(F.col(features)).alias("x"))
+    rows = balance(df.select(F.col(key).alias("key"), vector_to_array(F.col(features)).alias("x")), "attributed")
     found = rows.mapInArrow(values, f"key {kind}, output int, expected double, contributions array<double>")
     return found.withColumnRenamed("key", key)
 

@@ -105,3 +105,15 @@ def test_training_rows_use_all_cores(spark):
     assert rows.count() == 25_000 and rows.agg(F.sum("label")).first()[0] == 12_500
     assert M.training_rows(df.limit(40)).rdd.getNumPartitions() == 1
     assert M.forest("classification").getCacheNodeIds() and M.forest("regression").getNumTrees() == 100
+
+
+def test_attributed_rows_use_all_cores(spark, tmp_path):
+    """The values of a row are dear, and a file of one row group would give all of them to one task."""
+    df = spark.range(0, 25_000, 1, 1).select(array_to_vector(F.array((F.col("id") % 7).cast("double"))).alias("features"), (F.col("id") % 7 % 2).cast("double").alias("label"), "id")
+    df.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    model = M.gradient_boosting("classification", rounds=2, max_depth=2).fit(one.limit(200))
+    found = A.tree_contributions(one, "id", model)
+    parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 25_000 and max(parts) <= 12_500
+    assert found.select("id").distinct().count() == 25_000
