@@ -151,8 +151,9 @@ def _near_by_values(fingerprints_: DataFrame, queries: DataFrame, column: str, r
     for t in reversed(range(blocks)):
         first = F.when(F.bit_count(_block(*differ, cut[t], cut[t + 1])) <= allowed[t], F.lit(t)).otherwise(first)
     digits = lambda half: F.lower(F.concat(F.lpad(F.hex(half[0]), 16, "0"), F.lpad(F.hex(half[1]), 16, "0")))
+    # Spark takes a table to be as small as before its explode, and would broadcast the thousandfold rows.
     return (
-        tables(queries, "query", allowed).join(tables(fingerprints_, "found", [0] * blocks), "key")
+        tables(queries, "query", allowed).hint("merge").join(tables(fingerprints_, "found", [0] * blocks), "key")
         .where((apart > 0) & (apart <= radius) & (F.shiftright("key", widest) == first))
         .select(digits(q).alias("query"), digits(f).alias("found"), apart.alias("distance"))
     )

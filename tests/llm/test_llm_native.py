@@ -106,6 +106,15 @@ def test_values_within_allowances_find_every_near_pair(spark):
         assert len(found) == len(expected) and {tuple(r) for r in found} == expected
 
 
+def test_values_of_queries_are_not_broadcast(spark):
+    """A query row becomes over a thousand, which Spark's estimate leaves out."""
+    df = spark.createDataFrame([(f"{i:032x}",) for i in range(50)], "fingerprint string")
+    found = simhash.near(df, df, radius=simhash.NEAR, blocks=simhash.NEAR_BLOCKS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.count() == sum(a != b and (a ^ b).bit_count() <= simhash.NEAR for a in range(50) for b in range(50))
+
+
 def test_query_finds_near_copies_of_documents(spark, make_docs, tmp_path):
     """Real documents with scattered words replaced, and with a run of words replaced, down to similarity 0.8."""
     draw = random.Random(22)
