@@ -220,12 +220,20 @@ def squared_silhouettes(df: DataFrame, vec: str, labels: str) -> dict[int, float
     return {r["which"]: r["s"] / r["n"] for r in scored.groupBy("which").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
 
 
+def combined(rows: DataFrame, vec: str, weight: str = "_rows") -> DataFrame | None:
+    """``(vec, weight)``: the distinct vectors and how many rows hold them; None unless they are at most half of the rows."""
+    points = materialise(rows.groupBy(vec).agg(F.count(F.lit(1)).cast("double").alias(weight)), "sweep-points")
+    distinct, n = points.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    return balance(points, "sweep-points") if distinct and 2 * distinct <= n else None
+
+
 def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42, distance: str = "squared_euclidean"):
     """Try k = 2..max(2, min(10, n // 10)); returns ``(table, best model, labelled rows)``.
 
     ``table`` is ``(k, silhouette, davies_bouldin, score, best, distance)``; the
     smallest k wins ties.  ``distance`` names the silhouette's measure at every table
     size: ``squared_euclidean`` costs a pass over the rows, ``euclidean`` grows with their square.
+    Where vectors repeat, the models are fitted on the distinct ones, weighted by their rows.
     """
     if distance not in ("euclidean", "squared_euclidean"):
         raise ValueError("distance must be 'euclidean' or 'squared_euclidean'")
@@ -235,8 +243,13 @@ def kmeans_sweep(df: DataFrame, key: str, vec: str = "reduced", seed: int = 42,
     if n < 4:
         raise ValueError("at least 4 rows are needed to compare clusterings")
     ks = list(range(2, max(2, min(10, n // 10)) + 1))
-    fit = lambda k: KMeans(k=k, seed=seed, maxIter=KMEANS_ITERATIONS, featuresCol=vec, predictionCol=f"_k{k}").fit(rows)
+    points = combined(rows, vec)
+    weights, trained = ({}, rows) if points is None else ({"weightCol": "_rows"}, points.persist(StorageLevel.MEMORY_AND_DISK))
+    options = {"seed": seed, "maxIter": KMEANS_ITERATIONS, "featuresCol": vec, **weights}
+    fit = lambda k: KMeans(k=k, predictionCol=f"_k{k}", **options).fit(trained)
     models = dict(zip(ks, concurrently(df.sparkSession, fit, ks)))
+    if points is not None:
+        trained.unpersist()
     labelled = rows
     for k in ks:
         labelled = models[k].transform(labelled)

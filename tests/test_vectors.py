@@ -106,6 +106,24 @@ def test_sweep_finds_three_blobs(spark):
         K.kmeans_sweep(frame(spark, x[:3]), "id", "v")
 
 
+def test_sweep_fits_repeated_vectors_once(spark, monkeypatch):
+    """Rows with equal vectors are one weighted point of the fit; scores and labels are those of the rows."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(c, 0.3, size=(30, 2)) for c in ((0, 0), (8, 0), (0, 8))])
+    copies = np.vstack([x, x, x, x[:30], x[:30]])
+    sizes = []
+    monkeypatch.setattr(K.KMeans, "fit", lambda self, rows, fit=K.KMeans.fit: sizes.append(rows.count()) or fit(self, rows))
+    table, model, labelled = K.kmeans_sweep(frame(spark, copies), "id", "v")
+    assert set(sizes) == {90}
+    assert table.filter("best").first()["k"] == 3
+    assert sorted(r["count"] for r in labelled.groupBy("Cluster_ID").count().collect()) == [90, 90, 150]
+    centres = sorted(tuple(c) for c in model.clusterCenters())
+    assert np.allclose(centres, sorted(tuple(x[i:i + 30].mean(axis=0)) for i in (0, 30, 60)))
+    sizes.clear()
+    K.kmeans_sweep(frame(spark, np.vstack([x, x[:60]])), "id", "v")
+    assert set(sizes) == {150}
+
+
 def test_density_clusters_find_blobs_and_noise(spark):
     rng = np.random.default_rng(11)
     x = np.vstack([rng.normal(0, 0.2, size=(60, 2)), rng.normal(6, 0.2, size=(40, 2)), rng.uniform(-40, 40, size=(12, 2))])
