@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from dataquarry.runtime import materialise
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), ordered: bool = False) -> DataFrame:
     """``(by..., node, comp)``: the smallest node reachable from each node.
 
     ``nodes`` is ``(by..., node)``, ``edges`` is ``(by..., src, dst)`` in either
-    direction between nodes.  Each round points every node to its smallest neighbour, if that
+    direction between nodes; ``ordered`` says that each is there once, with ``src > dst``.  Each round points every node to its smallest neighbour, if that
     is smaller, follows the pointers to their ends, and goes on with the edges between different
     ends.  An end that took no node has a smaller neighbour in the next round, so the nodes that still
     have edges at least halve in two rounds on any graph, and edges shrink with them.  A hub receives
@@ -22,7 +22,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] =
     """
     by = list(by)
     larger, smaller = F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
-    rest = materialise(edges.filter("src <> dst").select(*by, larger, smaller).distinct(), "cc-edges")
+    first = edges.select(*by, "src", "dst") if ordered else edges.filter("src <> dst").select(*by, larger, smaller).distinct()
+    rest = materialise(first, "cc-edges")
     ends: list[DataFrame] = []
     while not rest.isEmpty():
         links = rest.groupBy(*by, F.col("src").alias("node")).agg(F.min("dst").alias("next"))

@@ -172,8 +172,11 @@ def _excess_of_mass(core: DataFrame, edges: DataFrame, min_size: int) -> DataFra
     grid = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(c).alias("eps")) for i, c in enumerate(cuts)])
     at = lambda value: F.inline(F.filter(grid, lambda g: g["eps"] >= F.col(value)))
     nodes = core.select("node", "core", at("core"))
+    # Both directions of an edge meet before the levels multiply it, so only the graph itself is shuffled.
+    larger, smaller = F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
+    pairs = edges.filter("src <> dst").groupBy(larger, smaller).agg(F.min("w").alias("w"))
     comps = connected_components(
-        nodes.select("level", "node"), edges.select("src", "dst", at("w")).select("level", "src", "dst"), ["level"]
+        nodes.select("level", "node"), pairs.select("src", "dst", at("w")).select("level", "src", "dst"), ["level"], ordered=True
     )
     lambdas = [1.0 / c for c in cuts]
     finest = 2.0 * lambdas[0]

@@ -124,6 +124,25 @@ def test_sweep_fits_repeated_vectors_once(spark, monkeypatch):
     assert set(sizes) == {150}
 
 
+def test_levels_get_every_edge_once(spark, monkeypatch):
+    """Both directions of an edge are one before the levels multiply it, and it is there from its smaller distance on."""
+    seen = []
+
+    def components(nodes, edges, by, ordered, run=T.connected_components):
+        seen.append(edges.collect())
+        return run(nodes, edges, by, ordered)
+
+    monkeypatch.setattr(T, "connected_components", components)
+    core = spark.createDataFrame([(i, 0.5) for i in range(6)], "node bigint, core double")
+    ways = [(0, 1, 1.0), (1, 0, 1.0), (2, 1, 1.0), (1, 2, 2.0), (3, 4, 1.0), (4, 3, 1.0), (5, 4, 2.0), (2, 3, 4.0), (3, 2, 4.0), (5, 5, 1.0)]
+    edges = spark.createDataFrame(ways, "src bigint, dst bigint, w double")
+    T._excess_of_mass(core, edges, 2)
+    assert len(seen[0]) == len(set(seen[0])) and all(r["src"] > r["dst"] for r in seen[0])
+    levels = max(r["level"] for r in seen[0]) + 1
+    count = lambda a, b: sum((r["src"], r["dst"]) == (a, b) for r in seen[0])
+    assert count(1, 0) == count(2, 1) == count(4, 3) == levels > count(5, 4) > count(3, 2) == 1
+
+
 def test_density_clusters_find_blobs_and_noise(spark):
     rng = np.random.default_rng(11)
     x = np.vstack([rng.normal(0, 0.2, size=(60, 2)), rng.normal(6, 0.2, size=(40, 2)), rng.uniform(-40, 40, size=(12, 2))])
