@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataquarry.functions.vectors import as_array, l2_normalize
-from dataquarry.runtime import materialise
+from dataquarry.runtime import ROWS_A_TASK, balance, materialise
 
 NEIGHBORS = 15
 # Rows per block: two blocks and their distance matrix fit easily in a task.
@@ -332,6 +332,9 @@ def _pivot_search(points, n, wanted, k, key_type, blocks, probes):
     open cells, a point once to each part of the queries, so both are copied ``blocks`` times at most.
     """
     spark = points.sparkSession
+    # Every row is compared with all pivots, but the rows are few bytes that Spark puts into few parts.
+    tasks = min(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_A_TASK))
+    points = balance(points, "knn-points")
     pivots = _pivots(points, n, wanted)
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -393,7 +396,7 @@ def _pivot_search(points, n, wanted, k, key_type, blocks, probes):
     hashed = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
     # A cell may be larger than a block should be.
     parts = np.maximum(1, np.ceil(np.bincount(block_of, sizes, blocks) / part_rows))
-    q = open_queries.mapInPandas(more, kind).withColumn("qpart", hashed("q", F.lit(blocks)))
+    q = open_queries.repartition(tasks).mapInPandas(more, kind).withColumn("qpart", hashed("q", F.lit(blocks)))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), of(parts, "block") - 1)))
     p = cells.select("rep", "v", "cell", of(block_of, "cell").alias("block"))
     p = p.withColumn("part", hashed("p", of(parts, "block")))

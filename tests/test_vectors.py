@@ -143,6 +143,15 @@ def test_levels_get_every_edge_once(spark, monkeypatch):
     assert count(1, 0) == count(2, 1) == count(4, 3) == levels > count(5, 4) > count(3, 2) == 1
 
 
+def test_pivots_are_compared_on_all_cores(spark, monkeypatch):
+    """Thousands of short vectors are few bytes, but each is compared with every pivot, so they are spread by rows."""
+    df = spark.range(0, 30_000, 1, 1).select("id", F.array(*[(F.xxhash64("id", F.lit(i)) % 997).cast("double") for i in range(2)]).alias("v"))
+    sizes = []
+    monkeypatch.setattr(N, "_pivots", lambda points, *a, f=N._pivots: sizes.extend(r["count"] for r in points.groupBy(F.spark_partition_id()).count().collect()) or f(points, *a))
+    assert N.knn(df, "id", "v", k=2, metric="euclidean").count() == 60_000
+    assert len(sizes) >= 3 and max(sizes) <= 15_000
+
+
 def test_density_clusters_find_blobs_and_noise(spark):
     rng = np.random.default_rng(11)
     x = np.vstack([rng.normal(0, 0.2, size=(60, 2)), rng.normal(6, 0.2, size=(40, 2)), rng.uniform(-40, 40, size=(12, 2))])
