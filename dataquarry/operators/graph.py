@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataquarry.runtime import materialise
+from dataquarry.runtime import discard, materialise
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), ordered: bool = False) -> DataFrame:
@@ -32,7 +32,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] =
         moved = rest.join(at("src"), [*by, "src"]).join(at("dst"), [*by, "dst"], "left").select(
             *by, F.col("src_end").alias("src"), F.coalesce("dst_end", "dst").alias("dst")
         )
-        rest = materialise(moved.filter("src <> dst").select(*by, larger, smaller).distinct(), "cc-edges")
+        before, rest = rest, materialise(moved.filter("src <> dst").select(*by, larger, smaller).distinct(), "cc-edges")
+        discard(before)
+    discard(rest)
     # Backwards: what a pointer ended at may have moved in later rounds.
     moves: DataFrame | None = None
     for found in reversed(ends):
@@ -63,6 +65,7 @@ def follow_links(links: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             "links",
         )
         moved = after.filter("moved").limit(1).count()
+        discard(state)
         state = after.select(*by, "node", "last")
         if not moved:
             return state

@@ -14,7 +14,7 @@ from dataquarry.operators.neighbors import _stack, blocks_for, knn, tile_pairs
 from dataquarry.operators.ordered import quantiles_of, running_totals
 from dataquarry.operators.sampling import sample_per_group
 from dataquarry.operators.text import term_counts
-from dataquarry.runtime import materialise
+from dataquarry.runtime import discard, distil, materialise
 
 MIN_CLUSTER = 15
 COMPONENTS = 5
@@ -81,9 +81,9 @@ def merge_map(df: DataFrame, vec: str, label: str, threshold: float = MERGE_SIMI
     return follow_links(chains).select(F.col("node").alias("label"), F.col("last").alias("merged"))
 
 
-def merge_topics(df: DataFrame, vec: str, label: str, threshold: float = MERGE_SIMILARITY) -> DataFrame:
-    """Replace ``label`` by its merged label; noise stays -1."""
-    merged = merge_map(df, vec, label, threshold)
+def merge_topics(df: DataFrame, vec: str, label: str, threshold: float = MERGE_SIMILARITY, merged: DataFrame | None = None) -> DataFrame:
+    """Replace ``label`` by its merged label; noise stays -1.  ``merged`` hands over what ``merge_map`` has found already."""
+    merged = merge_map(df, vec, label, threshold) if merged is None else merged
     kind = df.schema[label].dataType
     joined = df.join(merged.withColumnRenamed("label", "_label"), F.col(label) == F.col("_label"), "left")
     return joined.withColumn(label, F.coalesce("merged", label).cast(kind)).drop("_label", "merged")
@@ -105,8 +105,7 @@ def reduce_vectors(df: DataFrame, vec: str, components: int = COMPONENTS, out: s
 
 def _density_graph(df: DataFrame, key: str, vec: str, min_size: int, probes: int | None) -> tuple[DataFrame, DataFrame]:
     """Core distances ``(node, core)`` and mutual-reachability edges ``(src, dst, w)``."""
-    graph = knn(df, key, vec, k=min_size, metric="euclidean", probes=probes)
-    graph = materialise(graph, "density-graph")
+    graph = distil(df.sparkSession, lambda: knn(df, key, vec, k=min_size, metric="euclidean", probes=probes), "density-graph")
     # The distance to the last neighbour; rows with fewer neighbours have no core.
     core = materialise(
         graph.filter(F.col("rank") == min_size).select(F.col("src").alias("node"), F.col("dist").alias("core")), "cores"
@@ -116,7 +115,9 @@ def _density_graph(df: DataFrame, key: str, vec: str, min_size: int, probes: int
         .join(core.select(F.col("node").alias("dst"), F.col("core").alias("cd")), "dst")
         .select("src", "dst", F.greatest("dist", "cs", "cd").alias("w"))
     )
-    return core, materialise(edges, "density-edges")
+    edges = materialise(edges, "density-edges")
+    discard(graph)
+    return core, edges
 
 
 def relabel(members: DataFrame) -> DataFrame:
@@ -175,8 +176,9 @@ def _excess_of_mass(core: DataFrame, edges: DataFrame, min_size: int) -> DataFra
     # Both directions of an edge meet before the levels multiply it, so only the graph itself is shuffled.
     larger, smaller = F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     pairs = edges.filter("src <> dst").groupBy(larger, smaller).agg(F.min("w").alias("w"))
-    comps = connected_components(
-        nodes.select("level", "node"), pairs.select("src", "dst", at("w")).select("level", "src", "dst"), ["level"], ordered=True
+    levels = pairs.select("src", "dst", at("w")).select("level", "src", "dst")
+    comps = distil(
+        core.sparkSession, lambda: connected_components(nodes.select("level", "node"), levels, ["level"], ordered=True), "components"
     )
     lambdas = [1.0 / c for c in cuts]
     finest = 2.0 * lambdas[0]

@@ -14,6 +14,7 @@ from dataquarry.operators.text import add_clean_text, embed_text, encode_text, f
 from dataquarry.operators.topics import (
     class_tfidf_keywords,
     density_cluster,
+    merge_map,
     merge_topics,
     reduce_vectors,
     topic_payload,
@@ -68,19 +69,27 @@ def run_topics(
         raise ValueError(f"column '{text}' not found")
     phases = phases or Phases()
 
-    def encode() -> dict:
-        cleaned = lemmatize(add_clean_text(df, text), key, f"{text}_clean", lemmas, stops)
-        return {"rows": vectorise(materialise(cleaned, "lemmas"), key, "lemmatized", method, load)}
+    plain = lemmas is None and stops is None
 
-    vectors = phases.step("vectors", encode)["rows"]
+    # Texts are written once: vectors, labels and merged labels are tables of their own.
+    def clean() -> dict:
+        cleaned = add_clean_text(df, text)
+        return {"rows": cleaned if plain else lemmatize(cleaned, key, f"{text}_clean", lemmas, stops)}
+
+    texts = phases.step("lemmas", clean)["rows"]
+    if plain:
+        texts = lemmatize(texts, key, f"{text}_clean")
+    vectors = phases.step("vectors", lambda: {"rows": vectorise(texts, key, "lemmatized", method, load).select(key, "vector")})["rows"]
     if target is not None:
-        return TopicResult(rows=vectors.drop("vector"), vectors=vectors.select(key, "vector"))
-    reduced = phases.step("reduced", lambda: {"rows": reduce_vectors(vectors.select(key, "vector"), "vector")})["rows"]
+        return TopicResult(rows=texts, vectors=vectors)
+    reduced = phases.step("reduced", lambda: {"rows": reduce_vectors(vectors, "vector")})["rows"]
     labels = phases.step("topics", lambda: {"rows": density_cluster(reduced, key, "reduced", label="Topic_ID", probes=probes)})["rows"]
-    rows = attach_labels(vectors, labels, key, "Topic_ID")
+    rows = attach_labels(texts, labels, key, "Topic_ID")
     if not merge:
-        return TopicResult(rows=rows.drop("vector"), vectors=reduced, stats=topic_stats(rows, "Topic_ID"))
-    merged = phases.step("merged", lambda: {"rows": merge_topics(rows, "vector", "Topic_ID").drop("vector")})["rows"]
+        return TopicResult(rows=rows, vectors=reduced, stats=topic_stats(rows, "Topic_ID"))
+    labelled = attach_labels(vectors, labels, key, "Topic_ID")
+    moves = phases.step("merged", lambda: {"moves": merge_map(labelled, "vector", "Topic_ID")})["moves"]
+    merged = merge_topics(rows, "vector", "Topic_ID", merged=moves)
     tokens = tokenize(F.col("lemmatized"))
 
     def describe() -> dict:

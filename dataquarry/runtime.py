@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import math
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from functools import partial
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/dataquarry"
+    folder = _scratch.get() or f"{shared_dir(spark)}/dataquarry"
     return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_scratch: list[str] = []
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -50,23 +53,62 @@ def remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside go when it ends; what shall last must have been written elsewhere by then.
 
-    It covers the whole driver process, as intermediates are also written by its threads.
+    It covers this thread and those of ``concurrently``.
     """
     folder = new_path(spark, "scratch")
-    _scratch.append(folder)
+    outer = _scratch.set(folder)
     try:
         yield
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(outer)
         remove(spark, folder)
 
 
+# Spark keeps the shuffle files of a query until its driver collects garbage, unless this is set.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_tidying: list[str | None] = []
+_tidy_lock = threading.Lock()
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files when they end; the last of several threads restores the setting."""
+    with _tidy_lock:
+        _tidying.append(_tidying[0] if _tidying else spark.conf.get(_TIDY, None))
+        spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        with _tidy_lock:
+            before = _tidying.pop()
+            if not _tidying:
+                spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+
+
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Write ``df`` and return the table read back; its shuffle files go when it is written."""
+    with _tidy(df.sparkSession):
+        df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
+    return write_table(df, new_path(df.sparkSession, name))
+
+
+def distil(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``build`` returns, written; the intermediates of its making are removed."""
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with scratch(spark):
+        return write_table(build(), path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` returned, once nothing reads it any more."""
+    files = table.inputFiles()
+    if files:
+        remove(table.sparkSession, unquote(files[0]).rsplit("/", 1)[0])
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -116,6 +158,6 @@ def concurrently(spark: SparkSession, fn: Callable, items: Iterable, threads: in
 
     Every call gets its own copy of the job properties; threads must not share one.
     """
-    calls = [inheritable_thread_target(spark)(partial(fn, i)) for i in items]
+    calls = [inheritable_thread_target(spark)(partial(copy_context().run, fn, i)) for i in items]
     with ThreadPoolExecutor(threads) as pool:
         return [f.result() for f in [pool.submit(c) for c in calls]]

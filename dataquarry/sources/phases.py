@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dataquarry.runtime import materialise, scratch
+from dataquarry.runtime import new_path, scratch, write_table
 from dataquarry.sources.checkpoints import checkpoint_folder, model_load, model_save
 from dataquarry.sources.tables import path_size
 
@@ -41,8 +41,13 @@ class Phases:
     """Steps whose results are written as intermediate tables and not kept for another run."""
 
     def step(self, phase: str, build: Callable[[], dict[str, Part]]) -> dict[str, Part]:
-        """The parts that ``build`` returns: tables, fitted pipelines, or None."""
-        return {n: materialise(p, phase) if isinstance(p, DataFrame) else p for n, p in build().items()}
+        """The parts that ``build`` returns: tables, fitted pipelines, or None.  Intermediate tables of the step are removed."""
+        spark = SparkSession.active()
+        folder, found = new_path(spark, phase), {}
+        with scratch(spark):
+            for name, part in build().items():
+                found[name] = write_table(part, f"{folder}-{name}") if isinstance(part, DataFrame) else part
+        return found
 
 
 class SavedPhases(Phases):
@@ -76,7 +81,7 @@ class SavedPhases(Phases):
                 for name, part in build().items():
                     manifest[name] = None
                     if isinstance(part, DataFrame):
-                        part.write.mode("overwrite").parquet(f"{folder}/{name}")
+                        write_table(part, f"{folder}/{name}", "overwrite")
                         manifest[name] = part.schema.jsonValue()
                     elif part is not None:
                         model_save(part, f"{folder}/{name}")
