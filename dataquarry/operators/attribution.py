@@ -94,6 +94,11 @@ def flatten(spark, model) -> list[Leaf]:
             out[output] = weight * node["prediction"]
             return out
 
+        def weight_of(node: dict) -> float:
+            """Training rows of a node: the first of the moments of a number, or all classes."""
+            stats = node["impurityStats"]
+            return sum(stats) if votes else stats[0]
+
         for tree, nodes in trees.items():
             open_ = [(0, {}, {})]
             while open_:
@@ -107,7 +112,7 @@ def flatten(spark, model) -> list[Leaf]:
                 feature = split["featureIndex"]
                 before = conditions.get(feature, Condition(feature))
                 for child, after in ((node["leftChild"], before.and_left(split)), (node["rightChild"], before.and_right(split))):
-                    share = nodes[child]["rawCount"] / node["rawCount"]
+                    share = weight_of(nodes[child]) / weight_of(node)
                     open_.append((child, {**conditions, feature: after}, {**shares, feature: shares.get(feature, 1.0) * share}))
     return leaves
 

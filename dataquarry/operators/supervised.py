@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -25,7 +25,8 @@ from dataquarry.operators.metrics import (
     roc_auc_weighted,
 )
 from dataquarry.operators.stats import P_VALUE_LIMIT, paired_ttest, with_p_values
-from dataquarry.runtime import balance, concurrently, materialise
+from dataquarry.operators.trees import BinnedBoosting, BinnedForest
+from dataquarry.runtime import balance, concurrently, discard, materialise
 
 SEED = 42
 MODELS = ("baseline", "linear", "forest", "gradient_boosting")
@@ -50,7 +51,7 @@ def forest(task: str, trees: int = 100, max_depth: int = 30):
     Trees grow to 30 levels, the most that MLlib allows; ``max_depth`` bounds them.  Every
     row's node is remembered, so that no level walks all trees from their roots again.
     """
-    kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
+    kind = BinnedForest if task == "classification" else RandomForestRegressor
     return kind(
         featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth, seed=SEED,
         featureSubsetStrategy="sqrt" if task == "classification" else "all", cacheNodeIds=True,
@@ -65,7 +66,7 @@ def gradient_boosting(task: str, classes: int = 2, rounds: int = 100, max_depth:
     }
     if task != "classification":
         return GBTRegressor(**options)
-    one = GBTClassifier(**options)
+    one = BinnedBoosting(**options)
     return one if classes <= 2 else OneVsRest(classifier=one, featuresCol="features", labelCol="label")
 
 
@@ -90,7 +91,11 @@ def training_rows(df: DataFrame) -> DataFrame:
     A model passes over its rows hundreds of times.  A table read from one file may be one
     partition, and every pass would keep one core busy.
     """
-    return balance(materialise(df.select("features", "label"), "training"), "training")
+    written = materialise(df.select("features", "label"), "training")
+    rows = balance(written, "training")
+    if rows is not written:
+        discard(written)
+    return rows
 
 
 def cross_validate(
