@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataquarry.operators.attribution import tree_attribution
+from dataquarry.operators.columns import col
 from dataquarry.operators.features import build_preprocessor, transform_features
 from dataquarry.operators.metrics import (
     baseline_predictor,
@@ -25,7 +26,7 @@ from dataquarry.operators.metrics import (
     roc_auc_weighted,
 )
 from dataquarry.operators.stats import P_VALUE_LIMIT, paired_ttest, with_p_values
-from dataquarry.operators.trees import BinnedBoosting, BinnedForest
+from dataquarry.operators.trees import MANY_ROWS, BinnedBoosting, BinnedForest
 from dataquarry.runtime import balance, concurrently, discard, materialise
 
 SEED = 42
@@ -111,16 +112,26 @@ def cross_validate(
 ) -> DataFrame:
     """``(model, fold, score)``; needs columns ``label`` and ``fold``.
 
-    Preprocessing is fitted inside every fold.  Folds run as concurrent Spark jobs.
+    Preprocessing is fitted inside every fold.  Folds run as concurrent Spark jobs.  A large table is
+    written once for all folds, and their features are made from it on the way: the classifiers pass
+    over them a few times only, and features of every fold would fill the disk.
     """
     classes = train.select("label").distinct().count() if task == "classification" else 0
+    large = task == "classification" and train.count() >= MANY_ROWS
+    if large:
+        written = materialise(train.select("label", "fold", *[col(c) for c in (*numeric, *categorical)]), "folded")
+        train = balance(written, "folded")
+        if train is not written:
+            discard(written)
 
     def run_fold(i: int) -> list[tuple[str, int, float]]:
         inside = train.filter((F.col("fold") != i) & F.col("label").isNotNull())
         outside = train.filter((F.col("fold") == i) & F.col("label").isNotNull())
         prep, _ = build_preprocessor(inside, numeric, categorical)
-        fit = training_rows(transform_features(prep, inside)).persist(StorageLevel.MEMORY_AND_DISK)
-        held = training_rows(transform_features(prep, outside)).persist(StorageLevel.MEMORY_AND_DISK)
+        fit, held = transform_features(prep, inside), transform_features(prep, outside)
+        if not large:
+            fit = training_rows(fit).persist(StorageLevel.MEMORY_AND_DISK)
+            held = training_rows(held).persist(StorageLevel.MEMORY_AND_DISK)
         n = fit.count()
         out = []
         for name in models:
@@ -129,11 +140,14 @@ def cross_validate(
             else:
                 pred = make_model(name, task, n, classes, rounds, trees).fit(fit).transform(held)
             out.append((name, i, score_predictions(pred, task)))
-        fit.unpersist()
-        held.unpersist()
+        if not large:
+            fit.unpersist()
+            held.unpersist()
         return out
 
     done = concurrently(train.sparkSession, run_fold, range(folds), parallelism)
+    if large:
+        discard(train)
     rows = [r for part in done for r in part]
     return train.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 

@@ -69,7 +69,7 @@ def fit_gradient_boosting(spark, sf):
 @REGISTRY.add("cross_validate")
 def cross_validate(spark, sf):
     df = orders_cls(spark, sf).withColumn("label", F.col("y").cast("double"))
-    df = kfold_assign(df, "o_orderkey", "y").persist()
+    df = kfold_assign(df, "o_orderkey", "y")
     return M.cross_validate(df, ["o_custkey", "f"], ["o_orderstatus"], "classification")
 
 

@@ -3,9 +3,11 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from dataquarry import runtime
+from dataquarry.operators import supervised as M
 from dataquarry.plans.topics import run_topics
 
 WORDS = ["sol luna estrella cielo noche", "pan queso vino aceite sal", "tren coche barco avion moto"]
@@ -51,3 +53,18 @@ def test_scratch_covers_its_own_threads(spark):
     assert "/scratch-" not in runtime.new_path(spark, "x")
     kept = runtime.distil(spark, lambda: runtime.materialise(spark.range(7), "inner"), "outer")
     assert kept.count() == 7 and not any(n.startswith("scratch") for n in tables(spark))
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_folds_of_large_tables_are_not_written(spark, monkeypatch, many):
+    """A large table is written once for all folds; small ones keep their features of every fold."""
+    monkeypatch.setattr(M, "MANY_ROWS", many)
+    df = spark.range(400).select(
+        (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") % 7 > 2).cast("double").alias("label"), (F.col("id") % 7).cast("double").alias("a")
+    )
+    written = []
+    keep = runtime.write_table
+    monkeypatch.setattr(runtime, "write_table", lambda t, path, *mode: written.append(path.rsplit("/", 1)[1].split("-")[0]) or keep(t, path, *mode))
+    scores = M.cross_validate(df, ["a"], [], "classification", models=("baseline", "linear"))
+    assert scores.count() == 10 and scores.where("model = 'linear' and score < 0.99").count() == 0
+    assert written.count("training") == (0 if many == 0 else 10) and written.count("folded") == (1 if many == 0 else 0)
