@@ -138,26 +138,44 @@ def pattern_values(met: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return out
 
 
-def shapley_values(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
-    """``rows x outputs x features``."""
-    out = np.zeros((len(x), len(leaves[0].values), x.shape[1]))
-    met: dict[Condition, np.ndarray] = {}
+# A leaf of so many features has a table of the values of all its patterns.
+TABLE_FEATURES = 6
+
+
+def leaf_tables(leaves: Sequence[Leaf]) -> list[np.ndarray | None]:
+    """Per leaf the values of every pattern, numbered by its bits; None for leaves of many features."""
+    out: list[np.ndarray | None] = []
     for leaf in leaves:
+        m = len(leaf.conditions)
+        patterns = (np.arange(1 << m)[:, None] >> np.arange(m)[None, :] & 1).astype(float) if 0 < m <= TABLE_FEATURES else None
+        out.append(None if patterns is None else np.ascontiguousarray(pattern_values(patterns, leaf.shares).T))
+    return out
+
+
+def shapley_values(x: np.ndarray, leaves: Sequence[Leaf], tables: Sequence[np.ndarray | None] | None = None) -> np.ndarray:
+    """``rows x outputs x features``; ``tables`` hands over the leaves' tables for many calls."""
+    tables = leaf_tables(leaves) if tables is None else tables
+    out = np.zeros((len(leaves[0].values), x.shape[1], len(x)))
+    met: dict[Condition, np.ndarray] = {}
+    for leaf, table in zip(leaves, tables):
         if not leaf.conditions:
             continue
         for c in leaf.conditions:
             if c not in met:
-                met[c] = c.met(x)
-        rows = np.column_stack([met[c] for c in leaf.conditions])
-        packed = np.packbits(rows, axis=1)
-        _, first, which = np.unique(packed, axis=0, return_index=True, return_inverse=True) if packed.shape[1] > 1 else np.unique(
-            packed[:, 0], return_index=True, return_inverse=True
-        )
-        phi = pattern_values(rows[first].astype(float), leaf.shares)[which.ravel()]
+                met[c] = c.met(x).astype(np.uint8)
         columns = [c.feature for c in leaf.conditions]
+        if table is not None:
+            which = met[leaf.conditions[0]].astype(np.intp)
+            for i, c in enumerate(leaf.conditions[1:], 1):
+                which |= met[c] << np.uint8(i)
+        else:
+            rows = np.column_stack([met[c] for c in leaf.conditions])
+            _, first, which = np.unique(np.packbits(rows, axis=1), axis=0, return_index=True, return_inverse=True)
+            which, table = which.ravel(), pattern_values(rows[first].astype(float), leaf.shares).T
         for output in np.flatnonzero(leaf.values):
-            out[:, output, columns] += leaf.values[output] * phi
-    return out
+            for column, values in zip(columns, table):
+                out[output, column] += (leaf.values[output] * values)[which]
+    return out.transpose(2, 0, 1)
 
 
 def expected_output(leaves: Sequence[Leaf]) -> np.ndarray:
@@ -166,7 +184,7 @@ def expected_output(leaves: Sequence[Leaf]) -> np.ndarray:
 
 
 #: Rows whose values are computed together.
-ROWS = 2048
+ROWS = 8192
 
 
 def tree_contributions(df: DataFrame, key: str, model, features: str = "features") -> DataFrame:
@@ -181,11 +199,12 @@ def tree_contributions(df: DataFrame, key: str, model, features: str = "features
     kind = df.schema[key].dataType.simpleString()
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = leaf_tables(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                phi = shapley_values(x, shared.value)
+                phi = np.ascontiguousarray(shapley_values(x, shared.value, tables))
                 rows, outputs, width = phi.shape
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows * outputs + 1, dtype=np.int32) * width), pa.array(phi.ravel()))
                 yield pa.RecordBatch.from_arrays(
