@@ -7,23 +7,19 @@ rows in the memory of one task per core, which exchange nothing but histograms.
 
 The rules are MLlib's: the same candidate splits, gains, leaves, losses and pruning.  A forest's bags
 give every row a Poisson number of draws, so a cell of n rows gets a Poisson(n) number.  The result is
-an ordinary MLlib model.  Small tables, and what these rules do not cover, go to MLlib itself.
+an ordinary MLlib model.  Small tables, and tables of too many cells, go to MLlib itself.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import pickle
-import threading
 import time
-from base64 import b64decode, b64encode
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -229,13 +225,11 @@ def grow_class_tree(codes: np.ndarray, counts: np.ndarray, bins: Bins, subset: i
 
 
 def grow_boosted(
-    codes: np.ndarray, label: np.ndarray, weight: np.ndarray | None, bins: Bins, rounds: int, depth: int, step: float,
-    total: Callable[[np.ndarray], np.ndarray] = lambda x: x,
+    codes: np.ndarray, label: np.ndarray, weight: np.ndarray | None, bins: Bins, rounds: int, depth: int, step: float
 ) -> list[Tree]:
     """Gradient boosting with the logistic loss: ``codes`` (features x rows), ``label`` 0 or 1, ``weight`` of the rows.
 
-    ``total`` adds up a histogram over all tasks.  Features of one threshold at most travel
-    eight to a byte, so that a histogram over the bytes covers them.
+    Features of one threshold lie eight to a byte, so that a histogram over the bytes covers them.
     """
     n = len(label)
     two = [j for j, t in enumerate(bins.thresholds) if len(t) == 1]
@@ -269,9 +263,7 @@ def grow_boosted(
                     place = base + columns[i][c]
                     hist[0, i] += np.bincount(place, w, (m + 1) * 256)
                     hist[1, i] += np.bincount(place, wt, (m + 1) * 256)
-            shape = hist.shape
-            both = total(np.concatenate([sums.ravel(), hist.ravel()]))
-            sums, hist = both[:sums.size].reshape(3, m + 1)[:, :m], both[sums.size:].reshape(*shape[:2], m + 1, 256)[:, :, :m]
+            sums, hist = sums[:, :m], hist.reshape(2, -1, m + 1, 256)[:, :, :m]
             count, mean = sums[0], sums[1] / np.maximum(sums[0], EPSILON)
             impurity = np.maximum(sums[2] / np.maximum(count, EPSILON) - mean * mean, 0.0)
             gain, cut, feature = np.full(m, -np.inf), np.zeros(m, dtype=np.int64), np.full(m, -1)
@@ -439,66 +431,30 @@ class BinnedForest(RandomForestClassifier):
         return model
 
 
-# Every task of a boosting on all cores waits for the others: one at a time.
-_all_cores = threading.Lock()
-
-
 class BinnedBoosting(GBTClassifier):
-    """MLlib's boosted trees for two classes; large tables are boosted on cells, or else on binned rows over all cores."""
+    """MLlib's boosted trees for two classes; where the cells of a large table can be held, one task boosts them."""
 
     def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
         found = bin_rows(dataset, self.getFeaturesCol(), self.getLabelCol(), self.getMaxBins(), self.getSeed())
-        if found is None or found.classes != 2:
+        if found is None or found.cells is None or found.classes != 2:
             return super()._fit(dataset)
         spark = dataset.sparkSession
         rounds, depth, step, bins = self.getMaxIter(), self.getMaxDepth(), self.getStepSize(), found.bins
-        # One task takes cells as fast as all cores take four times as many rows.
-        if found.cells is not None and 4 * found.cells[0].shape[1] <= found.rows:
-            codes, counts = found.cells
-            at, label = np.nonzero(counts)
-            shared = spark.sparkContext.broadcast((np.ascontiguousarray(codes[:, at]), label.astype(float), counts[at, label].astype(float)))
-
-            def boost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for _ in range(batch.num_rows):
-                        for i, tree in enumerate(grow_boosted(*shared.value, bins, rounds, depth, step)):
-                            yield tree.table(i, bins, tree.stats[:, 0])
-
-            nodes = spark.range(0, 1, 1, 1).mapInArrow(boost, NODES)
-            model = self._model(spark, nodes, rounds, len(bins.thresholds))
-            shared.destroy()
-            return model
-        # Dealt out beforehand, as all tasks of the boosting must run at once.
-        rows = _binned(dataset, self.getFeaturesCol(), self.getLabelCol(), bins).repartition(_cores(spark))
-        with _all_cores:
-            return self._model(spark, boosted_nodes(rows, bins, rounds, depth, step), rounds, len(bins.thresholds))
+        codes, counts = found.cells
+        at, label = np.nonzero(counts)
+        shared = spark.sparkContext.broadcast((np.ascontiguousarray(codes[:, at]), label.astype(float), counts[at, label].astype(float)))
+
+        def boost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _ in range(batch.num_rows):
+                    for i, tree in enumerate(grow_boosted(*shared.value, bins, rounds, depth, step)):
+                        yield tree.table(i, bins, tree.stats[:, 0])
+
+        nodes = spark.range(0, 1, 1, 1).mapInArrow(boost, NODES)
+        model = self._model(spark, nodes, rounds, len(bins.thresholds))
+        shared.destroy()
+        return model
 
     def _model(self, spark, nodes: DataFrame, rounds: int, width: int) -> GBTClassificationModel:
         weights = [1.0] + [self.getStepSize()] * (rounds - 1)
         return _load(spark, self, GBTClassificationModel, "regression.DecisionTreeRegressionModel", nodes, weights, numFeatures=width)
-
-
-def boosted_nodes(rows: DataFrame, bins: Bins, rounds: int, depth: int, step: float) -> DataFrame:
-    """The nodes of trees boosted on ``(code, label)`` rows, which stay in the memory of one task per core.
-
-    Tasks exchange their histograms and grow the same trees; the first one returns them.
-    """
-    width = len(bins.thresholds)
-
-    def boost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, labels = [np.empty((width, 0), np.uint8)], [np.empty(0)]
-        for batch in batches:
-            codes.append(_matrix(pa.chunked_array([batch.column(0)]), width))
-            labels.append(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-        context = BarrierTaskContext.get()
-
-        def total(part: np.ndarray) -> np.ndarray:
-            parts = context.allGather(b64encode(pickle.dumps(part)).decode())
-            return sum(pickle.loads(b64decode(p)) for p in parts)
-
-        trees = grow_boosted(np.concatenate(codes, axis=1), np.concatenate(labels), None, bins, rounds, depth, step, total)
-        if context.partitionId() == 0:
-            for i, tree in enumerate(trees):
-                yield tree.table(i, bins, tree.stats[:, 0])
-
-    return rows.mapInArrow(boost, NODES, barrier=True)

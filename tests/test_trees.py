@@ -28,11 +28,11 @@ def rows(spark):
 
 @pytest.mark.parametrize("cell_bytes", [T.CELL_BYTES, 0])
 def test_boosting_is_that_of_mllib(spark, rows, monkeypatch, cell_bytes):
-    """On cells, and on binned rows over all cores where cells are not few."""
+    """On cells, and by MLlib itself where they cannot be held."""
     monkeypatch.setattr(T, "MANY_ROWS", 0)
     monkeypatch.setattr(T, "CELL_BYTES", cell_bytes)
     estimator = M.gradient_boosting("classification", rounds=4, max_depth=3)
-    assert T.bin_rows(rows, "features", "label", 256, 1).cells is None if not cell_bytes else True
+    assert (T.bin_rows(rows, "features", "label", 256, 1).cells is None) == (cell_bytes == 0)
     mine = estimator.fit(rows)
     plain = GBTClassifier(**{p.name: v for p, v in estimator._paramMap.items()}).fit(rows)
     margin = lambda m: m.transform(rows).select("id", vector_to_array("rawPrediction")[1].alias("v"))
@@ -89,3 +89,19 @@ def test_candidate_splits():
     assert T.candidate_splits(np.array([1.0, 2.0, 2.0, 5.0]), 32).tolist() == [1.5, 3.5]
     many = T.candidate_splits(np.arange(1000.0), 10)
     assert len(many) == 9 and abs(many[0] - 99.5) < 1
+
+
+def test_patterns_of_a_leaf_are_valued_once(monkeypatch):
+    """Leaves of few features have a table, and it says what the patterns met would give."""
+    rng = np.random.default_rng(3)
+    leaves = []
+    for m in (1, 3, 6, 8):
+        conditions = tuple(A.Condition(j, low=float(rng.normal())) for j in range(m))
+        leaves.append(A.Leaf(conditions, rng.random(m), rng.normal(size=2)))
+    x = rng.normal(size=(500, 9))
+    tables = A.leaf_tables(leaves)
+    assert [t is not None for t in tables] == [True, True, True, False]
+    plain = A.shapley_values(x, leaves, [None] * 4)
+    calls, one = [], A.pattern_values
+    monkeypatch.setattr(A, "pattern_values", lambda met, shares: calls.append(len(shares)) or one(met, shares))
+    assert np.allclose(A.shapley_values(x, leaves, tables), plain) and calls == [8]
